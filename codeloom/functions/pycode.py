@@ -5,13 +5,13 @@ Strings are blanked first (turned into bracket groups, so that the inside of a m
 reads as a continuation) and comments emptied; line numbers and columns do not move. One pass
 over the lines then assembles logical lines by bracket balance and keeps a stack of open headers
 ordered by indent. Work is linear in the lines of a file times the nesting in it.
+
+The expressions are SQL text over column or variable names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, functions as F
+from codeloom.functions.sqltext import array_of, changed, empty, empty_state, let, literal, struct
 
 # One token per match: triple-quoted and plain strings, comments, runs of other text.
 _TOKENS = (
@@ -23,352 +23,277 @@ _TOKENS = (
     r"""|[^"'#]++"""
     r"|[\s\S]"
 )
+_QUOTED = r"""^(?:"[\s\S]*"|'[\s\S]*')$"""
 _HEADER = (
     r"^(?:async\s+)?(def|class|if|for|while|try|with|finally|elif|else|except)\b(?!\s*[=.,)])"
 )
 _NAME = r"(?U)^(?:async\s+)?(?:def|class)\s+(\w+)"
 _IMPORT = r"(?U)(?:^|[;:])\s*(from\s+\.*\s*[\w.]*\s+import\b|import\s+[^;#]+)"
+_BRACKET = r"[()\[\]{}]"
+_LIST_PIECES = r"[(\[{]|[)\]}]|,|[^()\[\]{},]+"
+# A plain, annotated or untyped-default parameter; the name is the group.
+_PARAMETER = r"(?U)^(\w+)(?:\s*=.*|\s*:[^=]*)?$"
 
 # What a block header adds to the nesting depth. A clause sits inside the
 # statement it belongs to, so its body is two levels deep.
-ONE_LEVEL = ("if", "for", "while", "try", "with", "finally")
-TWO_LEVELS = ("elif", "else", "except")
+ONE_LEVEL = "('if', 'for', 'while', 'try', 'with', 'finally')"
+TWO_LEVELS = "('elif', 'else', 'except')"
 
-_OPEN_TYPE = (
-    "array<struct<kind:string,name:string,ln:int,ind:int,depth:int,deepest:int,in_class:boolean,"
-    "method:boolean,deco_from:int,deco_to:int,header:string,methods:array<string>>>"
-)
-_CLOSED_TYPE = (
-    "array<struct<line:int,end_line:int,kind:string,name:string,nesting:int,method:boolean,"
-    "deco_from:int,deco_to:int,header:string,methods:array<string>>>"
-)
+_OPEN = {
+    "kind": "string",  # def, class or block
+    "name": "string",
+    "ln": "int",
+    "ind": "int",
+    "depth": "int",  # nesting weight down to and including this header
+    "deepest": "int",  # largest depth met inside
+    "in_class": "boolean",
+    "method": "boolean",
+    "deco_from": "int",
+    "deco_to": "int",
+    "header": "string",
+    "methods": "array<string>",
+}
+_CLOSED = {
+    "line": "int",
+    "end_line": "int",
+    "kind": "string",
+    "name": "string",
+    "nesting": "int",
+    "method": "boolean",
+    "deco_from": "int",
+    "deco_to": "int",
+    "header": "string",
+    "methods": "array<string>",
+}
 _STATE = {
     "start": "int",  # first line of the logical line being read, 0 between logical lines
     "ind": "int",
     "text": "string",
+    "keyword": "string",
     "balance": "int",
-    "joined": "boolean",  # the last line ended in a backslash
     "last": "int",  # last line that holds code
     "notes": "array<struct<ln:int,ind:int>>",  # comment lines since then, with their least indent
     "deco_from": "int",  # decorator directly above, 0 if a comment lies in between
     "deco_to": "int",
-    "open": _OPEN_TYPE,
-    "closed": _CLOSED_TYPE,
+    "stack": array_of(_OPEN),
+    "closed": array_of(_CLOSED),
     "imports": "array<string>",
 }
+NO_STRINGS = empty("array<string>")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once for use in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
-def mask_python(code: Column) -> Column:
+def mask_python(code: str) -> str:
     """Code with strings and comments blanked; length and line breaks are unchanged."""
-    return F.array_join(
-        F.transform(
-            F.regexp_extract_all(code, F.lit(_TOKENS), F.lit(0)),
-            lambda t: F.when(F.startswith(t, F.lit("#")), F.rpad(F.lit("#"), F.char_length(t), " "))
-            .when(
-                F.rlike(t, F.lit(r"""^(?:"[\s\S]*"|'[\s\S]*')$""")),
-                F.concat(
-                    F.lit("("),
-                    F.regexp_replace(F.substring(t, F.lit(2), F.char_length(t) - 2), r"[^\n]", " "),
-                    F.lit(")"),
-                ),
-            )
-            .otherwise(t),
-        ),
-        "",
-    )
-
-
-def _count_removed(text: Column, chars: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
-
-
-def _line_facts(masked: Column) -> Column:
-    """Per line: number, indent (a tab is eight columns), code without comment, brackets."""
-
-    def facts(line: Column, i: Column) -> Column:
-        lead = F.regexp_extract(line, r"^[ \t\f]*", 0)
-        body = F.regexp_replace(F.substring(line, F.char_length(lead) + 1, F.char_length(line)), r"\s*(?:#.*)?$", "")
-        return let(
-            F.struct(
-                F.char_length(F.regexp_replace(F.replace(lead, F.lit("\f"), F.lit("")), "\t", " " * 8)).alias("ind"),
-                body.alias("body"),
-            ),
-            lambda p: F.struct(
-                (i + 1).alias("ln"),
-                p["ind"].alias("ind"),
-                p["body"].alias("body"),
-                (_count_removed(p["body"], "([{") - _count_removed(p["body"], ")]}")).alias("delta"),
-                F.endswith(p["body"], F.lit("\\")).alias("joined"),
-                ((p["body"] == "") & F.contains(line, F.lit("#"))).alias("note"),
-            ),
-        )
-
-    return F.transform(F.split(masked, "\n"), facts)
-
-
-def _state(base: Column, **changes: Column) -> Column:
-    return F.struct(
-        *(changes.get(name, base[name]).cast(kind).alias(name) for name, kind in _STATE.items())
+    blanked = f"""CASE
+        WHEN startswith(t, '#') THEN rpad('#', char_length(t), ' ')
+        WHEN rlike(t, {literal(_QUOTED)}) THEN concat(
+            '(', regexp_replace(substring(t, 2, char_length(t) - 2), r'[^\\n]', ' '), ')')
+        ELSE t END"""
+    return f"array_join(transform(regexp_extract_all({code}, {literal(_TOKENS)}, 0), t -> {blanked}), '')"
+
+
+def _count(text: str, chars: str) -> str:
+    return f"(char_length({text}) - char_length(translate({text}, '{chars}', '')))"
+
+
+def line_facts(masked: str) -> str:
+    """Per line: number, indent (a tab is eight columns), code without comment, bracket balance."""
+    split = struct(
+        {
+            "lead": r"substring(x, 1, char_length(x) - char_length(trim(LEADING ' \t\f' FROM x)))",
+            "body": r"btrim(substring_index(x, '#', 1), ' \t\f')",
+            "note": "contains(x, '#')",
+        }
     )
-
-
-def _initial() -> Column:
-    zero = {"int": F.lit(0), "string": F.lit(""), "boolean": F.lit(False)}
-    return F.struct(
-        *(zero.get(kind, F.array()).cast(kind).alias(name) for name, kind in _STATE.items())
+    facts = struct(
+        {
+            "ln": "i + 1",
+            "ind": r"char_length(IF(ltrim(q.lead) = '', q.lead,"
+            r" replace(replace(q.lead, '\f', ''), '\t', '        ')))",
+            "body": "q.body",
+            "delta": f"IF(rlike(q.body, {literal(_BRACKET)}),"
+            f" {_count('q.body', '([{')} - {_count('q.body', ')]}')}, 0)",
+            "joined": r"endswith(q.body, r'\')",
+            "note": "q.note AND q.body = ''",
+            "keyword": f"regexp_extract(q.body, {literal(_HEADER)}, 1)",
+        }
     )
+    return rf"transform(transform(split({masked}, r'\n'), x -> {split}), (q, i) -> {facts})"
 
 
-def _top(stack: Column) -> Column:
-    return F.try_element_at(stack, F.lit(-1))
-
-
-def _close(state: Column, leaving: Column) -> Column:
+def _close(state: str, leaving: str) -> str:
     """Definitions among the headers that end before the current line.
 
     A trailing comment belongs to a block while every comment since the last code line is
     indented deeper than the header.
     """
-
-    def closed(h: Column) -> Column:
-        inside = F.filter(state["notes"], lambda n: n["ind"] > h["ind"])
-        end = F.coalesce(_top(inside)["ln"], state["last"])
-        return F.struct(
-            h["ln"].alias("line"),
-            end.alias("end_line"),
-            h["kind"].alias("kind"),
-            h["name"].alias("name"),
-            (h["deepest"] - h["depth"]).alias("nesting"),
-            h["method"].alias("method"),
-            h["deco_from"].alias("deco_from"),
-            h["deco_to"].alias("deco_to"),
-            h["header"].alias("header"),
-            h["methods"].alias("methods"),
-        )
-
-    return F.concat(
-        state["closed"],
-        F.transform(F.filter(leaving, lambda h: h["kind"] != "block"), closed),
-    ).cast(_CLOSED_TYPE)
-
-
-def _imports_in(text: Column) -> Column:
-    def names(piece: Column) -> Column:
-        module = F.regexp_replace(F.regexp_extract(piece, r"^from\s+(.*?)\s+import$", 1), r"\s", "")
-        plain = F.filter(
-            F.transform(
-                F.split(F.regexp_replace(piece, r"^import\s+", ""), ","), lambda n: F.btrim(n, F.lit(" \t"))
-            ),
-            lambda n: F.rlike(n, F.lit(r"(?U)^[\w.]+$")),
-        )
-        return (
-            F.when(~F.startswith(piece, F.lit("from")), plain)
-            .when(module == "__future__", F.array().cast("array<string>"))
-            .otherwise(F.array(F.concat(F.lit("from "), module)))
-        )
-
-    found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_IMPORT), F.lit(1)), names))
-    return F.when(F.contains(text, F.lit("import")), found).otherwise(F.array().cast("array<string>"))
-
-
-def _statement(state: Column, start: Column, ind: Column, text: Column, end: Column) -> Column:
-    """Take in a complete logical line."""
-    stays = F.filter(state["open"], lambda h: h["ind"] < ind)
-    leaves = F.filter(state["open"], lambda h: h["ind"] >= ind)
-    unchanged = _top(state["open"])["ind"] < ind
-
-    def apply(p: Column) -> Column:
-        keyword, stack = p["keyword"], p["stack"]
-        top = _top(stack)
-        depth = F.coalesce(top["depth"], F.lit(0))
-        weight = (
-            F.when(keyword.isin(*ONE_LEVEL), 1)
-            .when((keyword == "except") & F.rlike(text, F.lit(r"^except\s*\*")), 1)
-            .when(keyword.isin(*TWO_LEVELS), 2)
-            .otherwise(0)
-        )
-        is_def, is_class = keyword == "def", keyword == "class"
-        decorated = state["deco_to"] > 0
-        in_class = F.coalesce(top["in_class"], F.lit(False))
-        direct = is_def & ~decorated & F.coalesce(top["kind"] == "class", F.lit(False))
-        name = F.regexp_extract(text, _NAME, 1)
-        none = F.array().cast("array<string>")
-        new = F.struct(
-            F.when(is_def | is_class, keyword).otherwise("block").alias("kind"),
-            F.when(is_def | is_class, name).otherwise("").alias("name"),
-            start.alias("ln"),
-            ind.alias("ind"),
-            (depth + weight).alias("depth"),
-            (depth + weight).alias("deepest"),
-            (in_class | is_class).alias("in_class"),
-            in_class.alias("method"),
-            state["deco_from"].alias("deco_from"),
-            state["deco_to"].alias("deco_to"),
-            F.when(is_def, text).otherwise("").alias("header"),
-            none.alias("methods"),
-        )
-
-        def deepen(h: Column) -> Column:
-            owns = direct & (h["ln"] == top["ln"])
-            fields = {
-                "deepest": F.greatest(h["deepest"], depth + weight),
-                "methods": F.when(owns, F.concat(h["methods"], F.array(name))).otherwise(h["methods"]),
-            }
-            names = [f.split(":")[0] for f in _OPEN_TYPE[len("array<struct<"):-2].split(",")]
-            return F.struct(*(fields.get(n, h[n]).alias(n) for n in names))
-
-        pushed = F.concat(
-            F.when((weight > 0) | direct, F.transform(stack, deepen)).otherwise(stack), F.array(new)
-        )
-        deco = F.startswith(text, F.lit("@"))
-        return _state(
-            state,
-            start=F.lit(0),
-            text=F.lit(""),
-            balance=F.lit(0),
-            joined=F.lit(False),
-            last=end,
-            notes=F.array(),
-            deco_from=F.when(deco, start).otherwise(0),
-            deco_to=F.when(deco, end).otherwise(0),
-            open=F.when(keyword == "", stack).otherwise(pushed),
-            closed=F.when(unchanged, state["closed"]).otherwise(_close(state, leaves)),
-            imports=F.concat(state["imports"], _imports_in(text)),
-        )
-
-    return let(
-        F.struct(
-            F.regexp_extract(text, _HEADER, 1).alias("keyword"),
-            F.when(unchanged, state["open"]).otherwise(stays).alias("stack"),
-        ),
-        apply,
+    inside = f"try_element_at(filter({state}.notes, n -> n.ind > h.ind), -1).ln"
+    row = struct(
+        {
+            "line": "h.ln",
+            "end_line": f"coalesce({inside}, {state}.last)",
+            "kind": "h.kind",
+            "name": "h.name",
+            "nesting": "h.deepest - h.depth",
+            **{n: f"h.{n}" for n in ("method", "deco_from", "deco_to", "header", "methods")},
+        }
     )
+    ended = f"transform(filter({leaving}, h -> h.kind != 'block'), h -> {row})"
+    return f"concat({state}.closed, {ended})"
 
 
-def _step(state: Column, line: Column) -> Column:
-    going = state["start"] > 0
-    here = F.struct(
-        F.when(going, state["start"]).otherwise(line["ln"]).alias("start"),
-        F.when(going, state["ind"]).otherwise(line["ind"]).alias("ind"),
-        F.when(going, F.concat(state["text"], F.lit(" "), line["body"])).otherwise(line["body"]).alias("text"),
-        F.greatest(state["balance"] + line["delta"], F.lit(0)).alias("balance"),
+def _imports_in(text: str) -> str:
+    module = r"regexp_replace(regexp_extract(m, r'^from\s+(.*?)\s+import$', 1), r'\s', '')"
+    plain = (
+        r"filter(transform(split(regexp_replace(m, r'^import\s+', ''), ','), v -> btrim(v, ' \t')),"
+        r" v -> rlike(v, r'(?U)^[\w.]+$'))"
     )
+    names = f"""CASE
+        WHEN NOT startswith(m, 'from') THEN {plain}
+        WHEN {module} = '__future__' THEN {NO_STRINGS}
+        ELSE array(concat('from ', {module})) END"""
+    return f"flatten(transform(regexp_extract_all({text}, {literal(_IMPORT)}, 1), m -> {names}))"
 
-    def code(p: Column) -> Column:
-        partial = _state(
-            state,
-            start=p["start"],
-            ind=p["ind"],
-            text=F.regexp_replace(p["text"], r"\\$", ""),
-            balance=p["balance"],
-            joined=line["joined"],
-        )
-        complete = _statement(state, p["start"], p["ind"], p["text"], line["ln"])
-        return F.when((p["balance"] > 0) | line["joined"], partial).otherwise(complete)
 
-    def note() -> Column:
-        least = F.least(F.coalesce(_top(state["notes"])["ind"], line["ind"]), line["ind"])
-        entry = F.struct(line["ln"].alias("ln"), least.alias("ind"))
-        return _state(state, notes=F.concat(state["notes"], F.array(entry)), deco_from=F.lit(0))
+def _step() -> str:
+    """State ``s`` after the line ``l``.
 
-    return (
-        F.when(~going & line["note"], note())
-        .when(~going & (line["body"] == ""), _state(state))
-        .otherwise(let(here, code))
+    Written without inner bindings: a higher-order function copies what its lambda returns, and
+    the state holds all that was found so far.
+    """
+    going = "s.start > 0"
+    start, ind = f"IF({going}, s.start, l.ln)", f"IF({going}, s.ind, l.ind)"
+    text = f"IF({going}, concat(s.text, ' ', l.body), l.body)"
+    keyword = f"IF({going}, s.keyword, l.keyword)"
+    balance = "greatest(s.balance + l.delta, 0)"
+
+    same = f"coalesce(try_element_at(s.stack, -1).ind < {ind}, true)"
+    stack = f"IF({same}, s.stack, filter(s.stack, h -> h.ind < {ind}))"
+    top = f"try_element_at({stack}, -1)"
+    weight = rf"""CASE
+        WHEN {keyword} IN {ONE_LEVEL} THEN 1
+        WHEN {keyword} = 'except' AND rlike({text}, r'^except\s*\*') THEN 1
+        WHEN {keyword} IN {TWO_LEVELS} THEN 2
+        ELSE 0 END"""
+    depth = f"coalesce({top}.depth, 0) + {weight}"
+    in_class = f"coalesce({top}.in_class, false)"
+    name = f"regexp_extract({text}, {literal(_NAME)}, 1)"
+    new = struct(
+        {
+            "kind": f"IF({keyword} IN ('def', 'class'), {keyword}, 'block')",
+            "name": f"IF({keyword} IN ('def', 'class'), {name}, '')",
+            "ln": start,
+            "ind": ind,
+            "depth": depth,
+            "deepest": depth,
+            "in_class": f"{in_class} OR {keyword} = 'class'",
+            "method": in_class,
+            "deco_from": "s.deco_from",
+            "deco_to": "s.deco_to",
+            "header": f"IF({keyword} = 'def', {text}, '')",
+            "methods": NO_STRINGS,
+        }
+    )
+    # an undecorated function whose innermost header is a class is a method of that class
+    method = f"{keyword} = 'def' AND s.deco_to = 0 AND coalesce({top}.kind = 'class', false)"
+    deeper = f"transform({stack}, h -> {changed('h', _OPEN, deepest='greatest(h.deepest, m)')})"
+    with_method = f"concat(slice({stack}, 1, size({stack}) - 1), array({changed('g', _OPEN, methods='concat(g.methods, array(m))')}))"
+    pushed = f"""concat(CASE
+        WHEN {keyword} NOT IN ('def', 'class') THEN flatten(transform(array({depth}), m -> {deeper}))
+        WHEN {method} THEN flatten(zip_with(array({top}), array({name}), (g, m) -> {with_method}))
+        ELSE {stack} END, array({new}))"""
+    deco = f"startswith({text}, '@')"
+    complete = changed(
+        "s",
+        _STATE,
+        start="0",
+        text="''",
+        keyword="''",
+        balance="0",
+        last="l.ln",
+        notes=empty(_STATE["notes"]),
+        deco_from=f"IF({deco}, {start}, 0)",
+        deco_to=f"IF({deco}, l.ln, 0)",
+        stack=f"IF({keyword} = '', {stack}, {pushed})",
+        closed=f"IF({same}, s.closed, {_close('s', f'filter(s.stack, h -> h.ind >= {ind})')})",
+        imports=f"IF(contains({text}, 'import'), concat(s.imports, {_imports_in(text)}), s.imports)",
+    )
+    partial = changed(
+        "s", _STATE, start=start, ind=ind, text=rf"regexp_replace({text}, r'\\$', '')", keyword=keyword, balance=balance
     )
+    least = "least(coalesce(try_element_at(s.notes, -1).ind, l.ind), l.ind)"
+    note = changed(
+        "s", _STATE, notes=f"concat(s.notes, array(named_struct('ln', l.ln, 'ind', {least})))", deco_from="0"
+    )
+    return f"""CASE
+        WHEN s.start = 0 AND l.note THEN {note}
+        WHEN s.start = 0 AND l.body = '' THEN s
+        WHEN s.balance + l.delta > 0 OR l.joined THEN {partial}
+        ELSE {complete} END"""
 
 
-def fold_python(code: Column) -> Column:
+def fold_python(code: str) -> str:
     """Struct of ``defs`` (functions and classes, by line) and ``imports`` (in source order)."""
-    end = F.aggregate(_line_facts(mask_python(code)), _initial(), _step)
-    return let(
-        end,
-        lambda s: F.struct(
-            F.array_sort(_close(s, s["open"])).alias("defs"), s["imports"].alias("imports")
-        ),
+    finish = struct({"defs": f"sort_array({_close('s', 's.stack')})", "imports": "s.imports"})
+    return (
+        f"aggregate({line_facts(mask_python(code))}, {empty_state(_STATE)}, (s, l) -> {_step()}, s -> {finish})"
     )
 
 
-def top_level_parts(header: Column) -> Column:
+def top_level_parts(header: str) -> str:
     """Comma-separated parts of the first parenthesised list; bracketed text inside is left out."""
-    pieces = F.regexp_extract_all(header, F.lit(r"[(\[{]|[)\]}]|,|[^()\[\]{},]+"), F.lit(0))
-    zero = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit(0).alias("phase"),  # 0 before the list, 1 in it, 2 after it
-        F.lit("").alias("part"),
-        F.array().cast("array<string>").alias("parts"),
+    kinds = {
+        "depth": "int",
+        "phase": "int",  # 0 before the list, 1 in it, 2 after it
+        "part": "string",
+        "parts": "array<string>",
+    }
+    opens, closes = "t IN ('(', '[', '{')", "t IN (')', ']', '}')"
+    inside = "a.phase = 1 AND a.depth = 1"
+    ends = f"{inside} AND ({closes} OR t = ',')"
+    step = changed(
+        "a",
+        kinds,
+        depth=f"a.depth + CASE WHEN {opens} THEN 1 WHEN {closes} THEN -1 ELSE 0 END",
+        phase=f"""CASE
+            WHEN a.phase = 0 AND a.depth = 0 AND t = '(' THEN 1
+            WHEN {inside} AND {closes} THEN 2
+            ELSE a.phase END""",
+        part=f"CASE WHEN {ends} THEN '' WHEN {inside} AND NOT {opens} THEN concat(a.part, t) ELSE a.part END",
+        parts=f"IF({ends}, concat(a.parts, array(a.part)), a.parts)",
     )
+    pieces = f"regexp_extract_all({header}, {literal(_LIST_PIECES)}, 0)"
+    folded = f"aggregate({pieces}, {empty_state(kinds)}, (a, t) -> {step}, a -> a.parts)"
+    return rf"transform({folded}, v -> btrim(v, ' \t\n'))"
 
-    def step(s: Column, t: Column) -> Column:
-        opens, closes = t.isin("(", "[", "{"), t.isin(")", "]", "}")
-        inside = (s["phase"] == 1) & (s["depth"] == 1)
-        ends = inside & (closes | (t == ","))
-        return F.struct(
-            (s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
-            F.when((s["phase"] == 0) & (s["depth"] == 0) & (t == "("), 1)
-            .when(inside & closes, 2)
-            .otherwise(s["phase"])
-            .alias("phase"),
-            F.when(ends, F.lit(""))
-            .when(inside & ~opens, F.concat(s["part"], t))
-            .otherwise(s["part"])
-            .alias("part"),
-            F.when(ends, F.concat(s["parts"], F.array(s["part"]))).otherwise(s["parts"]).alias("parts"),
-        )
-
-    return F.transform(F.aggregate(pieces, zero, step)["parts"], lambda p: F.btrim(p, F.lit(" \t\n")))
 
+def python_functions(code: str, defs: str) -> str:
+    """Function facts in source order.
 
-def python_params(header: Column) -> Column:
-    """Names of plain, annotated and untyped-default parameters.
-
-    Annotated defaults, starred parameters and the bare markers are left out.
+    Annotated defaults, starred parameters and bare markers are no parameters here; a decorator
+    is the one directly above, as written.
     """
-    shape = r"(?U)^(\w+)(?:\s*=.*|\s*:[^=]*)?$"
-    return F.filter(
-        F.transform(top_level_parts(header), lambda p: F.regexp_extract(p, shape, 1)),
-        lambda n: n != "",
-    )
-
-
-def python_functions(code: Column, defs: Column) -> Column:
-    """Function facts in source order."""
-    raw = F.split(code, "\n")
-
-    def decorator(d: Column) -> Column:
-        text = F.array_join(
-            F.slice(raw, d["deco_from"], d["deco_to"] - d["deco_from"] + F.lit(1)), "\n"
-        )
-        return F.array(F.regexp_replace(text, r"\A[ \t\f]+|\s+\z", ""))
-
-    return F.transform(
-        F.filter(defs, lambda d: d["kind"] == "def"),
-        lambda d: F.struct(
-            d["name"].alias("name"),
-            d["line"].alias("line"),
-            d["end_line"].alias("end_line"),
-            python_params(d["header"]).alias("params"),
-            (d["end_line"] - d["line"] + 1).alias("length"),
-            d["nesting"].alias("nesting_depth"),
-            d["method"].alias("is_method"),
-            F.when(d["deco_from"] > 0, decorator(d)).otherwise(F.array().cast("array<string>")).alias("decorators"),
-        ),
+    names = f"transform({top_level_parts('d.header')}, v -> regexp_extract(v, {literal(_PARAMETER)}, 1))"
+    above = rf"array_join(slice(c.raw, d.deco_from, d.deco_to - d.deco_from + 1), '\n')"
+    row = struct(
+        {
+            "name": "d.name",
+            "line": "d.line",
+            "end_line": "d.end_line",
+            "params": f"filter({names}, v -> v != '')",
+            "length": "d.end_line - d.line + 1",
+            "nesting_depth": "d.nesting",
+            "is_method": "d.method",
+            "decorators": rf"IF(d.deco_from > 0, array(regexp_replace({above}, r'\A[ \t\f]+|\s+\z', '')), {NO_STRINGS})",
+        }
     )
+    rows = f"transform(filter({defs}, d -> d.kind = 'def'), d -> {row})"
+    return let(rf"named_struct('raw', split({code}, r'\n'))", "c", rows)
 
 
-def python_classes(defs: Column) -> Column:
+def python_classes(defs: str) -> str:
     """Class facts in source order; methods are the direct, undecorated functions."""
-    return F.transform(
-        F.filter(defs, lambda d: d["kind"] == "class"),
-        lambda d: F.struct(
-            d["name"].alias("name"),
-            d["line"].alias("line"),
-            d["methods"].alias("methods"),
-            F.size(d["methods"]).alias("num_methods"),
-        ),
+    row = struct(
+        {"name": "d.name", "line": "d.line", "methods": "d.methods", "num_methods": "size(d.methods)"}
     )
+    return f"transform(filter({defs}, d -> d.kind = 'class'), d -> {row})"
