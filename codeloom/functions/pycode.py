@@ -100,8 +100,8 @@ def line_facts(masked: str) -> str:
     """Per line: number, indent (a tab is eight columns), code without comment, bracket balance."""
     split = struct(
         {
-            "lead": r"substring(x, 1, char_length(x) - char_length(trim(LEADING ' \t\f' FROM x)))",
-            "body": r"btrim(substring_index(x, '#', 1), ' \t\f')",
+            "lead": r"substring(x, 1, char_length(x) - char_length(trim(LEADING ' \t\u000C' FROM x)))",
+            "body": r"btrim(substring_index(x, '#', 1), ' \t\u000C')",
             "note": "contains(x, '#')",
         }
     )
@@ -109,7 +109,7 @@ def line_facts(masked: str) -> str:
         {
             "ln": "i + 1",
             "ind": r"char_length(IF(ltrim(q.lead) = '', q.lead,"
-            r" replace(replace(q.lead, '\f', ''), '\t', '        ')))",
+            r" replace(replace(q.lead, '\u000C', ''), '\t', '        ')))",
             "body": "q.body",
             "delta": f"IF(rlike(q.body, {literal(_BRACKET)}),"
             f" {_count('q.body', '([{')} - {_count('q.body', ')]}')}, 0)",
