@@ -6,7 +6,7 @@ from codeloom.catalog.registry import ORACLES, QUERIES, Query
 
 
 def _load() -> None:
-    from codeloom.catalog import structure  # noqa: F401
+    from codeloom.catalog import corpus, evaluation, streams, structure  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -42,7 +42,7 @@ def accepted(raw: DataFrame, lang: str) -> DataFrame:
 
 def record(rows: DataFrame, lang: str, keep: Sequence[str] = ()) -> DataFrame:
     """The output record; ``keep`` adds columns in front."""
-    return rows.select(
+    return with_defaults(rows, RAW_COLUMNS).select(
         *keep,
         F.col("content").alias("code"),
         F.lit(lang).alias("language"),

@@ -57,46 +57,44 @@ def drop_seen(
     return rows.dropDuplicates(["code_hash"])
 
 
-def start_ingest(
+def prepared_stream(
     raw: DataFrame,
     lang: str,
-    output: str,
-    checkpoint: str,
     lanes: int = LANES,
     spread_by: tuple[str, ...] = ("repo", "path"),
     keep: tuple[str, ...] = (),
-) -> StreamingQuery:
-    """Take in all files there are now: filter, drop duplicates, append JSON records.
+) -> DataFrame:
+    """Records of the accepted rows of a stream, each content once.
 
     A stream has no ordered limit; take the first N from the output.
     """
-    spark = raw.sparkSession
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
+    return drop_seen(record(accepted(raw, lang), lang, keep), spread_by=spread_by, lanes=lanes)
+
+
+def start_ingest(records: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
+    """Append all records there are now as JSON Lines; the state sits in RocksDB."""
+    conf = records.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, ROCKSDB)
     try:
-        fresh = drop_seen(record(accepted(raw, lang), lang, keep), spread_by=spread_by, lanes=lanes)
         return (
-            fresh.writeStream.format("json")
+            records.writeStream.format("json")
             .option("path", output)
             .option("checkpointLocation", checkpoint)
+            .option("ignoreNullFields", "false")
             .trigger(availableNow=True)
             .start()
         )
     finally:
         if before is None:
-            spark.conf.unset(STATE_STORE)
+            conf.unset(STATE_STORE)
         else:
-            spark.conf.set(STATE_STORE, before)
+            conf.set(STATE_STORE, before)
 
 
-def ingest_to_table(raw: DataFrame, lang: str, **options) -> DataFrame:
-    """Run the ingest to its end in the shared folder and read its output."""
-    spark = raw.sparkSession
+def ingest_to_table(records: DataFrame) -> DataFrame:
+    """Run an ingest to its end in the shared folder and read its output."""
+    spark = records.sparkSession
     base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    query = start_ingest(raw, lang, f"{base}/records", f"{base}/checkpoint", **options)
-    query.awaitTermination()
-    kept = [n for n in options.get("keep", ())]
-    schema = StructType(
-        [*(raw.schema[n] for n in kept), *record(raw.limit(0) if not raw.isStreaming else raw, lang).schema.fields]
-    ).add("code_hash", "string")
-    return spark.read.schema(schema).json(f"{base}/records")
+    start_ingest(records, f"{base}/records", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(records.schema).json(f"{base}/records")
