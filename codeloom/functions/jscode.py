@@ -46,7 +46,9 @@ _OPEN = {
     "pending": "int",
     "params": "string",
 }
-_CLOSED = {"line": "int", "end_line": "int", "name": "string", "nesting": "int", "params": "string"}
+_CLOSED = {"line": "int", "end_line": "int", "nesting": "int", "name": "string", "params": "string"}
+# Control characters between the fields and after each declaration in the collected text.
+_FIELD, _RECORD = r"'\u0001'", r"'\u0002'"
 _STATE = {
     "line": "int",
     "paren": "int",  # open parentheses since the innermost brace
@@ -62,7 +64,7 @@ _STATE = {
     "level": "int",
     "params": "string",
     "stack": array_of(_OPEN),
-    "closed": array_of(_CLOSED),
+    "closed": "string",  # as text, for the state is copied at every token
 }
 
 
@@ -113,20 +115,12 @@ def _push() -> str:
 def _pop() -> str:
     """A closing brace; inside a statement header the header goes on, else the statement ends."""
     h = "try_element_at(s.stack, -1)"
-    row = struct(
-        {
-            "line": f"{h}.line",
-            "end_line": "s.line",
-            "name": f"{h}.name",
-            "nesting": f"{h}.deepest - {h}.depth",
-            "params": f"{h}.params",
-        }
-    )
+    row = f"concat_ws({_FIELD}, {h}.line, s.line, {h}.deepest - {h}.depth, {h}.name, {h}.params)"
     after = changed(
         "s",
         _STATE,
         stack="slice(s.stack, 1, size(s.stack) - 1)",
-        closed=f"IF({h}.kind = 'function', concat(s.closed, array({row})), s.closed)",
+        closed=f"IF({h}.kind = 'function', concat(s.closed, {row}, {_RECORD}), s.closed)",
         depth=f"{h}.depth - {h}.pending",
         paren=f"{h}.paren",
         pending=f"IF({h}.paren > 0, {h}.pending, 0)",
@@ -204,8 +198,12 @@ def fold_javascript(code: str) -> str:
     """Struct of ``defs`` (function declarations by line) and ``imports``."""
     pieces = f"regexp_extract_all(k, {literal(_PIECES)}, 0)"
     start = empty_state(_STATE, line="1")
-    folded = f"aggregate({pieces}, {start}, (s, t) -> {_step()}, s -> sort_array(s.closed))"
-    return let(mask_javascript(code), "k", struct({"defs": folded, "imports": _imports(code, "k")}))
+    folded = f"aggregate({pieces}, {start}, (s, t) -> {_step()}, s -> s.closed)"
+    row = struct({n: f"CAST(x[{i}] AS {kind.upper()})" for i, (n, kind) in enumerate(_CLOSED.items())})
+    records = f"filter(split({folded}, {_RECORD}), y -> y != '')"
+    split_row = f"split(y, {_FIELD})"
+    defs = f"sort_array(transform({records}, y -> {let(split_row, 'x', row)}))"
+    return let(mask_javascript(code), "k", struct({"defs": defs, "imports": _imports(code, "k")}))
 
 
 def javascript_functions(defs: str) -> str:

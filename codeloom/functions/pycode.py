@@ -39,32 +39,32 @@ _PARAMETER = r"(?U)^(\w+)(?:\s*=.*|\s*:[^=]*)?$"
 ONE_LEVEL = "('if', 'for', 'while', 'try', 'with', 'finally')"
 TWO_LEVELS = "('elif', 'else', 'except')"
 
+# What kind of header a line is.
+BLOCK, DEF, CLASS = 0, 1, 2
+
+# An open header holds numbers only: stack entries are copied whenever a nesting depth changes.
 _OPEN = {
-    "kind": "string",  # def, class or block
-    "name": "string",
+    "kind": "int",
     "ln": "int",
     "ind": "int",
     "depth": "int",  # nesting weight down to and including this header
     "deepest": "int",  # largest depth met inside
     "in_class": "boolean",
-    "method": "boolean",
-    "deco_from": "int",
-    "deco_to": "int",
-    "header": "string",
-    "methods": "array<string>",
-}
-_CLOSED = {
-    "line": "int",
-    "end_line": "int",
-    "kind": "string",
-    "name": "string",
-    "nesting": "int",
-    "method": "boolean",
-    "deco_from": "int",
-    "deco_to": "int",
-    "header": "string",
-    "methods": "array<string>",
 }
+# What is known of a function or class when its header is complete, in source order; numbers only.
+_FOUND = (
+    "line",
+    "kind",
+    "method",  # 1 below a class
+    "owner",  # line of the class that has it as a direct, undecorated function
+    "deco_from",
+    "deco_to",
+    "header_to",
+)
+# What is known when it ends.
+_CLOSED = ("line", "end_line", "nesting")
+# Results so far are kept as text, numbers with commas in groups with semicolons: the state is
+# copied at every line, and a string is copied in one go while a list is copied item by item.
 _STATE = {
     "start": "int",  # first line of the logical line being read, 0 between logical lines
     "ind": "int",
@@ -72,12 +72,13 @@ _STATE = {
     "keyword": "string",
     "balance": "int",
     "last": "int",  # last line that holds code
-    "notes": "array<struct<ln:int,ind:int>>",  # comment lines since then, with their least indent
+    "notes": "array<struct<ln:int,ind:int>>",  # last comment line since then for each least indent
     "deco_from": "int",  # decorator directly above, 0 if a comment lies in between
     "deco_to": "int",
     "stack": array_of(_OPEN),
-    "closed": array_of(_CLOSED),
-    "imports": "array<string>",
+    "found": "string",
+    "closed": "string",
+    "imports": "string",  # separated by newlines
 }
 NO_STRINGS = empty("array<string>")
 
@@ -128,18 +129,13 @@ def _close(state: str, leaving: str) -> str:
     indented deeper than the header.
     """
     inside = f"try_element_at(filter({state}.notes, n -> n.ind > h.ind), -1).ln"
-    row = struct(
-        {
-            "line": "h.ln",
-            "end_line": f"coalesce({inside}, {state}.last)",
-            "kind": "h.kind",
-            "name": "h.name",
-            "nesting": "h.deepest - h.depth",
-            **{n: f"h.{n}" for n in ("method", "deco_from", "deco_to", "header", "methods")},
-        }
-    )
-    ended = f"transform(filter({leaving}, h -> h.kind != 'block'), h -> {row})"
-    return f"concat({state}.closed, {ended})"
+    row = f"concat_ws(',', h.ln, coalesce({inside}, {state}.last), h.deepest - h.depth)"
+    ended = f"transform(filter({leaving}, h -> h.kind != {BLOCK}), h -> concat({row}, ';'))"
+    return f"concat({state}.closed, array_join({ended}, ''))"
+
+
+def _unjoined(text: str) -> str:
+    return rf"trim(TRAILING r'\' FROM {text})"
 
 
 def _imports_in(text: str) -> str:
@@ -152,7 +148,8 @@ def _imports_in(text: str) -> str:
         WHEN NOT startswith(m, 'from') THEN {plain}
         WHEN {module} = '__future__' THEN {NO_STRINGS}
         ELSE array(concat('from ', {module})) END"""
-    return f"flatten(transform(regexp_extract_all({text}, {literal(_IMPORT)}, 1), m -> {names}))"
+    found = f"flatten(transform(regexp_extract_all({text}, {literal(_IMPORT)}, 1), m -> {names}))"
+    return rf"array_join(transform({found}, v -> concat(v, '\n')), '')"
 
 
 def _step() -> str:
@@ -163,7 +160,8 @@ def _step() -> str:
     """
     going = "s.start > 0"
     start, ind = f"IF({going}, s.start, l.ln)", f"IF({going}, s.ind, l.ind)"
-    text = f"IF({going}, concat(s.text, ' ', l.body), l.body)"
+    # inside brackets only the first line matters; the header of a function is read off its lines
+    text = f"CASE WHEN NOT {going} THEN l.body WHEN s.balance > 0 THEN s.text ELSE concat(s.text, ' ', l.body) END"
     keyword = f"IF({going}, s.keyword, l.keyword)"
     balance = "greatest(s.balance + l.delta, 0)"
 
@@ -177,31 +175,25 @@ def _step() -> str:
         ELSE 0 END"""
     depth = f"coalesce({top}.depth, 0) + {weight}"
     in_class = f"coalesce({top}.in_class, false)"
-    name = f"regexp_extract({text}, {literal(_NAME)}, 1)"
+    kind = f"CASE {keyword} WHEN 'def' THEN {DEF} WHEN 'class' THEN {CLASS} ELSE {BLOCK} END"
     new = struct(
         {
-            "kind": f"IF({keyword} IN ('def', 'class'), {keyword}, 'block')",
-            "name": f"IF({keyword} IN ('def', 'class'), {name}, '')",
+            "kind": kind,
             "ln": start,
             "ind": ind,
             "depth": depth,
             "deepest": depth,
             "in_class": f"{in_class} OR {keyword} = 'class'",
-            "method": in_class,
-            "deco_from": "s.deco_from",
-            "deco_to": "s.deco_to",
-            "header": f"IF({keyword} = 'def', {text}, '')",
-            "methods": NO_STRINGS,
         }
     )
-    # an undecorated function whose innermost header is a class is a method of that class
-    method = f"{keyword} = 'def' AND s.deco_to = 0 AND coalesce({top}.kind = 'class', false)"
+    direct = f"{keyword} = 'def' AND s.deco_to = 0 AND coalesce({top}.kind = {CLASS}, false)"
+    found = (
+        f"concat_ws(',', {start}, {kind}, IF({in_class}, 1, 0), IF({direct}, {top}.ln, 0),"
+        " s.deco_from, s.deco_to, l.ln)"
+    )
+    named = f"{keyword} IN ('def', 'class')"
     deeper = f"transform({stack}, h -> {changed('h', _OPEN, deepest='greatest(h.deepest, m)')})"
-    with_method = f"concat(slice({stack}, 1, size({stack}) - 1), array({changed('g', _OPEN, methods='concat(g.methods, array(m))')}))"
-    pushed = f"""concat(CASE
-        WHEN {keyword} NOT IN ('def', 'class') THEN flatten(transform(array({depth}), m -> {deeper}))
-        WHEN {method} THEN flatten(zip_with(array({top}), array({name}), (g, m) -> {with_method}))
-        ELSE {stack} END, array({new}))"""
+    pushed = f"concat(IF({named}, {stack}, flatten(transform(array({depth}), m -> {deeper}))), array({new}))"
     deco = f"startswith({text}, '@')"
     complete = changed(
         "s",
@@ -215,15 +207,17 @@ def _step() -> str:
         deco_from=f"IF({deco}, {start}, 0)",
         deco_to=f"IF({deco}, l.ln, 0)",
         stack=f"IF({keyword} = '', {stack}, {pushed})",
+        found=f"IF({named}, concat(s.found, {found}, ';'), s.found)",
         closed=f"IF({same}, s.closed, {_close('s', f'filter(s.stack, h -> h.ind >= {ind})')})",
         imports=f"IF(contains({text}, 'import'), concat(s.imports, {_imports_in(text)}), s.imports)",
     )
     partial = changed(
-        "s", _STATE, start=start, ind=ind, text=rf"regexp_replace({text}, r'\\$', '')", keyword=keyword, balance=balance
+        "s", _STATE, start=start, ind=ind, text=_unjoined(text), keyword=keyword, balance=balance
     )
     least = "least(coalesce(try_element_at(s.notes, -1).ind, l.ind), l.ind)"
+    earlier = f"filter(s.notes, n -> n.ind > {least})"
     note = changed(
-        "s", _STATE, notes=f"concat(s.notes, array(named_struct('ln', l.ln, 'ind', {least})))", deco_from="0"
+        "s", _STATE, notes=f"concat({earlier}, array(named_struct('ln', l.ln, 'ind', {least})))", deco_from="0"
     )
     return f"""CASE
         WHEN s.start = 0 AND l.note THEN {note}
@@ -234,10 +228,36 @@ def _step() -> str:
 
 def fold_python(code: str) -> str:
     """Struct of ``defs`` (functions and classes, by line) and ``imports`` (in source order)."""
-    finish = struct({"defs": f"sort_array({_close('s', 's.stack')})", "imports": "s.imports"})
-    return (
-        f"aggregate({line_facts(mask_python(code))}, {empty_state(_STATE)}, (s, l) -> {_step()}, s -> {finish})"
+    folded = f"aggregate(ls, {empty_state(_STATE)}, (s, l) -> {_step()}, s -> {struct({'found': 's.found', 'closed': _close('s', 's.stack'), 'imports': 's.imports'})})"
+
+    def rows(text: str, names: tuple[str, ...]) -> str:
+        row = struct({n: f"CAST(x[{i}] AS INT)" for i, n in enumerate(names)})
+        return f"transform(filter(split({text}, ';'), x -> x != ''), y -> {let(split_row, 'x', row)})"
+
+    split_row = "split(y, ',')"
+    header = f"array_join(transform(sequence(f.line, f.header_to), n -> {_unjoined('ls[n - 1].body')}), ' ')"
+    both = struct(
+        {
+            "line": "f.line",
+            "end_line": "e.end_line",
+            "kind": "f.kind",
+            "nesting": "e.nesting",
+            "method": "f.method = 1",
+            "owner": "f.owner",
+            "deco_from": "f.deco_from",
+            "deco_to": "f.deco_to",
+            "header": header,
+        }
     )
+    # headers are found in the order of their lines, so the two lists pair up
+    defs = f"zip_with({rows('r.found', _FOUND)}, sort_array({rows('r.closed', _CLOSED)}), (f, e) -> {both})"
+    imports = r"filter(split(r.imports, r'\n'), v -> v != '')"
+    result = let(folded, "r", struct({"defs": defs, "imports": imports}))
+    return let(line_facts(mask_python(code)), "ls", result)
+
+
+def _name(header: str) -> str:
+    return f"regexp_extract({header}, {literal(_NAME)}, 1)"
 
 
 def top_level_parts(header: str) -> str:
@@ -277,7 +297,7 @@ def python_functions(code: str, defs: str) -> str:
     above = rf"array_join(slice(c.raw, d.deco_from, d.deco_to - d.deco_from + 1), '\n')"
     row = struct(
         {
-            "name": "d.name",
+            "name": _name("d.header"),
             "line": "d.line",
             "end_line": "d.end_line",
             "params": f"filter({names}, v -> v != '')",
@@ -287,13 +307,12 @@ def python_functions(code: str, defs: str) -> str:
             "decorators": rf"IF(d.deco_from > 0, array(regexp_replace({above}, r'\A[ \t\f]+|\s+\z', '')), {NO_STRINGS})",
         }
     )
-    rows = f"transform(filter({defs}, d -> d.kind = 'def'), d -> {row})"
+    rows = f"transform(filter({defs}, d -> d.kind = {DEF}), d -> {row})"
     return let(rf"named_struct('raw', split({code}, r'\n'))", "c", rows)
 
 
 def python_classes(defs: str) -> str:
     """Class facts in source order; methods are the direct, undecorated functions."""
-    row = struct(
-        {"name": "d.name", "line": "d.line", "methods": "d.methods", "num_methods": "size(d.methods)"}
-    )
-    return f"transform(filter({defs}, d -> d.kind = 'class'), d -> {row})"
+    own = f"transform(filter({defs}, m -> m.owner = d.line), m -> {_name('m.header')})"
+    row = struct({"name": _name("d.header"), "line": "d.line", "methods": own, "num_methods": f"size({own})"})
+    return f"transform(filter({defs}, d -> d.kind = {CLASS}), d -> {row})"
