@@ -41,7 +41,7 @@ def keep_keys(df: DataFrame, keys: DataFrame, at_most: int | None = None) -> Dat
     if at_most is not None and all(_fixed_width(f.dataType) for f in keys.schema):
         if at_most * 16 * len(names) <= BROADCAST_BYTES:
             keys = F.broadcast(keys)
-    return df.join(keys, names, "left_semi")
+    return df.join(keys, names, "left_semi").select(*df.columns)
 
 
 def first_seen_keys(df: DataFrame, same: Column, order_by: str | Sequence[str]) -> DataFrame:
