@@ -58,9 +58,17 @@ def first_seen_keys(df: DataFrame, same: Column, order_by: str | Sequence[str])
     return found.select(*(F.col("_first")[k].alias(k) for k in keys))
 
 
-def first_seen(df: DataFrame, same: Column, order_by: str | Sequence[str]) -> DataFrame:
-    """Rows that are the first of their value of ``same``."""
-    return keep_keys(df, first_seen_keys(df, same, order_by))
+def first_seen(
+    df: DataFrame, same: Column, order_by: str | Sequence[str], unique_key: bool = True
+) -> DataFrame:
+    """Rows that are the first of their value of ``same``.
+
+    With ``unique_key=False`` several rows may share a key; exactly one row a value is still kept,
+    at the price of sorting whole rows.
+    """
+    if unique_key:
+        return keep_keys(df, first_seen_keys(df, same, order_by))
+    return first_n_per_group(df.withColumn("_same", same), 1, "_same", order_by).drop("_same")
 
 
 def content_digest(text: Column) -> Column:
@@ -106,7 +114,7 @@ def first_n(
 
 
 def first_n_per_group(
-    df: DataFrame, n: int, group: str | Sequence[str], order_by: str | Sequence[str]
+    df: DataFrame, n: int, group: str | Sequence[str], order_by: str | Sequence[str], lanes: int = 256
 ) -> DataFrame:
     """At most ``n`` rows of each group, first by ``order_by``.
 
@@ -122,6 +130,6 @@ def first_n_per_group(
         return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
     if n > MAP_SIDE_GROUP_LIMIT:
-        lanes = F.pmod(F.xxhash64(*keys), F.lit(64))
-        df = limited(df.withColumn("_lane", lanes), [*groups, "_lane"]).drop("_lane")
+        lane = F.pmod(F.xxhash64(*keys), F.lit(lanes))
+        df = limited(df.withColumn("_lane", lane), [*groups, "_lane"]).drop("_lane")
     return limited(df, groups)

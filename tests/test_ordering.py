@@ -47,6 +47,14 @@ def test_first_seen_compound_key(df, rows):
     assert sorted(map(tuple, got.collect())) == first_by(rows, lambda r: (r[2], r[0]))
 
 
+def test_first_seen_with_shared_keys(df, rows):
+    got = first_seen(df, content_digest(F.col("content")), "part", unique_key=False).collect()
+    best = {}
+    for _, content, part in rows:
+        best[content] = min(part, best.get(content, part))
+    assert sorted((r.content, r.part) for r in got) == sorted(best.items())
+
+
 def test_first_seen_is_idempotent(df):
     same = content_digest(F.col("content"))
     once = first_seen(df, same, "id")
