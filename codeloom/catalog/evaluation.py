@@ -23,6 +23,7 @@ from codeloom.operators.metrics import best_checkpoint, binary_metrics
 from codeloom.plans.classifier import evaluate, held_out, train
 from codeloom.plans.evaluation import programs
 from codeloom.sources.sinks import scores_json
+from codeloom.sources.tables import spread_small_scan
 
 SAMPLE_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -324,7 +325,7 @@ def map_batches_drop(spark: SparkSession, folder: str) -> DataFrame:
 def train_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics on held-out documents; equal contents stay on one side."""
     rows = (
-        table(spark, folder, "documents")
+        spread_small_scan(table(spark, folder, "documents"))
         .join(table(spark, folder, "labels"), "doc_id")
         .select(F.col("text").alias("func"), F.col("quality").alias("labels"))
     )

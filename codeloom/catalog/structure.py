@@ -15,17 +15,18 @@ from codeloom.operators.structure import (
     import_table,
     with_structure,
 )
+from codeloom.sources.tables import spread_small_scan
 
 PY_SQL = f"WITH {lines_sql(PYTHON, '.py')}{EXTENTS_SQL}"
 JS_SQL = f"WITH {lines_sql(JAVASCRIPT, '.js')}"
 
 
 def python_files(spark: SparkSession, folder: str) -> DataFrame:
-    return code_files(table(spark, folder, "documents"), PYTHON, ".py")
+    return code_files(spread_small_scan(table(spark, folder, "documents")), PYTHON, ".py")
 
 
 def javascript_files(spark: SparkSession, folder: str) -> DataFrame:
-    return code_files(table(spark, folder, "documents"), JAVASCRIPT, ".js")
+    return code_files(spread_small_scan(table(spark, folder, "documents")), JAVASCRIPT, ".js")
 
 
 def flat_functions(reports: DataFrame) -> DataFrame:

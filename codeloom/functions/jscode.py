@@ -32,7 +32,7 @@ _DECLARATION = (
 )
 # Any other ``function`` is a token of its own, so that no expression looks like a declaration.
 _EXPRESSION = r"(?<![\w$.])function(?![\w$])"
-_PIECES = rf"\n|[(){{}};]|{_DECLARATION}|{_EXPRESSION}|{_KEYWORD}|(?:(?!{_KEYWORD}|{_EXPRESSION})[^\n(){{}};])+"
+_PIECES = rf"\n|[(){{}};]|{_DECLARATION}|{_EXPRESSION}|{_KEYWORD}|(?:(?!{_KEYWORD}|{_EXPRESSION})[^\n(){{}};])++"
 # Text between the name of a declaration and its body.
 _LISTED = "IF(s.name = '', '', concat(s.params, t))"
 

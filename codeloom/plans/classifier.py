@@ -24,14 +24,19 @@ def train(
     features: int = 1 << 18,
     iterations: int = 20,
 ) -> PipelineModel:
-    """Fit hashed TF-IDF and logistic regression; ``extra`` is a vector column to add (structure)."""
+    """Fit hashed TF-IDF and logistic regression; ``extra`` is a vector column to add (structure).
+
+    Without ``extra`` the vectors go straight to the regression: an assembler would list every
+    hashed feature in the schema.
+    """
+    combine = [VectorAssembler(inputCols=["_idf", extra], outputCol="_features")] if extra else []
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_idf"),
-        VectorAssembler(inputCols=["_idf", *([extra] if extra else [])], outputCol="_features"),
+        *combine,
         LogisticRegression(
-            featuresCol="_features",
+            featuresCol="_features" if extra else "_idf",
             labelCol=label,
             predictionCol="_prediction",
             rawPredictionCol="_raw",

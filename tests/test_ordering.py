@@ -14,6 +14,7 @@ from codeloom.operators.ordering import (
     first_n_per_group,
     first_seen,
 )
+from codeloom.sources.sinks import write_bucketed
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +99,19 @@ def test_order_is_required(df):
 def test_large_n_has_no_single_task_gather(df):
     plan = first_keys(df.select("id"), 100, gather_rows=10)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan and "SinglePartition" not in plan
+
+
+def test_bucketed_contents_stay_where_they_are(spark, df, rows):
+    write_bucketed(df, "bucketed_rows", "id", 8, partition_by="part")
+    stored = spark.table("bucketed_rows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = first_seen(stored, content_digest(F.col("content")), "id")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # one exchange groups the digests, one brings the keys to the buckets
+        assert plan.count("Exchange hashpartitioning") == 2
+        assert sorted((r.id, r.content, r.part) for r in got.collect()) == first_by(rows, lambda r: r[0])
+        pruned = stored.where(F.col("part") == "p07")._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(part" in pruned
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -138,6 +138,33 @@ class A { m(x) { if (x) { } } }
     assert r.classes == [] and r.imports == ['import a, {b} from "x;y";', "import {"]
 
 
+def test_code_without_a_file_name(spark):
+    df = spark.createDataFrame([("x", "javascript", "function f(a) {}"), ("y", "python", "def g(b): pass")], "id string, lang string, code string")
+    got = file_reports(df, "id", "code", language="lang").orderBy("file").collect()
+    assert [(r.language, r.functions[0].name, r.functions[0].params) for r in got] == [
+        ("javascript", "f", ["a"]), ("python", "g", ["b"])
+    ]
+
+
+@pytest.mark.parametrize(
+    "file, code, functions, line",
+    [
+        ("a.py", 'def f():\n    """' + "ab c\n" * 50_000 + '"""\n', 1, 1),
+        ("a.py", 'x = "' + 'a\\"b' * 50_000 + '"\ndef f(): pass\n', 1, 2),
+        ("a.py", "#" + "x" * 200_000 + "\ndef f(): pass\n", 1, 2),
+        ("a.py", "x = [\n" + "  (1, 2),\n" * 30_000 + "]\ndef f(a): pass\n", 1, 30_003),
+        ("a.py", "def f(a, b=1):\n  if a:\n    return b\n" * 2_000, 2_000, 1),
+        ("a.js", "var a = " + "x + " * 100_000 + "1;\nfunction f(a) {}\n", 1, 2),
+        ("a.js", "var a = `" + "x + " * 100_000 + "`;\nfunction f(a) {}\n", 1, 2),
+        ("a.js", "/*" + "x\n" * 50_000 + "*/\nfunction f(a) {}\n", 1, 50_002),
+    ],
+    ids=["docstring", "string", "comment", "list", "functions", "js-line", "js-template", "js-comment"],
+)
+def test_large_files(spark, file, code, functions, line):
+    r = report(spark, code, file)
+    assert len(r.functions) == functions and r.functions[0].line == line
+
+
 @pytest.fixture(scope="module")
 def library():
     found = {}

@@ -59,7 +59,7 @@ def test_like_python(spark, fn, expected):
     assert column(spark, ODD, fn) == [expected(t) for t in ODD]
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(LINES, min_size=20, max_size=40))
 def test_cuts_on_random_lines(spark, many):
     texts = ["\n".join(lines) for lines in many]
