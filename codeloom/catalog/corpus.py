@@ -25,7 +25,7 @@ from codeloom.operators.ordering import content_digest, first_n, first_seen
 from codeloom.plans.corpus import format_for_training, local_records, prepare_corpus
 from codeloom.session import shared_dir
 from codeloom.sources.sinks import write_dataset, write_records
-from codeloom.sources.tables import choose_splits, read_records, read_table
+from codeloom.sources.tables import choose_splits, read_records, read_table, spread_small_scan
 
 SQL_SPACES = " || ".join(f"chr({ord(c)})" for c in PY_WHITESPACE)
 
@@ -316,7 +316,8 @@ def padded_sql(ids: str, n: int) -> str:
     FROM (SELECT doc_id, {ids_sql('text', 128)} AS ids FROM documents)""",
 )
 def encode_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = fixed_length_rows(table(spark, folder, "documents"), max_length=128, keep=["doc_id"])
+    documents = spread_small_scan(table(spark, folder, "documents"))
+    rows = fixed_length_rows(documents, max_length=128, keep=["doc_id"])
     return rows.select(
         "doc_id",
         F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),

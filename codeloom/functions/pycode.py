@@ -23,13 +23,14 @@ _TOKENS = (
     r"""|[^"'#]++"""
     r"|[\s\S]"
 )
-_QUOTED = r"""^(?:"[\s\S]*"|'[\s\S]*')$"""
 _HEADER = (
     r"^(?:async\s+)?(def|class|if|for|while|try|with|finally|elif|else|except)\b(?!\s*[=.,)])"
 )
 _NAME = r"(?U)^(?:async\s+)?(?:def|class)\s+(\w+)"
 _IMPORT = r"(?U)(?:^|[;:])\s*(from\s+\.*\s*[\w.]*\s+import\b|import\s+[^;#]+)"
 _BRACKET = r"[()\[\]{}]"
+# A parenthesised list without further brackets, which needs no fold.
+_FLAT_LIST = r"^[^()\[\]{}]*\(([^()\[\]{}]*)\)"
 _LIST_PIECES = r"[(\[{]|[)\]}]|,|[^()\[\]{},]+"
 # A plain, annotated or untyped-default parameter; the name is the group.
 _PARAMETER = r"(?U)^(\w+)(?:\s*=.*|\s*:[^=]*)?$"
@@ -84,17 +85,19 @@ NO_STRINGS = empty("array<string>")
 
 
 def mask_python(code: str) -> str:
-    """Code with strings and comments blanked; length and line breaks are unchanged."""
-    blanked = f"""CASE
-        WHEN startswith(t, '#') THEN rpad('#', char_length(t), ' ')
-        WHEN rlike(t, {literal(_QUOTED)}) THEN concat(
-            '(', regexp_replace(substring(t, 2, char_length(t) - 2), r'[^\\n]', ' '), ')')
+    """Code with strings and comments emptied; line breaks and indents are unchanged."""
+    # tokens by their first character: 35 is the hash, 34 and 39 are the quotes
+    emptied = r"""CASE
+        WHEN ascii(t) = 35 THEN '#'
+        WHEN ascii(t) IN (34, 39) AND char_length(t) > 1 THEN concat('(', regexp_replace(t, r'[^\n]+', ''), ')')
         ELSE t END"""
-    return f"array_join(transform(regexp_extract_all({code}, {literal(_TOKENS)}, 0), t -> {blanked}), '')"
+    return f"array_join(transform(regexp_extract_all({code}, {literal(_TOKENS)}, 0), t -> {emptied}), '')"
 
 
-def _count(text: str, chars: str) -> str:
-    return f"(char_length({text}) - char_length(translate({text}, '{chars}', '')))"
+def _without(text: str, chars: str) -> str:
+    for c in chars:
+        text = f"replace({text}, '{c}', '')"
+    return f"octet_length({text})"
 
 
 def line_facts(masked: str) -> str:
@@ -113,7 +116,7 @@ def line_facts(masked: str) -> str:
             r" replace(replace(q.lead, '\u000C', ''), '\t', '        ')))",
             "body": "q.body",
             "delta": f"IF(rlike(q.body, {literal(_BRACKET)}),"
-            f" {_count('q.body', '([{')} - {_count('q.body', ')]}')}, 0)",
+            f" {_without('q.body', ')]}')} - {_without('q.body', '([{')}, 0)",
             "joined": r"endswith(q.body, r'\')",
             "note": "q.note AND q.body = ''",
             "keyword": f"regexp_extract(q.body, {literal(_HEADER)}, 1)",
@@ -181,8 +184,8 @@ def _step() -> str:
             "kind": kind,
             "ln": start,
             "ind": ind,
-            "depth": depth,
-            "deepest": depth,
+            "depth": "m",
+            "deepest": "m",
             "in_class": f"{in_class} OR {keyword} = 'class'",
         }
     )
@@ -193,7 +196,8 @@ def _step() -> str:
     )
     named = f"{keyword} IN ('def', 'class')"
     deeper = f"transform({stack}, h -> {changed('h', _OPEN, deepest='greatest(h.deepest, m)')})"
-    pushed = f"concat(IF({named}, {stack}, flatten(transform(array({depth}), m -> {deeper}))), array({new}))"
+    grown = f"concat(IF({named}, {stack}, {deeper}), array({new}))"
+    pushed = let(depth, "m", grown)
     deco = f"startswith({text}, '@')"
     complete = changed(
         "s",
@@ -235,7 +239,8 @@ def fold_python(code: str) -> str:
         return f"transform(filter(split({text}, ';'), x -> x != ''), y -> {let(split_row, 'x', row)})"
 
     split_row = "split(y, ',')"
-    header = f"array_join(transform(sequence(f.line, f.header_to), n -> {_unjoined('ls[n - 1].body')}), ' ')"
+    joined = f"array_join(transform(sequence(f.line, f.header_to), n -> {_unjoined('ls[n - 1].body')}), ' ')"
+    header = f"IF(f.line = f.header_to, ls[f.line - 1].body, {joined})"
     both = struct(
         {
             "line": "f.line",
@@ -284,7 +289,9 @@ def top_level_parts(header: str) -> str:
     )
     pieces = f"regexp_extract_all({header}, {literal(_LIST_PIECES)}, 0)"
     folded = f"aggregate({pieces}, {empty_state(kinds)}, (a, t) -> {step}, a -> a.parts)"
-    return rf"transform({folded}, v -> btrim(v, ' \t\n'))"
+    flat = f"split(regexp_extract({header}, {literal(_FLAT_LIST)}, 1), ',')"
+    parts = f"IF(rlike({header}, {literal(_FLAT_LIST)}), {flat}, {folded})"
+    return rf"transform({parts}, v -> btrim(v, ' \t\n'))"
 
 
 def python_functions(code: str, defs: str) -> str:
@@ -313,6 +320,8 @@ def python_functions(code: str, defs: str) -> str:
 
 def python_classes(defs: str) -> str:
     """Class facts in source order; methods are the direct, undecorated functions."""
-    own = f"transform(filter({defs}, m -> m.owner = d.line), m -> {_name('m.header')})"
-    row = struct({"name": _name("d.header"), "line": "d.line", "methods": own, "num_methods": f"size({own})"})
-    return f"transform(filter({defs}, d -> d.kind = {CLASS}), d -> {row})"
+    own = f"transform(filter(o, m -> m.owner = d.line), m -> {_name('m.header')})"
+    named = struct({"name": _name("d.header"), "line": "d.line", "methods": own})
+    row = struct({**{n: f"x.{n}" for n in ("name", "line", "methods")}, "num_methods": "size(x.methods)"})
+    rows = f"transform(transform(filter({defs}, d -> d.kind = {CLASS}), d -> {named}), x -> {row})"
+    return let(f"filter({defs}, m -> m.owner > 0)", "o", rows)

@@ -55,18 +55,19 @@ def record(rows: DataFrame, lang: str, keep: Sequence[str] = ()) -> DataFrame:
 def prepare_corpus(
     raw: DataFrame,
     lang: str = "python",
-    order_by: str | Sequence[str] = "id",
+    order_by: str | Sequence[str] = (),
     max_files: int = MAX_FILES,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Filter, drop exact duplicates (first by ``order_by`` wins), keep the first ``max_files``.
 
-    ``order_by`` identifies a row. Which rows survive is settled on digests and keys alone; the
+    ``order_by`` is required and identifies a row. Which rows survive is settled on digests and keys alone; the
     contents are read again for the survivors, and for ``max_files`` within the broadcast bound
     they are never shuffled.
     """
+    keys = key_list(order_by)
     rows = accepted(raw, lang)
-    unique = first_seen_keys(rows, content_digest(F.col("content")), key_list(order_by))
+    unique = first_seen_keys(rows, content_digest(F.col("content")), keys)
     chosen = first_keys(unique, max_files)
     return record(keep_keys(rows, chosen, at_most=max_files), lang, keep)
 

@@ -19,7 +19,7 @@ from codeloom.operators.structure import file_reports
 from codeloom.plans.analysis import analyze_files, analyze_tree
 from codeloom.plans.corpus import format_for_training, prepare_corpus, prepare_local
 from codeloom.sources.sinks import write_dataset, write_records, write_reports, write_scores
-from codeloom.sources.tables import choose_splits, read_records, read_table
+from codeloom.sources.tables import choose_splits, read_records, read_table, spread_small_scan
 from codeloom.sources.tree import files_by_extension, list_tree, walk_sources
 
 
@@ -138,6 +138,24 @@ def test_preparation_with_missing_columns_and_duplicates(spark):
     assert [r.id for r in prepare_corpus(raw, "python", "id", max_files=1, keep=["id"]).collect()] == [1]
 
 
+def test_preparation_needs_an_order(spark):
+    with pytest.raises(ValueError, match="order_by"):
+        prepare_corpus(spark.createDataFrame([("x", "y")], "language string, content string"), "python")
+
+
+def test_small_scans_are_spread(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    spread = spread_small_scan(spark.read.parquet(path))
+    assert spread.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+    assert spread.count() == 1000
+    many = str(tmp_path / "many")
+    spark.range(1000).repartition(20).write.parquet(many)
+    plan = spread_small_scan(spark.read.parquet(many))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert spread_small_scan(spark.range(5)).count() == 5
+
+
 def test_record_files(spark, tmp_path):
     path = str(tmp_path / "records")
     rows = [("é\n\"x\"", "python", "r", "p", 5), ("b", "python", None, "q", 1)]
