@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codeloom.catalog.derived import EXTENTS_SQL, JAVASCRIPT, PYTHON, code_files, lines_sql
 from codeloom.catalog.registry import query, table
@@ -13,6 +13,7 @@ from codeloom.operators.structure import (
     file_reports,
     function_table,
     import_table,
+    line_table,
     with_structure,
 )
 from codeloom.sources.tables import spread_small_scan
@@ -56,6 +57,29 @@ def report_numbers(reports: DataFrame) -> DataFrame:
     )
 
 
+@query(
+    "code_lines",
+    PY_SQL
+    + """
+    SELECT file, CAST(ln AS INTEGER) AS line, CASE WHEN kind IN ('note', 'cont') THEN NULL ELSE indent END AS indent,
+           kind IN ('def', 'class', 'block') AS is_header
+    FROM lines""",
+)
+def code_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with the indent of each statement; continuations, blank lines and comments have none."""
+    lines = line_table(python_files(spark, folder))
+    order = Window.partitionBy("file").orderBy("line")
+    before = F.sum("bracket_balance").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    joined = F.coalesce(F.endswith(F.lag("code").over(order), F.lit("\\")), F.lit(False))
+    inside = (F.coalesce(before, F.lit(0)) > 0) | joined
+    return lines.select(
+        "file",
+        "line",
+        F.when(~inside & (F.col("code") != ""), F.col("indent")).alias("indent"),
+        (~inside & (F.col("keyword") != "")).alias("is_header"),
+    )
+
+
 @query(
     "code_functions",
     PY_SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from codeloom.functions.jscode import fold_javascript, javascript_functions
-from codeloom.functions.pycode import fold_python, python_classes, python_functions
+from codeloom.functions.pycode import fold_python, line_facts, mask_python, python_classes, python_functions
 from codeloom.functions.text import language_of, total_lines
 from codeloom.operators.filters import has_structure
 
@@ -51,6 +51,25 @@ def file_reports(files: DataFrame, path: str = "file", text: str = "text", langu
     )
 
 
+def line_table(files: DataFrame, path: str = "file", text: str = "text") -> DataFrame:
+    """One row a line of Python source: number, indent, code without strings and comments, keyword.
+
+    ``bracket_balance`` is the number of brackets the line leaves open; lines inside a string or
+    bracket are continuations and their indent means nothing.
+    """
+    facts = F.expr(f"inline_outer({line_facts(mask_python('_text'))})")
+    lines = files.select(F.col(path).alias("file"), F.col(text).alias("_text")).select("file", facts)
+    return lines.select(
+        "file",
+        F.col("ln").alias("line"),
+        F.col("ind").alias("indent"),
+        F.col("body").alias("code"),
+        F.col("delta").alias("bracket_balance"),
+        F.col("note").alias("is_comment"),
+        "keyword",
+    )
+
+
 def unsupported(files: DataFrame, path: str = "file") -> DataFrame:
     """Files whose suffix names no supported language."""
     return files.where(language_of(F.col(path)).isNull())
