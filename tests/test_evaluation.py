@@ -15,7 +15,6 @@ from codeloom.operators.evaluation import (
     capped_samples,
     compare_runs,
     evaluation_totals,
-    mean_pass_at_k,
     problem_results,
     with_passed,
 )
