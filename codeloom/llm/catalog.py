@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.catalog.registry import table
 from codeloom.llm.exact_dedup import exact_dedup
+from codeloom.llm.line_dedup import MIN_WORDS, dedup_lines
 from codeloom.llm.mixing import mix_sources
 from codeloom.llm.packing import pack_documents
 from codeloom.llm.url_filter import SOFT, STRICT, Rule, judge_urls
@@ -22,6 +23,38 @@ URL_RULES = (
 )
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return dedup_lines(docs)
+
+
+OP1_SQL = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+n AS (SELECT *, trim(regexp_replace(line, '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS n FROM l),
+w AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id) AS total, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS fin
+  FROM (SELECT doc_id, pos, n, len(string_split(n, ' ')) AS words FROM n WHERE n <> '')),
+s AS (SELECT *, fin - words AS begin FROM w),
+win AS (
+  SELECT doc_id, pos AS first, max(pos) OVER f AS last, string_agg(n, chr(10)) OVER f AS c FROM s
+  WINDOW f AS (PARTITION BY doc_id ORDER BY begin RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)
+  QUALIFY total - begin >= {MIN_WORDS}
+  UNION
+  SELECT doc_id, min(pos) OVER b, pos, string_agg(n, chr(10)) OVER b FROM s
+  WINDOW b AS (PARTITION BY doc_id ORDER BY fin RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)
+  QUALIFY fin >= {MIN_WORDS}),
+later AS (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY c ORDER BY doc_id, first) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM later),
+kept AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL) AS text, count(*) AS n_lines, count(gone.pos) AS n_deleted
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+       coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).drop("row_hash")
 
@@ -76,6 +109,7 @@ FROM judged
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pack_documents": op6_pack_documents,
@@ -83,6 +117,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op8_judge_urls": _url_sql(),
 }
