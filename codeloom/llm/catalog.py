@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.catalog.registry import table
+from codeloom.llm.common import shared_path
 from codeloom.llm.exact_dedup import exact_dedup
 from codeloom.llm.line_dedup import MIN_WORDS, dedup_lines
 from codeloom.llm.mixing import mix_sources
 from codeloom.llm.packing import pack_documents
+from codeloom.llm.token_files import read_token_files, write_token_files
 from codeloom.llm.url_filter import SOFT, STRICT, Rule, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +84,13 @@ def op8_judge_urls(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_path(spark, "token-files")
+    write_token_files(table(spark, folder, "documents"), path)
+    docs = read_token_files(spark, path)
+    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def _url_sql() -> str:
     def hits(terms) -> str:
         return " + ".join(
@@ -114,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pack_documents": op6_pack_documents,
     "op8_judge_urls": op8_judge_urls,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codeloom.session import shared_dir
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``."""
+    return f"{shared_dir(spark).rstrip('/')}/codeloom-{name}-{uuid.uuid4().hex}"
+
+
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and go on from the files.
 
@@ -17,7 +22,7 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     join shuffles both sides and the adaptive planner may split a hot key on either.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/codeloom-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
