@@ -14,6 +14,7 @@ from codeloom.llm.mixing import mix_sources
 from codeloom.llm.packing import pack_documents
 from codeloom.llm.token_files import read_token_files, write_token_files
 from codeloom.llm.url_filter import SOFT, STRICT, Rule, judge_urls
+from codeloom.llm.warc import page_of, read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +85,15 @@ def op8_judge_urls(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    write_warc(table(spark, folder, "pages"), path)
+    return read_warc(spark, path).select(
+        page_of(F.col("record_id")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page_of(F.col("refers_to")).cast("long").alias("refers_to"),
+    )
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     write_token_files(table(spark, folder, "documents"), path)
@@ -123,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pack_documents": op6_pack_documents,
     "op8_judge_urls": op8_judge_urls,
+    "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
 }
 
