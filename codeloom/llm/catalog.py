@@ -13,6 +13,7 @@ from codeloom.llm.line_dedup import MIN_WORDS, dedup_lines
 from codeloom.llm.mixing import mix_sources
 from codeloom.llm.packing import pack_documents
 from codeloom.llm.token_files import read_token_files, write_token_files
+from codeloom.llm.toxicity import toxicity
 from codeloom.llm.url_filter import SOFT, STRICT, Rule, judge_urls
 from codeloom.llm.warc import page_of, read_warc, write_warc
 
@@ -58,6 +59,11 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, folder, "labels")).drop("text")
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).drop("row_hash")
 
@@ -129,6 +135,7 @@ FROM judged
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_toxicity": op2_toxicity,
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pack_documents": op6_pack_documents,
