@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codeloom.catalog.registry import table
 from codeloom.llm.common import shared_path
 from codeloom.llm.exact_dedup import exact_dedup
+from codeloom.llm.jaccard_join import jaccard_classes
 from codeloom.llm.line_dedup import MIN_WORDS, dedup_lines
 from codeloom.llm.mixing import mix_sources
 from codeloom.llm.packing import pack_documents
@@ -87,6 +88,10 @@ def op6_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_classes(table(spark, folder, "documents")).drop("place")
+
+
 def op8_judge_urls(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), URL_RULES)
 
@@ -139,6 +144,7 @@ QUERIES: dict[str, Query] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pack_documents": op6_pack_documents,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_judge_urls": op8_judge_urls,
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,

@@ -35,3 +35,31 @@ def spark_space(text: Column) -> Column:
 def hash128(value: Column) -> list[Column]:
     """Two independent 64-bit hashes of one value (a different seed each)."""
     return [F.xxhash64(value), F.xxhash64(F.lit(0x5EED), value)]
+
+
+# A filter on hashes of keys has 2**25 bits: 1,024 pages of 32,768 bits, 4 MB in all, whatever the input.
+PAGES = 1024
+
+
+def _bit(key: Column) -> Column:
+    """Place of a key in the bitmap, counted from 1."""
+    return F.pmod(F.xxhash64(key), F.lit(PAGES * 32768)) + 1
+
+
+def key_bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """Bitmap of the hashes of a key column: at most ``PAGES`` rows of 4 KB."""
+    place = _bit(F.col(key))
+    return keys.groupBy(F.bitmap_bucket_number(place).alias("_page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits")
+    )
+
+
+def maybe_in(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """Rows whose key may be in the bitmap: all that are, and a few others. Nothing is shuffled.
+
+    The broadcast is bounded by 4 MB; when a very large key set fills the bitmap, all rows pass.
+    """
+    bit = F.bitmap_bit_position(_bit(F.col(key))).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("_page", F.bitmap_bucket_number(_bit(F.col(key)))).join(F.broadcast(bitmap), "_page")
+    return marked.where(F.call_function("getbit", byte, F.pmod(bit, F.lit(8))) == 1).drop("_page", "_bits")

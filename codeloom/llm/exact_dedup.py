@@ -6,10 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codeloom.llm.common import spark_space, spool
-
-# The filter on hash prefixes has 2**25 bits: 1,024 pages of 32,768 bits, 4 MB in all, whatever the input.
-PAGES = 1024
+from codeloom.llm.common import key_bitmap, maybe_in, spark_space, spool
 
 
 def content_hash(text: Column) -> Column:
@@ -17,11 +14,6 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _prefix(digest: Column) -> Column:
-    """Bits 0-24 of a hash, counted from 1."""
-    return F.pmod(F.xxhash64(digest), F.lit(PAGES * 32768)) + 1
-
-
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -49,19 +41,7 @@ def exact_dedup(
         rows.select("id", "place", digest(F.col("text")).alias("hash"), F.sha2("text", 256).alias("sha")), "exact-hashes"
     )
     several = narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    mark = _prefix(F.col("hash"))
-    pages = several.groupBy(F.bitmap_bucket_number(mark).alias("page")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(mark)).alias("bits")
-    )
-    # At most PAGES rows of 4 KB: a bound of 4 MB by construction.
-    bit = F.bitmap_bit_position(_prefix(F.col("hash"))).cast("int")
-    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    maybe = (
-        rows.withColumn("hash", digest(F.col("text")))
-        .withColumn("page", F.bitmap_bucket_number(_prefix(F.col("hash"))))
-        .join(F.broadcast(pages), "page")
-        .where(F.call_function("getbit", byte, F.pmod(bit, F.lit(8))) == 1)
-    )
+    maybe = maybe_in(rows.withColumn("hash", digest(F.col("text"))), "hash", key_bitmap(several, "hash"))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "place"))
     groups = spool(
         maybe.groupBy("hash", "text")
