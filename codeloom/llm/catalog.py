@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.catalog.registry import table
+from codeloom.llm.ann import nearest_neighbours
 from codeloom.llm.common import shared_path
 from codeloom.llm.exact_dedup import exact_dedup
 from codeloom.llm.jaccard_join import jaccard_classes
@@ -65,6 +66,11 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(docs, table(spark, folder, "labels")).drop("text")
 
 
+def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).drop("row_hash")
 
@@ -141,6 +147,7 @@ FROM judged
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pack_documents": op6_pack_documents,

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codeloom.session import shared_dir
@@ -63,3 +66,27 @@ def maybe_in(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     marked = rows.withColumn("_page", F.bitmap_bucket_number(_bit(F.col(key)))).join(F.broadcast(bitmap), "_page")
     return marked.where(F.call_function("getbit", byte, F.pmod(bit, F.lit(8))) == 1).drop("_page", "_bits")
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys`` as one table a group; only a group and a batch are held at a time."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        cut = np.zeros(batch.num_rows, bool)
+        cut[0] = True
+        for c in columns:
+            cut[1:] |= c[1:] != c[:-1]
+        starts = [*np.flatnonzero(cut).tolist(), batch.num_rows]
+        for i, j in zip(starts, starts[1:]):
+            key = tuple(c[i] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

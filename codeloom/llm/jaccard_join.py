@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm.common import key_bitmap, maybe_in, spool
+from codeloom.llm.common import key_bitmap, maybe_in, sorted_groups, spool
 from codeloom.llm.shingles import COORDINATES, WORDS, mix, set_key, shingle_set, sketch
 
 SIMILARITY = 0.8
@@ -47,7 +47,7 @@ def children(parents: np.ndarray, sketches: np.ndarray, similarity: float) -> tu
     return rows, mix(parents[rows] * _C[3] + (chosen << np.uint64(20)) + values + np.uint64(1))
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, COORDINATES)
 
 
@@ -138,37 +138,21 @@ def compared(groups: Iterator[tuple[np.ndarray, dict[str, np.ndarray]]], similar
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
-    """Rows sorted by (leaf, a, b) as one table a tile; only a tile is held at a time."""
-    held: list[pa.RecordBatch] = []
-
-    def cut(table: pa.Table) -> tuple[int, dict]:
+    """Rows sorted by (leaf, a, b) as the arrays of one tile at a time."""
+    top = np.iinfo(np.int64).max
+    for table in sorted_groups(batches, ["leaf", "a", "b"]):
         lists = table.column("leaves").to_pylist()
         width = max(map(len, lists))
-        top = np.iinfo(np.int64).max
-        return table.column("leaf")[0].as_py(), {
+        yield table.column("leaf")[0].as_py(), {
             "table": table,
             "r": table.column("r").to_numpy(),
             "tile": table.column("tile").to_numpy(),
             "across": table.column("a")[0].as_py() != table.column("b")[0].as_py(),
             "tokens": table.column("tokens").to_numpy(),
-            "sketch": _sketches(table.column("sketch").combine_chunks()),
+            "sketch": _sketches(table.column("sketch")),
             "leaves": np.array([[*v, *[top] * (width - len(v))] for v in lists], np.int64),
         }
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy() for c in ("leaf", "a", "b")])
-        starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for i, j in zip(starts, starts[1:]):
-            part = batch.slice(i, j - i)
-            if held and any(held[-1].column(c)[0].as_py() != part.column(c)[0].as_py() for c in ("leaf", "a", "b")):
-                yield cut(pa.Table.from_batches(held))
-                held = []
-            held.append(part)
-    if held:
-        yield cut(pa.Table.from_batches(held))
-
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections: a product of membership tables, a stretch of shingles at a time."""
