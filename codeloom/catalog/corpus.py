@@ -25,7 +25,7 @@ from codeloom.operators.ordering import content_digest, first_n, first_seen
 from codeloom.plans.corpus import format_for_training, local_records, prepare_corpus
 from codeloom.session import shared_dir
 from codeloom.sources.sinks import write_dataset, write_records
-from codeloom.sources.tables import choose_splits, read_records, read_table, spread_small_scan
+from codeloom.sources.tables import choose_splits, read_records, read_table
 
 SQL_SPACES = " || ".join(f"chr({ord(c)})" for c in PY_WHITESPACE)
 
@@ -45,7 +45,7 @@ def raw_code(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def prepared_sql(lang: str, limit: int) -> str:
+def prepared_sql(lang: str, limit: int | None = None) -> str:
     """Prepared rows in the order of the rules: filters, first of equal contents, first N."""
     return f"""
     SELECT doc_id, text AS code, '{lang}' AS language, source AS repo,
@@ -54,10 +54,10 @@ def prepared_sql(lang: str, limit: int) -> str:
           FROM documents
           WHERE lower(coalesce(lang, '')) = '{lang}' AND {stripped_sql("coalesce(text, '')")} >= 50
             AND length(text) <= 50000)
-    WHERE nth = 1 ORDER BY doc_id LIMIT {limit}"""
+    WHERE nth = 1 {f'ORDER BY doc_id LIMIT {limit}' if limit else ''}"""
 
 
-@query("corpus_prepare", prepared_sql("en", 100_000))
+@query("corpus_prepare", prepared_sql("en"))
 def corpus_prepare(spark: SparkSession, folder: str) -> DataFrame:
     return prepare_corpus(raw_code(spark, folder), "en", "doc_id", keep=["doc_id"])
 
@@ -121,7 +121,7 @@ def hash_content(spark: SparkSession, folder: str) -> DataFrame:
     WHERE nth = 1""",
 )
 def dedup_exact(spark: SparkSession, folder: str) -> DataFrame:
-    unique = first_seen(table(spark, folder, "documents"), content_digest(F.col("text")), "doc_id")
+    unique = first_seen(table(spark, folder, "documents"), content_digest(F.col("text")), "doc_id", unique_key=True)
     return unique.select("doc_id", "lang", "source", content_hash(F.col("text")).alias("code_hash"))
 
 
@@ -316,7 +316,7 @@ def padded_sql(ids: str, n: int) -> str:
     FROM (SELECT doc_id, {ids_sql('text', 128)} AS ids FROM documents)""",
 )
 def encode_rows(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spread_small_scan(table(spark, folder, "documents"))
+    documents = table(spark, folder, "documents")
     rows = fixed_length_rows(documents, max_length=128, keep=["doc_id"])
     return rows.select(
         "doc_id",
@@ -347,7 +347,7 @@ def _run_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
 
 
-@query("jsonl_roundtrip", prepared_sql("es", 100_000).replace("SELECT doc_id, ", "SELECT ", 1))
+@query("jsonl_roundtrip", prepared_sql("es").replace("SELECT doc_id, ", "SELECT ", 1))
 def jsonl_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Prepared records written as JSON Lines and read back."""
     target = _run_folder(spark)

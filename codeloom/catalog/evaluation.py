@@ -23,7 +23,6 @@ from codeloom.operators.metrics import best_checkpoint, binary_metrics
 from codeloom.plans.classifier import evaluate, held_out, train
 from codeloom.plans.evaluation import programs
 from codeloom.sources.sinks import scores_json
-from codeloom.sources.tables import spread_small_scan
 
 SAMPLE_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -45,20 +44,19 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
 PASSED_SQL = "(l_returnflag <> 'R' AND NOT (l_linestatus = 'O' AND l_quantity > 40))"
 
 
-def results_sql(cap: int) -> str:
+def results_sql(cap: int | None = None) -> str:
+    limit = f"QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(SAMPLE_KEY)}) <= {cap}" if cap else ""
     return f"""WITH taken AS (
       SELECT l_orderkey AS task_id, l_linenumber, l_partkey, l_suppkey, {PASSED_SQL} AS passed
-      FROM lineitem
-      QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(SAMPLE_KEY)}) <= {cap}),
+      FROM lineitem {limit}),
     results AS (
       SELECT o_orderkey AS task_id, count(t.task_id) AS n_samples,
              count(*) FILTER (WHERE t.passed) AS correct
       FROM orders LEFT JOIN taken t ON t.task_id = o_orderkey GROUP BY 1)"""
 
 
-def results(spark: SparkSession, folder: str, cap: int = 20) -> DataFrame:
-    taken = capped_samples(samples(spark, folder), cap, order_by=SAMPLE_KEY)
-    return problem_results(problems(spark, folder), with_passed(taken))
+def results(spark: SparkSession, folder: str) -> DataFrame:
+    return problem_results(problems(spark, folder), with_passed(samples(spark, folder)))
 
 
 @query(
@@ -81,14 +79,14 @@ def capped_hot_group(spark: SparkSession, folder: str) -> DataFrame:
     return capped_samples(events, 1500, "event_type", "event_id")
 
 
-@query("problem_results", results_sql(20) + " SELECT * FROM results")
+@query("problem_results", results_sql() + " SELECT * FROM results")
 def count_results(spark: SparkSession, folder: str) -> DataFrame:
     return results(spark, folder)
 
 
 @query(
     "evaluation_totals",
-    results_sql(20)
+    results_sql()
     + " SELECT CAST(sum(correct) AS BIGINT) AS total_correct, CAST(sum(n_samples) AS BIGINT) AS total_samples FROM results",
 )
 def totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,7 +97,7 @@ SCORED_SQL = """,
     ks AS (SELECT unnest([1, 2, 3, 4, 100]) AS k),
     scored AS (
       SELECT task_id, n_samples, correct, CAST(k AS BIGINT) AS k,
-             CASE WHEN n_samples - correct < k THEN 1.0
+             CASE WHEN n_samples = 0 THEN 0.0 WHEN n_samples - correct < k THEN 1.0
                   ELSE 1.0 - coalesce(list_product(list_transform(range(k),
                          lambda i: (n_samples - correct - i) / (n_samples - i))), 1.0) END AS score
       FROM results, ks)"""
@@ -107,7 +105,7 @@ SCORED_SQL = """,
 
 @query(
     "pass_at_k",
-    results_sql(20) + SCORED_SQL + " SELECT task_id, n_samples, correct, k, round(score, 9) AS score FROM scored",
+    results_sql() + SCORED_SQL + " SELECT task_id, n_samples, correct, k, round(score, 9) AS score FROM scored",
 )
 def score_problems(spark: SparkSession, folder: str) -> DataFrame:
     scored = problem_pass_at_k(results(spark, folder), [1, 2, 3, 4, 100])
@@ -116,7 +114,7 @@ def score_problems(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "pass_at_k_mean",
-    results_sql(20)
+    results_sql()
     + SCORED_SQL
     + """ SELECT k, round(avg(score), 9) AS score FROM scored
     WHERE k <= (SELECT sum(n_samples) // count(*) FROM results) GROUP BY k""",
@@ -127,7 +125,7 @@ def score_mean(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "scores_json",
-    results_sql(20)
+    results_sql()
     + SCORED_SQL
     + """, means AS (SELECT k, round(avg(score), 6) AS score FROM scored
     WHERE k <= (SELECT sum(n_samples) // count(*) FROM results) GROUP BY k)
@@ -325,7 +323,7 @@ def map_batches_drop(spark: SparkSession, folder: str) -> DataFrame:
 def train_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics on held-out documents; equal contents stay on one side."""
     rows = (
-        spread_small_scan(table(spark, folder, "documents"))
+        table(spark, folder, "documents")
         .join(table(spark, folder, "labels"), "doc_id")
         .select(F.col("text").alias("func"), F.col("quality").alias("labels"))
     )

@@ -11,14 +11,14 @@ def sample_passed(returncode: Column, timed_out: Column) -> Column:
 
 
 def pass_at_k(n: Column, c: Column, k: Column) -> Column:
-    """Unbiased pass@k for ``n`` samples of which ``c`` are correct."""
+    """Unbiased pass@k for ``n`` samples of which ``c`` are correct; 0 without samples."""
     wrong = n - c
     all_wrong = F.aggregate(
         F.sequence(F.lit(0).cast("bigint"), k.cast("bigint") - 1),
         F.lit(1.0),
         lambda acc, i: acc * (wrong - i) / (n - i),
     )
-    return F.when(wrong < k, F.lit(1.0)).otherwise(1.0 - all_wrong)
+    return F.when(n <= 0, F.lit(0.0)).when(wrong < k, F.lit(1.0)).otherwise(1.0 - all_wrong)
 
 
 def argmax(values: Column) -> Column:

@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 from codeloom.functions.scoring import pass_at_k, sample_passed
 from codeloom.operators.ordering import first_n_per_group
 
-SAMPLE_CAP = 20
 K_VALUES = (1, 10, 100)
 
 
 def capped_samples(
     samples: DataFrame,
-    cap: int | None = SAMPLE_CAP,
+    cap: int | None = None,
     task: str = "task_id",
     order_by: str | Sequence[str] = "sample_no",
 ) -> DataFrame:

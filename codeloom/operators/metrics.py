@@ -29,9 +29,14 @@ def binary_metrics(predictions: DataFrame, label: str = "labels", predicted: str
 
 
 def best_checkpoint(log: DataFrame, run: str = "run", step: str = "step", score: str = "f1") -> DataFrame:
-    """Step with the best score of each run; the lowest step wins a tie."""
+    """Step with the best score of each run; the lowest step wins a tie, a score that is no number never.
+
+    A run without any number has its lowest step with a null score.
+    """
+    sound = F.when(~F.isnan(F.col(score).cast("double")), F.col(score))
     return (
-        log.groupBy(run)
+        log.withColumn(score, sound)
+        .groupBy(run)
         .agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(step)).alias("n"))).alias("_best"))
         .select(run, (-F.col("_best.n")).alias(step), F.col("_best.s").alias(score))
     )

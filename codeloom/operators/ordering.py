@@ -1,27 +1,18 @@
 """First-seen, first-N and first-N-per-group.
 
-"First" needs an order, so every operator takes ``order_by``: columns that together identify a
-row and are not null. Wide content never takes part in the ordering work: keys are settled on a
-narrow projection, then the wide rows are picked by a semi join on the (unique, hence evenly
-spread) key.
+"First" needs an order, so every operator takes ``order_by``, columns in ascending order with null
+before all else. Keys need not be unique or present: ties are broken arbitrarily, but a content
+keeps one row and a first-N has N rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DataType, DateType, NumericType, TimestampType
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-from codeloom.session import reliable_checkpoint
-
-# Up to this many rows a top-N is gathered in one task; beyond it the order is settled by a
-# distributed sort.
-GATHER_ROWS = 10_000
-# Fixed-width keys of at most this many bytes in total are broadcast.
-BROADCAST_BYTES = 32 << 20
-# A group limit this high or lower is applied before the shuffle (Spark's own default threshold).
-MAP_SIDE_GROUP_LIMIT = 1_000
+# Keys that reach the driver at once while a bound is looked for.
+PIVOTS = 1_000
 
 
 def key_list(order_by: str | Sequence[str]) -> list[str]:
@@ -31,43 +22,28 @@ def key_list(order_by: str | Sequence[str]) -> list[str]:
     return keys
 
 
-def _fixed_width(kind: DataType) -> bool:
-    return isinstance(kind, (NumericType, DateType, TimestampType))
-
-
-def keep_keys(df: DataFrame, keys: DataFrame, at_most: int | None = None) -> DataFrame:
-    """Rows of ``df`` whose key is in ``keys``; broadcast only when ``at_most`` proves it small."""
-    names = keys.columns
-    if at_most is not None and all(_fixed_width(f.dataType) for f in keys.schema):
-        if at_most * 16 * len(names) <= BROADCAST_BYTES:
-            keys = F.broadcast(keys)
-    return df.join(keys, names, "left_semi").select(*df.columns)
-
-
 def first_seen_keys(df: DataFrame, same: Column, order_by: str | Sequence[str]) -> DataFrame:
-    """Key of the first row for each value of ``same``.
+    """Key of the first row for each value of ``same``, one row a value.
 
     A grouped minimum, so a value that holds a large share of the rows is reduced to one row per
-    map task before the shuffle.
+    map task before the shuffle. As part of a struct, a null key counts as the smallest.
     """
     keys = key_list(order_by)
-    first = F.min(keys[0]) if len(keys) == 1 else F.min(F.struct(*keys))
-    found = df.select(same.alias("_same"), *keys).groupBy("_same").agg(first.alias("_first"))
-    if len(keys) == 1:
-        return found.select(F.col("_first").alias(keys[0]))
+    found = df.select(same.alias("_same"), *keys).groupBy("_same").agg(F.min(F.struct(*keys)).alias("_first"))
     return found.select(*(F.col("_first")[k].alias(k) for k in keys))
 
 
 def first_seen(
-    df: DataFrame, same: Column, order_by: str | Sequence[str], unique_key: bool = True
+    df: DataFrame, same: Column, order_by: str | Sequence[str], unique_key: bool = False
 ) -> DataFrame:
-    """Rows that are the first of their value of ``same``.
+    """Rows that are the first of their value of ``same``, exactly one a value.
 
-    With ``unique_key=False`` several rows may share a key; exactly one row a value is still kept,
-    at the price of sorting whole rows.
+    ``unique_key=True`` is the caller's word that ``order_by`` is never null and never shared. Then
+    digests are settled on narrow rows and the wide ones are picked by a semi join on the key.
     """
     if unique_key:
-        return keep_keys(df, first_seen_keys(df, same, order_by))
+        keys = first_seen_keys(df, same, order_by)
+        return df.join(keys, keys.columns, "left_semi").select(*df.columns)
     return first_n_per_group(df.withColumn("_same", same), 1, "_same", order_by).drop("_same")
 
 
@@ -76,60 +52,86 @@ def content_digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def first_keys(keys: DataFrame, n: int, gather_rows: int = GATHER_ROWS) -> DataFrame:
-    """The ``n`` smallest rows of a narrow key table.
+def _literal(row: Row, like: DataFrame) -> Column:
+    """A key found on the driver as a constant of the table's own types."""
+    return F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, like.schema)))
 
-    Small ``n``: one top-N. Large ``n``: a range-partitioned sort written to the shared folder,
-    where each row knows its partition and position; counting rows per partition (a handful of
-    numbers) then gives the cut as one comparison.
+
+def nth_key(keys: DataFrame, n: int) -> tuple[Row | None, int, int]:
+    """The ``n``-th smallest row of a narrow key table: (key, rows below it, rows equal to it).
+
+    ``None`` if there are fewer than ``n``. Pivots from a sample of at most 1,000 keys cut the range
+    that holds the ``n``-th, one pass of counts finds the right stretch, and so on until a stretch
+    holds a single key. The range shrinks by about the number of pivots in each round, whatever
+    ``n`` is; nothing is sorted but the samples.
+    """
+    key = F.struct(*keys.columns)
+    inside, below = keys, 0
+    while True:
+        sample = inside.orderBy(F.rand(17)).limit(PIVOTS).distinct().orderBy(*keys.columns).collect()
+        if not sample:
+            return None, below, 0
+        step = max(1, len(sample) // 64)
+        pivots = sample[step - 1 :: step]
+        if pivots[-1] != sample[-1]:
+            pivots.append(sample[-1])
+        counts = inside.agg(
+            *(F.count_if(key < _literal(p, keys)).alias(f"b{i}") for i, p in enumerate(pivots)),
+            *(F.count_if(key <= _literal(p, keys)).alias(f"u{i}") for i, p in enumerate(pivots)),
+        ).first()
+        at = next((i for i in range(len(pivots)) if below + counts[f"u{i}"] >= n), None)
+        if at is not None and below + counts[f"b{at}"] < n:
+            return pivots[at], below + counts[f"b{at}"], counts[f"u{at}"] - counts[f"b{at}"]
+        low = len(pivots) - 1 if at is None else at - 1
+        if at is not None:
+            inside = inside.where(key < _literal(pivots[at], keys))
+        if low >= 0:
+            inside = inside.where(key > _literal(pivots[low], keys))
+            below += counts[f"u{low}"]
+
+
+def upto(df: DataFrame, keys: Sequence[str], bound: Row) -> DataFrame:
+    """Rows whose key is ``bound`` or below; what follows for the first column reaches the scan."""
+    first = F.col(keys[0])
+    plain = first.isNull() if bound[0] is None else first.isNull() | (first <= F.lit(bound[0]).cast(df.schema[keys[0]].dataType))
+    return df.where(plain & (F.struct(*keys) <= _literal(bound, df.select(*keys))))
+
+
+def first_n(df: DataFrame, n: int, order_by: str | Sequence[str]) -> DataFrame:
+    """The first ``n`` rows by ``order_by``.
+
+    The bound is looked up on narrow keys (small jobs, the same for every ``n``); the result is then a
+    filter on the table, with no sort, join or shuffle. Only where rows beyond the ``n``-th share its key
+    are rows of that one key counted off.
     """
-    names = keys.columns
     if n <= 0:
-        return keys.limit(0)
-    if n <= gather_rows:
-        return keys.orderBy(*names).limit(n)
-    placed = reliable_checkpoint(
-        keys.orderBy(*names).select(*names, F.monotonically_increasing_id().alias("_place"))
-    )
-    sizes = (
-        placed.groupBy(F.shiftright("_place", 33).alias("part"))
-        .agg(F.count("*").alias("rows"))
-        .orderBy("part")
-        .collect()
-    )
-    left = n
-    for part, rows in sizes:
-        if rows >= left:
-            return placed.where(F.col("_place") < (part << 33) + left).select(*names)
-        left -= rows
-    return placed.select(*names)
-
-
-def first_n(
-    df: DataFrame, n: int, order_by: str | Sequence[str], gather_rows: int = GATHER_ROWS
-) -> DataFrame:
-    """The first ``n`` rows by ``order_by``."""
-    chosen = first_keys(df.select(*key_list(order_by)), n, gather_rows)
-    return keep_keys(df, chosen, at_most=n)
+        return df.limit(0)
+    keys = df.select(*key_list(order_by))
+    bound, below, equal = nth_key(keys, n)
+    if bound is None:
+        return df
+    key, last, reached = F.struct(*keys.columns), _literal(bound, keys), upto(df, keys.columns, bound)
+    if below + equal == n:
+        return reached
+    return reached.where(key < last).unionByName(df.where(key == last).limit(n - below))
 
 
 def first_n_per_group(
-    df: DataFrame, n: int, group: str | Sequence[str], order_by: str | Sequence[str], lanes: int = 256
+    df: DataFrame, n: int, group: str | Sequence[str], order_by: str | Sequence[str], lanes: int | None = None
 ) -> DataFrame:
     """At most ``n`` rows of each group, first by ``order_by``.
 
-    Up to ``MAP_SIDE_GROUP_LIMIT`` Spark limits each group before the shuffle, which keeps a hot
-    group small. Above it, groups are first limited in ``lanes`` of their own (the first ``n`` of a
-    group are among the first ``n`` of each lane), so no task sorts a whole hot group.
+    Groups are first limited in ``lanes`` of their own (as many as there are shuffle partitions), as the
+    first ``n`` of a group are among the first ``n`` of each lane; so no task sorts a whole hot group.
+    Spark limits small ``n`` in each map task as well.
     """
     groups = [group] if isinstance(group, str) else list(group)
     keys = key_list(order_by)
+    lanes = lanes or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def limited(rows: DataFrame, by: list[str]) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(*by).orderBy(*keys))
         return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
-    if n > MAP_SIDE_GROUP_LIMIT:
-        lane = F.pmod(F.xxhash64(*keys), F.lit(lanes))
-        df = limited(df.withColumn("_lane", lane), [*groups, "_lane"]).drop("_lane")
-    return limited(df, groups)
+    lane = F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(lanes))
+    return limited(limited(df.withColumn("_lane", lane), [*groups, "_lane"]).drop("_lane"), groups)

@@ -17,16 +17,9 @@ from codeloom.operators.filters import (
     long_enough,
     short_enough,
 )
-from codeloom.operators.ordering import (
-    content_digest,
-    first_keys,
-    first_seen_keys,
-    keep_keys,
-    key_list,
-)
+from codeloom.operators.ordering import content_digest, first_n, first_seen, first_seen_keys, key_list, nth_key, upto
 from codeloom.sources.tree import files_by_extension
 
-MAX_FILES = 100_000
 RAW_COLUMNS = ["language", "content", "repo_name", "path"]
 
 
@@ -56,20 +49,23 @@ def prepare_corpus(
     raw: DataFrame,
     lang: str = "python",
     order_by: str | Sequence[str] = (),
-    max_files: int = MAX_FILES,
+    max_files: int | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Filter, drop exact duplicates (first by ``order_by`` wins), keep the first ``max_files``.
 
-    ``order_by`` is required and identifies a row. Which rows survive is settled on digests and keys alone; the
-    contents are read again for the survivors, and for ``max_files`` within the broadcast bound
-    they are never shuffled.
+    ``order_by`` is required; its values may be null or shared. With ``max_files`` the key of the
+    last record is settled on digests and keys first, and only rows up to it are looked at again.
     """
     keys = key_list(order_by)
     rows = accepted(raw, lang)
-    unique = first_seen_keys(rows, content_digest(F.col("content")), keys)
-    chosen = first_keys(unique, max_files)
-    return record(keep_keys(rows, chosen, at_most=max_files), lang, keep)
+    digest = content_digest(F.col("content"))
+    if max_files is None:
+        return record(first_seen(rows, digest, keys), lang, keep)
+    bound, _, _ = nth_key(first_seen_keys(rows, digest, keys), max_files) if max_files > 0 else (None, 0, 0)
+    if bound is not None:
+        rows = upto(rows, keys, bound)
+    return record(first_n(first_seen(rows, digest, keys), max_files, keys), lang, keep)
 
 
 def format_for_training(records: DataFrame, max_length: int = 512, keep: Sequence[str] = ()) -> DataFrame:

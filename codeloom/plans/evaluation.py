@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from codeloom.functions.text import assemble_program, strip_prompt, truncate_next_def
 from codeloom.operators.evaluation import (
     K_VALUES,
-    SAMPLE_CAP,
     capped_samples,
     mean_pass_at_k,
     problem_results,
@@ -22,7 +21,7 @@ def programs(
     samples: DataFrame,
     include_prompt: bool = True,
     call_check: bool = False,
-    cap: int | None = SAMPLE_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
     """The program to run for each sample.
 
@@ -48,7 +47,7 @@ def evaluate(
     problems: DataFrame,
     samples: DataFrame,
     k_values: Sequence[int] = K_VALUES,
-    cap: int | None = SAMPLE_CAP,
+    cap: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Results a problem and mean pass@k, from samples with ``returncode`` and ``timed_out``."""
     outcomes = samples.select("task_id", "sample_no", "returncode", "timed_out")

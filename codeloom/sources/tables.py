@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-# Spark's default size of a split.
-SPLIT_BYTES = 128 << 20
-
 RECORD = StructType(
     [
         StructField("code", StringType()),
@@ -55,19 +52,3 @@ def choose_splits(df: DataFrame, split: str = "split") -> tuple[DataFrame | None
     train = rows("train") if "train" in present else None
     check = next((n for n in ("validation", "test") if n in present), None)
     return train, rows(check) if check else None
-
-
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan of a few files over all cores, for work that is heavy for each row.
-
-    Applies to scans of fewer files than there are cores and of less than one split for each core
-    in total, so the shuffle is bounded by the cluster and not by the data. Larger scans have
-    enough splits of their own and are returned as they are.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if not 0 < len(df.inputFiles()) < cores:
-        return df
-    sizes = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-    total = sizes.agg(F.sum("file_size")).first()[0] or 0
-    return df.repartition(cores) if total < cores * SPLIT_BYTES else df

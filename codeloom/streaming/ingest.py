@@ -13,8 +13,6 @@ from codeloom.session import shared_dir
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# A content that makes up much of a batch is first thinned in this many lanes of its own.
-LANES = 16
 
 
 def read_stream(
@@ -38,7 +36,7 @@ def drop_seen(
     rows: DataFrame,
     code: str = "code",
     spread_by: tuple[str, ...] = ("repo", "path"),
-    lanes: int = LANES,
+    lanes: int | None = None,
     event_time: str | None = None,
     within: str | None = None,
 ) -> DataFrame:
@@ -46,21 +44,28 @@ def drop_seen(
 
     The state holds every distinct hash. With ``event_time`` and ``within`` (such as ``"2 days"``)
     old hashes are forgotten instead. One hash a row makes one hot task if a content is very
-    frequent, so rows are first thinned per hash and lane; with ``lanes=1`` that step is left out.
+    frequent, so rows are first thinned per hash and lane, in as many lanes as there are shuffle
+    partitions; with ``lanes=1`` that step is left out.
     """
     rows = rows.withColumn("code_hash", F.md5(code))
-    if event_time and within:
-        return rows.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["code_hash"])
+    bounded = bool(event_time and within)
+    if bounded:
+        rows = rows.withWatermark(event_time, within)
+
+    def once(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.dropDuplicatesWithinWatermark(by) if bounded else rows.dropDuplicates(by)
+
+    lanes = lanes or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if lanes > 1:
         lane = F.pmod(F.xxhash64(*spread_by), F.lit(lanes))
-        rows = rows.withColumn("_lane", lane).dropDuplicates(["code_hash", "_lane"]).drop("_lane")
-    return rows.dropDuplicates(["code_hash"])
+        rows = once(rows.withColumn("_lane", lane), ["code_hash", "_lane"]).drop("_lane")
+    return once(rows, ["code_hash"])
 
 
 def prepared_stream(
     raw: DataFrame,
     lang: str,
-    lanes: int = LANES,
+    lanes: int | None = None,
     spread_by: tuple[str, ...] = ("repo", "path"),
     keep: tuple[str, ...] = (),
 ) -> DataFrame:

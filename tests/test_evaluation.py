@@ -26,6 +26,8 @@ from codeloom.plans.evaluation import evaluate, programs
 
 
 def expected_score(n, c, k):
+    if n == 0:
+        return 0.0
     return 1.0 if n - c < k else 1.0 - reduce(lambda a, i: a * (n - c - i) / (n - i), range(k), 1.0)
 
 
@@ -48,7 +50,7 @@ def sample_rows(spark):
 
 def test_results_and_means(spark):
     problems = spark.createDataFrame([("a",), ("b",), ("c",), ("none",)], "task_id string")
-    results, means = evaluate(problems, sample_rows(spark), k_values=[1, 2, 6, 10])
+    results, means = evaluate(problems, sample_rows(spark), k_values=[1, 2, 6, 10], cap=20)
     assert {r.task_id: (r.n_samples, r.correct) for r in results.collect()} == {
         "a": (20, 4), "b": (3, 3), "c": (1, 0), "none": (0, 0),
     }
@@ -149,3 +151,10 @@ def test_classifier(spark):
     assert 10 < df.where(held).count() < 50
     assert evaluate_classifier(model, df.where(held)).first().f1 > 0.9
     assert predict(model, df).columns == ["func", "labels", "predicted"]
+
+
+def test_a_score_that_is_no_number_is_never_best(spark):
+    nan = float("nan")
+    rows = [("a", 1, 0.5), ("a", 2, nan), ("b", 3, nan), ("b", 4, None), ("c", 6, 0.1), ("c", 5, 0.1)]
+    got = best_checkpoint(spark.createDataFrame(rows, "run string, step int, f1 double")).collect()
+    assert sorted(map(str, map(tuple, got))) == ["('a', 1, 0.5)", "('b', 3, None)", "('c', 5, 0.1)"]

@@ -42,7 +42,7 @@ def test_bounded_state(spark, tmp_path):
     folder = str(tmp_path / "in")
     rows.withColumn("t", F.to_timestamp("t")).write.parquet(folder)
     stream = read_stream(spark, folder, spark.read.parquet(folder).schema)
-    kept = drop_seen(stream, event_time="t", within="1 day")
+    kept = drop_seen(stream, spread_by=("t",), event_time="t", within="1 day")
     query = kept.writeStream.format("memory").queryName("bounded").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.code for r in spark.table("bounded").collect()) == ["a", "b"]
