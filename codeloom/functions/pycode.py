@@ -32,6 +32,10 @@ _BRACKET = r"[()\[\]{}]"
 # A parenthesised list without further brackets, which needs no fold.
 _FLAT_LIST = r"^[^()\[\]{}]*\(([^()\[\]{}]*)\)"
 _LIST_PIECES = r"[(\[{]|[)\]}]|,|[^()\[\]{},]+"
+# The parameters of a lambda, whose commas separate nothing outside it.
+_LAMBDA = r"\blambda\b(?:[^:()\[\]{}]|\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\})*:"
+# A line that starts a definition: it ends a statement whose bracket was left open.
+_DEFINITION = r"(?U)^(?:(?:async\s+)?def\s+\w+\s*[(\[]|class\s+\w+\s*[(:\[]|@\w)"
 # A plain, annotated or untyped-default parameter; the name is the group.
 _PARAMETER = r"(?U)^(\w+)(?:\s*=.*|\s*:[^=]*)?$"
 
@@ -73,6 +77,7 @@ _STATE = {
     "keyword": "string",
     "balance": "int",
     "last": "int",  # last line that holds code
+    "read": "int",  # last line of the logical line that holds code
     "notes": "array<struct<ln:int,ind:int>>",  # last comment line since then for each least indent
     "deco_from": "int",  # decorator directly above, 0 if a comment lies in between
     "deco_to": "int",
@@ -159,7 +164,9 @@ def _step() -> str:
     """State ``s`` after the line ``l``.
 
     Written without inner bindings: a higher-order function copies what its lambda returns, and
-    the state holds all that was found so far.
+    the state holds all that was found so far. Only a line that starts a definition no deeper than
+    the statement that is being read takes two steps: an open bracket is given up there, as it
+    would swallow the rest of the file.
     """
     going = "s.start > 0"
     start, ind = f"IF({going}, s.start, l.ln)", f"IF({going}, s.ind, l.ind)"
@@ -216,18 +223,30 @@ def _step() -> str:
         imports=f"IF(contains({text}, 'import'), concat(s.imports, {_imports_in(text)}), s.imports)",
     )
     partial = changed(
-        "s", _STATE, start=start, ind=ind, text=_unjoined(text), keyword=keyword, balance=balance
+        "s",
+        _STATE,
+        start=start,
+        ind=ind,
+        text=_unjoined(text),
+        keyword=keyword,
+        balance=balance,
+        read="IF(l.body = '', s.read, l.ln)",
     )
     least = "least(coalesce(try_element_at(s.notes, -1).ind, l.ind), l.ind)"
     earlier = f"filter(s.notes, n -> n.ind > {least})"
     note = changed(
         "s", _STATE, notes=f"concat({earlier}, array(named_struct('ln', l.ln, 'ind', {least})))", deco_from="0"
     )
-    return f"""CASE
+    usual = f"""CASE
         WHEN s.start = 0 AND l.note THEN {note}
         WHEN s.start = 0 AND l.body = '' THEN s
         WHEN s.balance + l.delta > 0 OR l.joined THEN {partial}
         ELSE {complete} END"""
+    given_up = complete
+    for field, nothing in {"l.ln": "s.read", "l.body": "''", "l.delta": "0"}.items():
+        given_up = given_up.replace(field, nothing)
+    open_bracket = f"s.start > 0 AND s.balance > 0 AND l.ind <= s.ind AND rlike(l.body, {literal(_DEFINITION)})"
+    return f"CASE WHEN {open_bracket} THEN {let(given_up, 's', usual)} ELSE {usual} END"
 
 
 def fold_python(code: str) -> str:
@@ -287,6 +306,7 @@ def top_level_parts(header: str) -> str:
         part=f"CASE WHEN {ends} THEN '' WHEN {inside} AND NOT {opens} THEN concat(a.part, t) ELSE a.part END",
         parts=f"IF({ends}, concat(a.parts, array(a.part)), a.parts)",
     )
+    header = f"regexp_replace({header}, {literal(_LAMBDA)}, 'lambda:')"
     pieces = f"regexp_extract_all({header}, {literal(_LIST_PIECES)}, 0)"
     folded = f"aggregate({pieces}, {empty_state(kinds)}, (a, t) -> {step}, a -> a.parts)"
     flat = f"split(regexp_extract({header}, {literal(_FLAT_LIST)}, 1), ',')"

@@ -90,6 +90,20 @@ def test_strings_and_extents(spark):
     assert {n: (f.line, f.end_line, f.length) for n, f in found.items()} == {"f": (1, 9, 9), "g": (13, 17, 5)}
 
 
+def test_an_open_bracket_ends_at_the_next_definition(spark):
+    code = 'def f(d):\n    return f"{d["("]}"\n\n\n@deco\ndef g():\n    x = (1,\n\nclass C:\n    def m(self):\n        y = [\n    def n(self, a,\n          b):\n        pass\n'
+    got = report(spark, code)
+    assert [(f.name, f.line, f.end_line, f.params) for f in got.functions] == [
+        ("f", 1, 2, ["d"]), ("g", 6, 7, []), ("m", 10, 11, ["self"]), ("n", 12, 14, ["self", "a", "b"]),
+    ]
+    assert [c.methods for c in got.classes] == [["m", "n"]] and got.functions[1].decorators == ["@deco"]
+
+
+def test_lambda_defaults(spark):
+    code = "def f(a=lambda x, y: 1, b=lambda: 2, c=lambda x=(1, 2), *z: (x, z), lambda_d=3): pass\n"
+    assert report(spark, code).functions[0].params == ["a", "b", "c", "lambda_d"]
+
+
 def test_empty_and_unknown_files(spark):
     r = report(spark, "")
     assert (r.total_lines, r.avg_function_length, r.max_nesting, r.functions) == (1, 0.0, 0, [])
