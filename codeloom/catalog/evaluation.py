@@ -319,6 +319,20 @@ def map_batches_drop(spark: SparkSession, folder: str) -> DataFrame:
     return batch_map(table(spark, folder, "benchmark"), words, "item_id bigint, word string", drop_input=True)
 
 
+@query(
+    "classifier_separable",
+    """SELECT count(*) AS held_out, true AS learned FROM documents
+    WHERE CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) % 100 < 20""",
+)
+def classify_separable(spark: SparkSession, folder: str) -> DataFrame:
+    """A label that follows from the words (English or not) is learned from the other rows: four in five right."""
+    label = (F.col("lang") == "en").cast("int").alias("labels")
+    rows = table(spark, folder, "documents").select(F.col("text").alias("func"), label)
+    test = rows.where(held_out(F.col("func")))
+    metrics = evaluate(train(rows.where(~held_out(F.col("func"))), features=1 << 16), test)
+    return test.agg(F.count("*").alias("held_out")).crossJoin(metrics.select((F.col("accuracy") >= 0.8).alias("learned")))
+
+
 @query("train_classifier")
 def train_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics on held-out documents; equal contents stay on one side."""

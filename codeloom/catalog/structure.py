@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codeloom.catalog.derived import EXTENTS_SQL, JAVASCRIPT, PYTHON, code_files, lines_sql
@@ -16,6 +18,8 @@ from codeloom.operators.structure import (
     line_table,
     with_structure,
 )
+from codeloom.session import shared_dir
+from codeloom.sources.sinks import write_reports
 
 PY_SQL = f"WITH {lines_sql(PYTHON, '.py')}{EXTENTS_SQL}"
 JS_SQL = f"WITH {lines_sql(JAVASCRIPT, '.js')}"
@@ -130,6 +134,15 @@ def file_report(spark: SparkSession, folder: str) -> DataFrame:
     return report_numbers(file_reports(python_files(spark, folder)))
 
 
+@query("report_json", f"{REPORT_SQL} SELECT {REPORT_COLUMNS} FROM report")
+def report_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested reports written as JSON and read back."""
+    reports = file_reports(python_files(spark, folder))
+    target = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    write_reports(reports, target)
+    return report_numbers(spark.read.schema(reports.schema).json(target))
+
+
 @query(
     "files_with_structure",
     f"{REPORT_SQL} SELECT {REPORT_COLUMNS} FROM report WHERE n_functions > 0 OR n_classes > 0",

@@ -61,33 +61,40 @@ def nth_key(keys: DataFrame, n: int) -> tuple[Row | None, int, int]:
     """The ``n``-th smallest row of a narrow key table: (key, rows below it, rows equal to it).
 
     ``None`` if there are fewer than ``n``. Pivots from a sample of at most 1,000 keys cut the range
-    that holds the ``n``-th, one pass of counts finds the right stretch, and so on until a stretch
-    holds a single key. The range shrinks by about the number of pivots in each round, whatever
-    ``n`` is; nothing is sorted but the samples.
+    that holds the ``n``-th, one pass of grouped counts finds the right stretch, and so on until the
+    ``n``-th is one of the pivots. The range shrinks by about the number of pivots in each round,
+    whatever ``n`` is; nothing is sorted but the samples.
     """
     key = F.struct(*keys.columns)
-    inside, below = keys, 0
+    inside, below, size = keys, 0, None
     while True:
         sample = inside.orderBy(F.rand(17)).limit(PIVOTS).distinct().orderBy(*keys.columns).collect()
         if not sample:
             return None, below, 0
-        step = max(1, len(sample) // 64)
-        pivots = sample[step - 1 :: step]
-        if pivots[-1] != sample[-1]:
-            pivots.append(sample[-1])
-        counts = inside.agg(
-            *(F.count_if(key < _literal(p, keys)).alias(f"b{i}") for i, p in enumerate(pivots)),
-            *(F.count_if(key <= _literal(p, keys)).alias(f"u{i}") for i, p in enumerate(pivots)),
-        ).first()
-        at = next((i for i in range(len(pivots)) if below + counts[f"u{i}"] >= n), None)
-        if at is not None and below + counts[f"b{at}"] < n:
-            return pivots[at], below + counts[f"b{at}"], counts[f"u{at}"] - counts[f"b{at}"]
-        low = len(pivots) - 1 if at is None else at - 1
-        if at is not None:
+        # A range that the sample covers needs no further round: all its keys are pivots.
+        step = 1 if size is not None and size <= PIVOTS else max(1, len(sample) // 64)
+        pivots = sample[::-1][::step][::-1]
+        marks = F.array(*(_literal(p, keys) for p in pivots))
+        place = F.size(F.filter(marks, lambda p: p < key))
+        rows = inside.groupBy(place.alias("place"), F.exists(marks, lambda p: p == key).alias("equal")).count().collect()
+        counts = {(r["place"], r["equal"]): r["count"] for r in rows}
+        low, passed = None, below
+        for at, pivot in enumerate(pivots):
+            before = passed + counts.get((at, False), 0)
+            equal = counts.get((at, True), 0)
+            if before >= n:
+                break
+            if before + equal >= n:
+                return pivot, before, equal
+            low, passed = pivot, before + equal
+        else:
+            at = len(pivots)
+        size = counts.get((at, False), 0)
+        if at < len(pivots):
             inside = inside.where(key < _literal(pivots[at], keys))
-        if low >= 0:
-            inside = inside.where(key > _literal(pivots[low], keys))
-            below += counts[f"u{low}"]
+        if low is not None:
+            inside = inside.where(key > _literal(low, keys))
+        below = passed
 
 
 def upto(df: DataFrame, keys: Sequence[str], bound: Row) -> DataFrame:
