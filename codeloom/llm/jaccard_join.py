@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm.common import key_bitmap, maybe_in, sorted_groups, spool
-from codeloom.llm.shingles import COORDINATES, WORDS, mix, set_key, shingle_set, sketch
+from codeloom.llm.common import join_few, key_bitmap, maybe_in, sorted_groups, spool
+from codeloom.llm.shingles import COORDINATES, WORDS, minhashes, mix, set_key, shingle_set, sketch
 
 SIMILARITY = 0.8
 RECALL = 0.999
@@ -36,24 +36,39 @@ def runs_for(recall: float, similarity: float, levels: int = LEVELS) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p))) if p < 1 else 1
 
 
-def children(parents: np.ndarray, sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Child nodes of sets: (row numbers, node names). All sets of a node sample the same coordinates."""
+def sampled(parents: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates that the sets of each node go down: (row numbers of the nodes, coordinates)."""
     first = mix(parents ^ _C[0]) % np.uint64(COORDINATES)
     other = (first + np.uint64(1) + mix(parents ^ _C[1]) % np.uint64(COORDINATES - 1)) % np.uint64(COORDINATES)
     twice = (mix(parents ^ _C[2]) >> np.uint64(32)) < np.uint64(int((1 / similarity - 1) * 2**32))
     rows = np.concatenate([np.arange(len(parents)), np.flatnonzero(twice)])
-    chosen = np.concatenate([first, other[twice]])
-    values = sketches[rows, chosen.astype(np.int64)].astype(np.uint64)
-    return rows, mix(parents[rows] * _C[3] + (chosen << np.uint64(20)) + values + np.uint64(1))
+    return rows, np.concatenate([first, other[twice]]).astype(np.int64)
+
+
+def child(parents: np.ndarray, chosen: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Names of the nodes that sets with these minhashes in the chosen coordinates go to."""
+    return mix(mix(parents * _C[3] + chosen.astype(np.uint64)) + values)
 
 
 def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, COORDINATES)
 
 
-def shingled(docs: DataFrame, words: int, with_set: bool = False) -> DataFrame:
-    """``docs(place, id, text)`` as place, id, ``tokens`` (size of the set), ``key``, ``sketch`` — or as place, ``members``."""
+def shingled(docs: DataFrame, words: int, similarity: float = SIMILARITY, runs: int = 0) -> DataFrame:
+    """``docs(place, id, text)`` as place, id, ``tokens`` (size of the set), ``key``, ``sketch`` and the first ``nodes`` of all runs.
+
+    Without runs: place and ``members``, the set itself.
+    """
     id_type = docs.schema["id"].dataType.simpleString()
+    roots = mix(np.arange(1, runs + 1, dtype=np.uint64))
+    at_root, chosen = sampled(roots, similarity)
+
+    def described(s: np.ndarray) -> tuple:
+        if not len(s):
+            return 0, None, None, None
+        lows = minhashes(s)
+        nodes = child(roots[at_root], chosen, lows[chosen]).view(np.int64)
+        return len(s), set_key(s), sketch(lows).astype("<u2").tobytes(), nodes
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,40 +76,34 @@ def shingled(docs: DataFrame, words: int, with_set: bool = False) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 found = [shingle_set(t.as_py(), words) for t in texts[at : at + 512]]
                 places = batch.column("place")[at : at + 512]
-                if with_set:
+                if not runs:
                     yield pa.RecordBatch.from_arrays([places, pa.array([s.tobytes() for s in found], pa.binary())], ["place", "members"])
                     continue
                 yield pa.RecordBatch.from_arrays(
                     [
-                        places, batch.column("id")[at : at + 512], pa.array([len(s) for s in found], pa.int64()),
-                        pa.array([set_key(s) if len(s) else None for s in found], pa.binary()),
-                        pa.array([sketch(s).astype("<u2").tobytes() if len(s) else None for s in found], pa.binary()),
+                        places, batch.column("id")[at : at + 512],
+                        *(pa.array(c, k) for c, k in zip(zip(*map(described, found)), (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))),
                     ],
-                    ["place", "id", "tokens", "key", "sketch"],
+                    ["place", "id", "tokens", "key", "sketch", "nodes"],
                 )
 
-    kinds = "place long, members binary" if with_set else f"place long, id {id_type}, tokens long, key binary, sketch binary"
+    kinds = f"place long, id {id_type}, tokens long, key binary, sketch binary, nodes array<long>" if runs else "place long, members binary"
     return docs.mapInArrow(sets, kinds)
 
 
-def bucket_members(reps: DataFrame, similarity: float, runs: int, levels: int, bucket: int) -> DataFrame:
+def bucket_members(reps: DataFrame, similarity: float, levels: int, bucket: int) -> DataFrame:
     """``leaf, r, n``: the buckets of two sets or more in which the chosen paths of all runs end."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sketches = _sketches(batch.column("sketch"))
-            r = batch.column("r").to_numpy()
-            if "node" in batch.schema.names:
-                parents = [batch.column("node").to_numpy().view(np.uint64)]
-            else:
-                parents = [np.full(len(r), mix(np.array([run + 1], np.uint64))[0]) for run in range(runs)]
-            for p in parents:
-                rows, nodes = children(p, sketches, similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(r[rows])], ["node", "r"])
-
-    nodes = spool(reps.select("r", "sketch").mapInArrow(split, "node long, r long"), "near-nodes")
+            if batch.num_rows:
+                parents = batch.column("node").to_numpy().view(np.uint64)
+                rows, chosen = sampled(parents, similarity)
+                values = _sketches(batch.column("sketch"))[rows, chosen].astype(np.uint64)
+                nodes = child(parents[rows], chosen, values)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column("r").take(pa.array(rows))], ["node", "r"])
+
+    nodes = reps.select("r", F.explode("nodes").alias("node"))
     found = None
     for level in range(1, levels + 1):
         sizes = spool(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
@@ -170,9 +179,9 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similar_sets(reps: DataFrame, texts: DataFrame, similarity: float, runs: int, words: int, levels: int, bucket: int) -> DataFrame:
+def similar_sets(reps: DataFrame, texts: DataFrame, similarity: float, words: int, levels: int, bucket: int) -> DataFrame:
     """``r, root, links``: for each set and bucket tile with a verified pair, the smallest set it hangs together with there and its number of pairs."""
-    leaves = spool(bucket_members(reps, similarity, runs, levels, bucket), "near-leaves")
+    leaves = spool(bucket_members(reps, similarity, levels, bucket), "near-leaves")
     per_set = leaves.groupBy("r").agg(F.collect_list(F.struct("leaf", "n")).alias("at"))
     tiles = F.ceil(F.col("at_one.n") / bucket).cast("int")
     placed = (
@@ -195,7 +204,7 @@ def similar_sets(reps: DataFrame, texts: DataFrame, similarity: float, runs: int
     needed = spool(grouped.mapInArrow(promising, grouped.schema), "near-needed")
     wanted = spool(needed.select("r").distinct(), "near-wanted").withColumnRenamed("r", "place")
     sets = shingled(
-        maybe_in(texts, "place", key_bitmap(wanted, "place")).join(wanted, "place", "left_semi").select("place", "id", "text"), words, with_set=True
+        maybe_in(texts, "place", key_bitmap(wanted, "place")).join(wanted, "place", "left_semi").select("place", "id", "text"), words
     ).withColumnRenamed("place", "r")
     loaded = needed.join(sets, "r").repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b", "r")
 
@@ -271,15 +280,15 @@ def jaccard_classes(
     ``docs`` must be deterministic (a table or files), as its texts are read twice.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("place"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = spool(shingled(texts, words), "near-sets")
+    rows = spool(shingled(texts, words, similarity, runs_for(recall, similarity, levels)), "near-sets")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "place")
     reps = spool(
         rows.where("key IS NOT NULL").groupBy("key")
-        .agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
-        .select("key", F.col("first.place").alias("r"), F.col("first.id").alias("id"), "copies", "tokens", "sketch"),
+        .agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
+        .select("key", F.col("first.place").alias("r"), F.col("first.id").alias("id"), "copies", "tokens", "sketch", "nodes"),
         "near-reps",
     )
-    found = similar_sets(reps, texts, similarity, runs_for(recall, similarity, levels), words, levels, bucket)
+    found = similar_sets(reps, texts, similarity, words, levels, bucket)
     counts = found.groupBy("r").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("r").alias("u"), F.col("root").alias("v")))
     classes = (
@@ -308,4 +317,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each class of ``jaccard_classes``, all columns passed through."""
     dropped = spool(jaccard_classes(docs, id_col, text_col, **options).where(~F.col("kept")).select("place"), "near-dropped")
     rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place"))
-    return rows.join(dropped, "place", "left_anti").select("row.*")
+    return join_few(rows, dropped, "place", "left_anti").select("row.*")

@@ -71,10 +71,18 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Minhashes, one for each coordinate, 16 bits of each. Two sets agree in a share equal to their Jaccard similarity."""
+def minhashes(shingles: np.ndarray) -> np.ndarray:
+    """The smallest hash of the set under each coordinate's hash function.
+
+    Two sets agree in a share of coordinates that is, on average, their Jaccard similarity.
+    """
     low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1024):
         part = shingles[at : at + 1024, None] * _MULTIPLIERS + _ADDENDS
         low = np.minimum(low, part.min(axis=0))
-    return (low >> np.uint64(24)).astype(np.uint16)
+    return low
+
+
+def sketch(lows: np.ndarray) -> np.ndarray:
+    """16 bits of each minhash."""
+    return (lows >> np.uint64(24)).astype(np.uint16)
