@@ -72,7 +72,7 @@ def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
-    return mix_sources(table(spark, folder, "documents")).drop("row_hash")
+    return mix_sources(table(spark, folder, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

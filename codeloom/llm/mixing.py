@@ -59,40 +59,36 @@ def _key() -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: DataFrame | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    share: float = 1.5,
-    most: float = 2.0,
-    seed: int = 1,
-) -> DataFrame:
-    """One row per input row: id, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``, ``row_hash``.
+def row_hash(id_col: str, text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
-    Sizes are word counts. Targets are the weighted shares of ``share`` times all sizes, none above
-    ``most`` times its source. A target of q whole passes and a rest takes every row q times, and
-    once more the rows whose hash is below the source's threshold, so a larger budget takes all that
-    a smaller one does. Thresholds come from histograms: words by source and hash bucket; the bucket
-    in which the budget is crossed is cut into 4,096 again, and only its rows are counted in the
-    next round; the last bucket is taken if that comes nearer. Nothing is sorted by row. ``row_hash``
-    is of id and text, so reruns agree, and ``join_mix`` finds the rows again by it.
 
-    Defined cases: null text has size 0; null is a source of its own; null and repeated ids take
-    part (rows that share id and text share a hash and are taken together); an empty table gives an
-    empty result; a source of size 0 has target 0; sources that ``weights`` does not name get none;
-    weights of a repeated source are added up; other columns are not read.
-    """
-    rows = spool(
-        docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-            row_hash(id_col, text_col, seed).alias("row_hash"),
-        )
-        .withColumn("key", _key())
-        .withColumn("place", F.col("row_hash").bitwiseAND((1 << HASH_BITS) - 1)),
-        "mix-rows",
+def _place() -> Column:
+    return F.col("row_hash").bitwiseAND((1 << HASH_BITS) - 1)
+
+
+def _copies() -> Column:
+    return F.col("passes") + F.when(_place() < F.coalesce("below", F.lit(0)), 1).otherwise(0)
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
+    """``id, source, key, size, row_hash``: what the mix needs of each row, written once."""
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        row_hash(id_col, text_col, seed).alias("row_hash"),
     )
+    return spool(rows.withColumn("key", _key()), "mix-rows")
+
+
+def mix_plan(rows: DataFrame, weights: DataFrame | None = None, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """One row a source: ``key, source_size, target, passes, below``; ``rows`` come from ``sized``.
+
+    A target of q whole passes and a rest takes every row q times (``passes``), and once more the
+    rows whose hash is ``below`` the threshold, so a larger budget takes all that a smaller one does.
+    Thresholds come from histograms: words by source and hash bucket; the bucket in which the budget
+    is crossed is cut into 4,096 again, and only its rows are counted in the next round; the last
+    bucket is taken if that comes nearer. Nothing is sorted by row.
+    """
     sizes = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     if weights is None:
         weights = cycled_weights(sizes)
@@ -105,9 +101,10 @@ def mix_sources(
     rest = F.col("target") - F.col("passes") * F.col("source_size")
     # Rows below `low` are taken; `left` words are still to be found from there on.
     state = targets.select("key", F.lit(0).cast("long").alias("low"), rest.alias("left"))
+    placed = rows.select("key", "size", _place().alias("place"))
     for level in range(1, LEVELS + 1):
         shift = HASH_BITS - LEVEL_BITS * level
-        inside = rows if level == 1 else rows.join(state, "key").where(
+        inside = placed if level == 1 else placed.join(state, "key").where(
             (F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + (1 << (shift + LEVEL_BITS)))
         )
         buckets = inside.groupBy("key", F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("words"))
@@ -128,28 +125,57 @@ def mix_sources(
         )
     width = 1 << (HASH_BITS - LEVEL_BITS * LEVELS)
     bounds = state.select("key", (F.col("low") + F.when(2 * F.col("left") > F.col("words"), width).otherwise(0)).alias("below"))
-    plan = spool(targets.drop("source", "weight").join(bounds, "key", "left"), "mix-plan")
-    copies = F.col("passes") + F.when(F.col("place") < F.coalesce("below", F.lit(0)), 1).otherwise(0)
+    return spool(targets.drop("source", "weight").join(bounds, "key", "left"), "mix-plan")
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: DataFrame | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 1,
+) -> DataFrame:
+    """One row per input row: id, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
+
+    Sizes are word counts. Targets are the weighted shares of ``share`` times all sizes, none above
+    ``most`` times its source; ``mix_plan`` says how rows are chosen. The hash is of id and text, so
+    reruns agree.
+
+    Defined cases: null text has size 0; null is a source of its own; null and repeated ids take
+    part (rows that share id and text share a hash and are taken together); an empty table gives an
+    empty result; a source of size 0 has target 0; sources that ``weights`` does not name get none;
+    weights of a repeated source are added up; other columns are not read.
+    """
+    rows = sized(docs, id_col, text_col, source_col, seed)
     return (
-        rows.join(plan, "key")
-        .withColumn("copies", copies)
+        rows.join(mix_plan(rows, weights, share, most), "key")
+        .withColumn("copies", _copies())
         .select(
             F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies",
-            (F.col("copies") * F.col("size")).alias("taken"), "row_hash",
+            (F.col("copies") * F.col("size")).alias("taken"),
         )
     )
 
 
-def row_hash(id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-
-
-def mixed_rows(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
-    """Rows of ``docs`` as often as ``mix`` (a result of ``mix_sources``) takes them, all columns kept.
+def mixed_rows(
+    docs: DataFrame,
+    weights: DataFrame | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 1,
+) -> DataFrame:
+    """Rows of ``docs`` as often as the mix of ``mix_sources`` takes them, all columns kept.
 
-    Copies are made in place; rows are matched by ``row_hash``, one row of the mix for each hash.
+    Each row is compared with its source's threshold; only the plan, a row a source, is joined.
     """
-    times = mix.where("copies > 0").groupBy("row_hash").agg(F.max("copies").alias("copies"))
-    packed = docs.select(F.struct("*").alias("row"), row_hash(id_col, text_col, seed).alias("row_hash"))
-    found = packed.join(times, "row_hash").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return found.select("row.*")
+    plan = mix_plan(sized(docs, id_col, text_col, source_col, seed), weights, share, most).select("key", "passes", "below")
+    source = F.col(source_col).alias("source")
+    packed = docs.select(F.struct("*").alias("row"), row_hash(id_col, text_col, seed).alias("row_hash"), source).withColumn("key", _key())
+    times = F.array_repeat(F.lit(0), _copies().cast("int"))
+    return packed.join(plan, "key").select("row", F.explode(times).alias("copy")).select("row.*")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codeloom.llm.common import shared_path
 from codeloom.llm.jaccard_join import near_dedup
 from codeloom.llm.line_dedup import dedup_lines
-from codeloom.llm.mixing import mix_sources, mixed_rows
+from codeloom.llm.mixing import mixed_rows
 from codeloom.llm.packing import pack_documents
 from codeloom.llm.toxicity import toxicity
 
@@ -39,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixed_rows(docs, mix_sources(docs))
+    return mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

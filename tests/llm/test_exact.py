@@ -139,7 +139,7 @@ def test_mix_against_brute_force(spark, small):
     assert all(abs(taken[s] - want[s]) <= longest[s] for s in want)
     again = mix_sources(docs.repartition(5)).collect()
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
-    rows = mixed_rows(docs, mix_sources(docs))
+    rows = mixed_rows(docs)
     assert rows.columns == docs.columns and rows.count() == sum(r.copies for r in got)
 
 

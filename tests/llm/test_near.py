@@ -1,0 +1,254 @@
+"""Near copies, nearest neighbours, toxicity, URLs and the pipeline."""
+
+from __future__ import annotations
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from codeloom.llm.ann import build_index, nearest_neighbours
+from codeloom.llm.jaccard_join import components, intersections, jaccard_classes, near_dedup, runs_for
+from codeloom.llm.toxicity import CATEGORIES, fit_chain, label_columns, score_chain, toxicity
+from codeloom.llm.url_filter import Rule, judge_urls
+
+DOCS = "doc_id long, text string, class_id string, r int"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS)
+
+
+def shingles(text, size=5):
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
+
+
+def brute_classes(rows, similarity=0.8):
+    """(class id, copies, links) by row, from an inverted index over all shingles."""
+    sets = [shingles(t) for _, t in rows]
+    different = list(dict.fromkeys(s for s in sets if s))
+    place = {s: i for i, s in enumerate(different)}
+    index = defaultdict(list)
+    for i, s in enumerate(different):
+        for x in s:
+            index[x].append(i)
+    linked = defaultdict(set)
+    for i, s in enumerate(different):
+        for j, n in Counter(j for x in s for j in index[x] if j != i).items():
+            if n >= similarity * (len(s) + len(different[j]) - n) - 1e-9:
+                linked[i].add(j)
+    label = list(range(len(different)))
+    for i in range(len(different)):
+        todo = [i] if label[i] == i else []
+        while todo:
+            k = todo.pop()
+            for j in linked[k]:
+                if label[j] != i:
+                    label[j] = i
+                    todo.append(j)
+    ids = defaultdict(list)
+    for (key, _), s in zip(rows, sets):
+        if s:
+            ids[label[place[s]]].append(key)
+    out = []
+    for (key, _), s in zip(rows, sets):
+        if s:
+            named = [k for k in ids[label[place[s]]] if k is not None]
+            out.append((key, min(named) if named else None, sets.count(s), len(linked[place[s]])))
+        else:
+            out.append((key, key, 1, 0))
+    return out
+
+
+def near_copies(rng, base, n, edits):
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randint(0, edits)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        yield " ".join(words)
+
+
+def test_classes_against_brute_force(spark, small):
+    rng = random.Random(5)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    groups = [[f"w{rng.randrange(900)}" for _ in range(120)] for _ in range(12)]
+    # One group of near copies above the bucket size, so that it is split and cut into tiles.
+    near = [t for g in groups for t in near_copies(rng, g, 6, 3)] + list(near_copies(rng, groups[0], 150, 2))
+    extra = [None, "", " \n", "one two", "One  two", "three four five six", "hot line " * 3, "x " * 40_000, "x " * 40_000 + "y"]
+    rows += [(10_000 + i, t) for i, t in enumerate(near + extra)] + [(None, near[0]), (90_001, "repeated row of a few words"), (90_001, "repeated row of a few words")]
+    got = jaccard_classes(docs_of(spark, rows), bucket=32)
+    want = brute_classes(rows)
+    found = got.collect()
+    assert sorted(map(str, ((r.doc_id, r.class_id, r.copies, r.links) for r in found))) == sorted(map(str, want))
+    kept = Counter(r.class_id for r in found if r.kept)
+    assert all(n == 1 for k, n in kept.items() if k is not None)
+    assert sum(r.kept for r in found) == len({c for c, t in zip((w[1] for w in want), rows) if t[1] and t[1].split()}) + 3
+
+
+def test_near_dedup_keeps_columns(spark):
+    rows = [(3, "a b c d e f"), (2, "a b c d e f"), (None, None), (4, "other words in this text here")]
+    left = near_dedup(docs_of(spark, rows))
+    assert left.columns == ["doc_id", "text", "class_id", "r"] and sorted(str(r.doc_id) for r in left.collect()) == ["2", "4", "None"]
+    assert near_dedup(docs_of(spark, [])).count() == 0
+
+
+def test_runs_reach_the_recall():
+    assert runs_for(0.5, 0.8, 1) == 1 and runs_for(0.99, 0.8, 1) == math.ceil(math.log(0.01) / math.log(1 - 0.84))
+    assert runs_for(0.999, 0.8) > runs_for(0.9, 0.8)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 203), (203, 201), (300, 7)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert {k for k, v in got.items() if v == 0} == {*range(41), 300} and got[203] == got[201] == got[200] == 200
+
+
+def test_intersections_in_stretches():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 30_000, n).astype(np.uint64)) for n in (1, 500, 9000, 20_000)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert intersections(sets).tolist() == want
+
+
+def brute_neighbours(rows, queries, k):
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], float)
+    norm = np.linalg.norm(x, axis=1)
+    for q in queries:
+        at = int(np.flatnonzero(ids == q)[0])
+        scores = x @ x[at] / norm / norm[at]
+        order = sorted((j for j in range(len(ids)) if ids[j] != q), key=lambda j: (-round(scores[j], 12), ids[j]))[:k]
+        yield q, [(int(ids[j]), float(scores[j])) for j in order]
+
+
+def test_neighbours_against_brute_force(spark, small):
+    vectors = spark.read.parquet(f"{small}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
+    # A vector that a third of the rows share.
+    rows += [(10_000 + i, rows[3][1]) for i in range(250)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("node", F.lit("x"))
+    got = defaultdict(dict)
+    for r in nearest_neighbours(table, table.where("vec_id % 50 = 0"), leaf_size=128).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    hits = total = 0
+    for q, want in brute_neighbours(rows, [i for i, _ in rows if i % 50 == 0], 5):
+        found = [got[q][k] for k in range(1, 6)]
+        assert q not in dict(found)
+        hits += len(dict(found).keys() & dict(want).keys())
+        total += 5
+        exact = dict(want)
+        assert all(abs(s - exact[i]) < 1e-12 for i, s in found if i in exact)
+        assert found == sorted(found, key=lambda f: (-f[1], f[0]))
+    assert hits / total >= 0.95
+
+
+def test_neighbour_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 0.0]), (7, [None, 1.0]), (8, []), (9, [1.0]), (None, [1.0, 1.0]), (10, [1.0, 0.0]), (10, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in nearest_neighbours(table, table).collect())
+    assert got == [
+        (0, 1, 1, 1.0), (0, 2, 10, 1.0), (0, 3, 2, 0.0), (1, 1, 0, 1.0), (1, 2, 10, 1.0), (1, 3, 2, 0.0),
+        (2, 1, 0, 0.0), (2, 2, 1, 0.0), (2, 3, 10, 0.0), (10, 1, 0, 1.0), (10, 2, 1, 1.0), (10, 3, 2, 0.0),
+    ]
+    none = table.where("false")
+    assert nearest_neighbours(none, none).count() == 0 and build_index(table.where("vec_id = 0")).graph.count() == 0
+
+
+def planted(n=600):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("an", "the", "or", "in", "re", "st") for b in ("ti", "on", "ea", "nd", "ha", "")]
+    bad = ["moron", "scum", "verminous", "verminly", "verminish"]
+    rows, labels = [], []
+    for i in range(n):
+        text = [rng.choice(words) for _ in range(rng.randint(20, 200))]
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(3):
+                text.insert(rng.randrange(len(text)), rng.choice(bad))
+        rows.append((i, " ".join(text).capitalize() + "."))
+        labels.append((i, i % 4 and 1 or 0, int(toxic)))
+    return rows, labels
+
+
+def test_chain_learns_on_held_out_rows(spark):
+    rows, labels = planted()
+    docs = docs_of(spark, rows)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = fit_chain(docs, label_columns(table.where("doc_id >= 200")), CATEGORIES)
+    assert [link.category for link in chain.links] == list(CATEGORIES)
+    assert [len(link.earlier) for link in chain.links] == [0, 1] and chain.accuracy["toxic"] > 0.95
+    scored = {r.doc_id: r.p_toxic for r in score_chain(docs, chain, CATEGORIES).collect()}
+    wrong = [i for i, _, t in labels if i < 200 and (scored[i] >= 0.5) != bool(t)]
+    assert len(wrong) <= 4
+
+
+def test_toxicity_cases(spark):
+    rows, labels = planted(120)
+    docs = docs_of(spark, [*rows, (None, None), (500, ""), (501, "scum moron verminous verminly verminish " * 30_000), (7, rows[7][1])]).withColumn("p_toxic", F.lit("old"))
+    odd = [*labels, (None, 1, 1), (3, None, None), (9999, 0, 1), (5, 1, 0)]
+    got = toxicity(docs, spark.createDataFrame(odd, "doc_id long, quality int, toxic int"))
+    assert got.columns == ["doc_id", "text", "class_id", "r", "p_toxic", "p_low_quality", "is_toxic"]
+    found = got.collect()
+    assert len(found) == 124 and all(0 <= r.p_toxic <= 1 for r in found)
+    assert not any(r.is_toxic for r in found if not r.text) and [r.is_toxic for r in found if r.doc_id == 501] == [True]
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.p_toxic for r in toxicity(docs, empty).collect()} == {0.0}
+    assert toxicity(docs.where("false"), empty).count() == 0
+
+
+def test_fit_is_bounded(spark):
+    rows, labels = planted(200)
+    chain = fit_chain(docs_of(spark, rows), label_columns(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), CATEGORIES, max_train=60)
+    assert len(chain.links) == 2
+
+
+RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow")]
+
+
+@pytest.mark.parametrize(
+    "url, host, path, rule, verdict",
+    [
+        (None, "", "", None, "allow"), ("no scheme", "", "", None, "allow"), ("casino only", "", "", None, "block"),
+        ("http://A.Net/x?y", "a.net", "/x", "net/", "block"), ("http://net", "net", "", None, "allow"),
+        ("http://example.net/en/casino", "example.net", "/en/casino", "example.net/en/", "allow"),
+        ("http://notexample.net/en/", "notexample.net", "/en/", "net/", "block"), ("http://a.internet/", "a.internet", "/", None, "allow"),
+        ("http://x.org/free#bets", "x.org", "/free", None, "block"), ("http://x.org/free/free", "x.org", "/free/free", None, "allow"),
+        ("http://x.org/freebets", "x.org", "/freebets", None, "allow"), ("http://x.org/casinos", "x.org", "/casinos", None, "allow"),
+        ("http://CASINO.org?q://z/", "casino.org", "", None, "block"), ("http://ÄB.org/" + "a" * 100_000 + "/porn", "Äb.org", "/" + "a" * 100_000 + "/porn", None, "block"),
+    ],
+)
+def test_url(spark, url, host, path, rule, verdict):
+    pages = spark.createDataFrame([(1, url, "x"), (1, url, "x")], "page_id long, url string, host string")
+    assert [tuple(r) for r in judge_urls(pages, RULES).select("host", "path", "rule", "verdict").collect()] == [(host, path, rule, verdict)] * 2
+
+
+def test_no_urls(spark):
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert judge_urls(pages).count() == 0 and judge_urls(spark.createDataFrame([(1, "http://casino/")], "page_id long, url string"), strict=(), soft=()).first().verdict == "allow"
+
+
+def test_pipeline(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    kept = [docs]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept.append(stage(spark, kept[-1], small).cache())
+        assert kept[-1].dtypes == docs.dtypes
+    rows = [{r.doc_id: r for r in k.collect()} for k in kept]
+    gone = rows[0].keys() - rows[1].keys()
+    assert sum(labels.get(i) == 0 for i in gone) == 0 and all(rows[0][i] == r for i, r in rows[1].items())
+    assert rows[2].keys() <= rows[1].keys() and all(r.n_chars == len(r.text) <= rows[1][i].n_chars for i, r in rows[2].items())
+    assert rows[3].keys() <= rows[2].keys() and all(rows[2][i] == r for i, r in rows[3].items())
+    classes = {c for _, c, _, _ in brute_classes([(i, r.text) for i, r in rows[2].items()])}
+    assert rows[3].keys() == classes
+    assert rows[4].keys() <= rows[3].keys() and max(Counter(r.doc_id for r in kept[4].collect()).values()) <= 2
+    pieces = corpus_pipeline.pack(spark, kept[4], small).collect()
+    assert {p.doc_id for p in pieces} == rows[4].keys()
+    assert sum(p.doc_tokens for p in pieces if p.start == 0) == sum(p.length for p in pieces)
