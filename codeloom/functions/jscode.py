@@ -24,10 +24,11 @@ _TOKENS = (
 _QUOTED = r"""^(?:"[\s\S]*"|'[\s\S]*'|`[\s\S]*`|/[\s\S]+/[a-z]*)$"""
 _KEYWORDS = "if|for|while|try|with|else|do|catch|finally"
 _KEYWORD = rf"(?<![\w$.])(?:{_KEYWORDS})(?![\w$])(?!\s*+:)"
-# A declaration starts a statement; after other text ``function`` is an expression.
+# A declaration starts a statement; after other text ``function`` is an expression. Runs of blanks
+# are one blank here, so that looking back is bounded whatever the indent.
 _DECLARATION = (
     r"(?<![\w$.])function(?=[ \t]+[\w$])"
-    r"(?<=(?:^|[;{})\n])[ \t]{0,200}(?:export[ \t]{1,8}(?:default[ \t]{1,8})?)?(?:async[ \t]{1,8})?function)"
+    r"(?<=(?:^|[;{})\n]|(?<![\w$.])(?:else|do))[ \t]?(?:export[ \t](?:default[ \t])?)?(?:async[ \t])?function)"
     r"[ \t]+[\w$]+"
 )
 # Any other ``function`` is a token of its own, so that no expression looks like a declaration.
@@ -196,7 +197,7 @@ def _imports(code: str, masked: str) -> str:
 
 def fold_javascript(code: str) -> str:
     """Struct of ``defs`` (function declarations by line) and ``imports``."""
-    pieces = f"regexp_extract_all(k, {literal(_PIECES)}, 0)"
+    pieces = rf"regexp_extract_all(regexp_replace(k, r'[ \t]+', ' '), {literal(_PIECES)}, 0)"
     start = empty_state(_STATE, line="1")
     folded = f"aggregate({pieces}, {start}, (s, t) -> {_step()}, s -> s.closed)"
     row = struct({n: f"CAST(x[{i}] AS {kind.upper()})" for i, (n, kind) in enumerate(_CLOSED.items())})

@@ -152,6 +152,12 @@ class A { m(x) { if (x) { } } }
     assert r.classes == [] and r.imports == ['import a, {b} from "x;y";', "import {"]
 
 
+def test_javascript_declarations_after_blanks(spark):
+    code = f"{' ' * 500}function a(x) {{}}\nexport{' ' * 40}async{' ' * 40}function b(y) {{}}\nif (q) r(); else function c(z) {{}}\nv = else_ + function d(w) {{}};\n"
+    got = functions(spark, code, "a.js")
+    assert {n: f.params for n, f in got.items()} == {"a": ["x"], "b": ["y"], "c": ["z"]}
+
+
 def test_code_without_a_file_name(spark):
     df = spark.createDataFrame([("x", "javascript", "function f(a) {}"), ("y", "python", "def g(b): pass")], "id string, lang string, code string")
     got = file_reports(df, "id", "code", language="lang").orderBy("file").collect()
