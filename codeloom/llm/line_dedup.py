@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codeloom.llm.common import hash128, spool
+from codeloom.llm.common import hash128, join_few, key_bitmap, maybe_in, spool
 
 MIN_WORDS = 50
 
@@ -66,25 +66,24 @@ def line_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def repeated_positions(windows: DataFrame) -> DataFrame:
     """``place, gone``: sorted line positions covered by windows whose content occurred earlier.
 
-    Fingerprints that occur at one position only are left out by a grouped count. The windows of
-    the others are joined by content with their first occurrence in the order (id, place, line).
-    The windows before and after a matched one extend it both ways to the whole repeated run: each
-    line of a run of ``min_words`` words or more is in a window that lies in the run.
+    Fingerprints that occur at one position only are left out: those of several positions, found by
+    a grouped count, are marked in a bitmap (a few others pass by chance and find no partner). The
+    windows of the rest are joined by content with their first occurrence in the order (id, place,
+    line). The windows before and after a matched one extend it both ways to the whole repeated run:
+    each line of a run of ``min_words`` words or more is in a window that lies in the run.
     """
-    several = spool(
+    several = (
         windows.groupBy("fingerprint")
         .agg(F.min("place").alias("p"), F.max("place").alias("q"), F.min("at").alias("a"), F.max("at").alias("b"))
         .where("p <> q OR a <> b")
-        .select("fingerprint"),
-        "line-fingerprints",
     )
-    matched = spool(windows.join(several, "fingerprint", "left_semi").drop("fingerprint", "at"), "line-matches")
+    matched = spool(maybe_in(windows, "fingerprint", key_bitmap(several, "fingerprint")).drop("fingerprint", "at"), "line-matches")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "place", "first")
     firsts = spool(
         matched.groupBy("c", "d").agg(F.min(order).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n"),
         "line-firsts",
     )
-    later = matched.join(firsts, ["c", "d"]).where(
+    later = matched.join(firsts.hint("merge"), ["c", "d"]).where(
         (F.col("place") != F.col("origin.place")) | (F.col("first") != F.col("origin.first"))
     )
     gone = later.select("place", F.explode(F.sequence("first", "last")).alias("pos"))
@@ -118,8 +117,9 @@ def dedup_lines(
     first occurrence of every line stays. Shorter repeats stay. Blank lines inside a deleted run go with it.
 
     Lines of one document meet in one task (a document is the unit); fingerprints are counted with
-    partial aggregation, and the joins on fingerprint and content have their frequent values on a
-    side that the adaptive planner splits. Nothing pairs up the places that share a run.
+    partial aggregation, and the join on content has its frequent values on a side that the adaptive
+    planner splits. Nothing pairs up the places that share a run. Texts that lose no line are not
+    shuffled.
 
     Defined cases: null text stays null with 0 lines; a text without words stays as it is; null ids
     come after all others; rows with equal ids (repeated rows too) come in scan order; an empty
@@ -134,7 +134,7 @@ def dedup_lines(
     )
     marks = spool(repeated_positions(windows), "line-gone")
     text = F.col(f"row.`{text_col}`")
-    joined = rows.join(marks, "place", "left")
+    joined = join_few(rows, marks, "place", "left")
     kept = F.when(F.col("gone").isNull(), text).otherwise(without_lines(text, F.col("gone")))
     columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {
         text_col: kept,
