@@ -74,9 +74,20 @@ def _encode_block(codes: np.ndarray, freq: np.ndarray, base: np.ndarray, lanes:
     return body + words.tobytes(), written
 
 
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different ids in order, the place of each id among them, and their counts."""
+    if not len(ids) or int(ids.max()) >= 1 << 22:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    distinct = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int64)
+    place[distinct] = np.arange(len(distinct))
+    return distinct, place[ids], counts[distinct]
+
+
 def encode_segment(ids: np.ndarray, block: int = 1 << 18, lanes: int = 1024, every: int = 128) -> bytes:
     """One segment of the file format; ``lanes`` shrinks for short blocks."""
-    distinct, codes, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    distinct, codes, counts = _numbered(ids)
     freq = frequencies(counts) if len(ids) else np.zeros(0, np.int64)
     base = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64) if len(ids) else np.zeros(0, np.uint64)
     wide = freq.astype(np.uint64)
