@@ -196,9 +196,19 @@ def fit_chain(
     if not len(data):
         return Chain((), {})
     folds = data["fold"].to_numpy()
-    matrix = np.zeros((len(data), len(names)), np.float32)
-    for i, (at, times) in enumerate(zip(data["at"], data["times"])):
-        matrix[i, at] = np.log1p(times)
+    # Kept sparse: a model makes a table of its own few columns.
+    row_of = np.repeat(np.arange(len(data), dtype=np.int32), data["at"].map(len))
+    column_of = np.concatenate(data["at"].to_numpy()).astype(np.int32)
+    value_of = np.log1p(np.concatenate(data["times"].to_numpy()))
+
+    def chosen_columns(columns: np.ndarray) -> np.ndarray:
+        new_place = np.full(len(names), -1)
+        new_place[columns] = np.arange(len(columns))
+        at = new_place[column_of] if len(names) else column_of
+        table = np.zeros((len(data), len(columns)))
+        table[row_of[at >= 0], at[at >= 0]] = value_of[at >= 0]
+        return table
+
     dense = np.stack(data["dense"].to_numpy())
     ns = table[[f"n_{k}" for k in range(FOLDS)]].to_numpy(float)
     earlier = np.zeros((len(data), 0))
@@ -207,20 +217,21 @@ def fit_chain(
         target = data[y].to_numpy(float)
         ts = table[[f"{y}_{k}" for k in range(FOLDS)]].to_numpy(float)
 
-        def model(seen: np.ndarray, use: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+        def model(seen: np.ndarray, use: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             z = association(ns[:, use].sum(1), ts[:, use].sum(1), target[seen].mean())
             columns = np.argsort(-z, kind="stable")[:FEATURES]
-            return columns, fit_logistic(np.hstack([dense[seen], earlier[seen], matrix[seen][:, columns]]), target[seen])
+            x = np.hstack([dense, earlier, chosen_columns(columns)])
+            return columns, x, fit_logistic(x[seen], target[seen])
 
         held_out = np.full(len(data), target.mean())
         for k in range(FOLDS):
             seen, out = folds != k, folds == k
             if not seen.any() or not out.any() or target[seen].min() == target[seen].max():
                 continue
-            columns, w = model(seen, [f for f in range(FOLDS) if f != k])
-            held_out[out] = predict(np.hstack([dense[out], earlier[out], matrix[out][:, columns]]), w)
+            _, x, w = model(seen, [f for f in range(FOLDS) if f != k])
+            held_out[out] = predict(x[out], w)
         accuracy[category] = float(((held_out >= 0.5) == (target == 1)).mean())
-        columns, w = model(np.ones(len(data), bool), range(FOLDS))
+        columns, _, w = model(np.ones(len(data), bool), range(FOLDS))
         m = earlier.shape[1]
         links.append(
             Link(
