@@ -146,6 +146,31 @@ def test_neighbours_against_brute_force(spark, small):
     assert hits / total >= 0.95
 
 
+def recall_of(found, rows, queries, k=5):
+    """Share of the true neighbours that were found; as good a score counts as found."""
+    got = defaultdict(list)
+    for r in found.collect():
+        got[r.query_id].append(r.score)
+    hits = total = 0
+    for q, want in brute_neighbours(rows, queries, k):
+        hits += sum(s >= want[-1][1] - 1e-12 for s in got[q])
+        total += len(want)
+    return hits / total
+
+
+@pytest.mark.parametrize("noise", [1e-2, 1e-3])
+def test_neighbours_among_near_copies(spark, noise):
+    """A third of the rows are near but unequal copies of one vector."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 64))
+    x[1000:] = x[7] * (1 + noise * rng.normal(size=(500, 64)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = range(1000, 1500, 10)
+    found = nearest_neighbours(table, table.where(F.col("vec_id").isin(*asked)), leaf_size=256)
+    assert recall_of(found, rows, asked) >= 0.95
+
+
 def test_neighbour_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 0.0]), (7, [None, 1.0]), (8, []), (9, [1.0]), (None, [1.0, 1.0]), (10, [1.0, 0.0]), (10, [1.0, 0.0])]
