@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm.ann import build_index, nearest_neighbours
+from codeloom.llm.ann import build_index, nearest_neighbours, scan, search
 from codeloom.llm.jaccard_join import components, intersections, jaccard_classes, near_dedup, runs_for
 from codeloom.llm.toxicity import CATEGORIES, fit_chain, label_columns, score_chain, toxicity
 from codeloom.llm.url_filter import Rule, judge_urls
@@ -171,6 +172,32 @@ def test_neighbours_among_near_copies(spark, noise):
     assert recall_of(found, rows, asked) >= 0.95
 
 
+def test_search_goes_on_until_the_recall_is_reached(spark):
+    """A graph of small leaves and a pool of 8 are not enough: the pool has to grow, or the queries to be scanned."""
+    x = np.random.default_rng(6).normal(size=(3000, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = range(0, 3000, 30)
+    index = build_index(table, trees=2, leaf_size=64, neighbours=6, reverse=4)
+    queries = table.where("vec_id % 30 = 0")
+    assert recall_of(search(index, queries, pool=8, expand=8, recall=0.0), rows, asked) < 0.9
+    assert recall_of(search(index, queries, pool=8, expand=8), rows, asked) >= 0.98
+    # An index without edges: nothing can be reached, so all nodes are scanned.
+    assert recall_of(search(replace(index, graph=index.graph.where("false")), queries), rows, asked) == 1.0
+
+
+def test_scan_misses_nothing(spark):
+    x = np.random.default_rng(8).normal(size=(2500, 8))
+    index = build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    queries = index.codes.selectExpr("node q", "code q_code")
+    sims = defaultdict(list)
+    for r in scan(index.codes, queries, 4, 8).collect():
+        sims[r.q].append(r.sim)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.sort(unit @ unit.T, axis=1)[:, -4:]
+    assert np.allclose(sorted(sorted(s) for s in sims.values()), sorted(want.tolist()), atol=1e-12)
+
+
 def test_neighbour_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 0.0]), (7, [None, 1.0]), (8, []), (9, [1.0]), (None, [1.0, 1.0]), (10, [1.0, 0.0]), (10, [1.0, 0.0])]
