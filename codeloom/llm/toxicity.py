@@ -42,8 +42,7 @@ def shape(text: str) -> list[float]:
     if not n:
         return [0.0, 0.0, 0.0]
     letters = sum(map(len, WORD.findall(text)))
-    upper = sum(map(str.isupper, text[:: max(1, n // 2000)])) / len(text[:: max(1, n // 2000)])
-    return [np.log1p(n) / 10, 1 - letters / n, upper]
+    return [np.log1p(n) / 10, 1 - letters / n, sum(map(str.isupper, text)) / n]
 
 
 @dataclass(frozen=True)

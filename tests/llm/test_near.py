@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.ann import build_index, nearest_neighbours, scan, search
 from codeloom.llm.jaccard_join import components, intersections, jaccard_classes, near_dedup, runs_for
-from codeloom.llm.toxicity import CATEGORIES, fit_chain, label_columns, score_chain, toxicity
+from codeloom.llm.toxicity import CATEGORIES, fit_chain, label_columns, score_chain, shape, toxicity
 from codeloom.llm.url_filter import Rule, judge_urls
 
 DOCS = "doc_id long, text string, class_id string, r int"
@@ -253,6 +253,10 @@ def test_toxicity_cases(spark):
     assert toxicity(docs.where("false"), empty).count() == 0
 
 
+def test_shape_reads_whole_texts():
+    assert shape("Ab" * 4000)[2] == 0.5 and shape("aB" * 4000)[2] == 0.5
+
+
 def test_fit_is_bounded(spark):
     rows, labels = planted(200)
     chain = fit_chain(docs_of(spark, rows), label_columns(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), CATEGORIES, max_train=60)
