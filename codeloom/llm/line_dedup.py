@@ -115,6 +115,7 @@ def dedup_lines(
     A run of consecutive lines (blank ones aside) with ``min_words`` words or more is deleted where
     the same run stands earlier, in a document with a smaller id or further up in the same one. The
     first occurrence of every line stays. Shorter repeats stay. Blank lines inside a deleted run go with it.
+    Lines are compared whole: a passage of any length that does not begin and end with lines stays.
 
     Lines of one document meet in one task (a document is the unit); fingerprints are counted with
     partial aggregation, and the join on content has its frequent values on a side that the adaptive

@@ -104,6 +104,14 @@ def test_line_dedup_against_all_runs(spark):
     assert {r.place for r in got.collect()} == {"keep"}
 
 
+def test_passages_inside_lines_stay(spark):
+    """Out of reach: a repeated passage that does not begin and end with lines. With lines of its own it goes."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"before {passage} after"), (2, f"other {passage} end"), (3, f"top\n{passage}\nend"), (4, f"head\n{passage}\ntail")]
+    got = {r.doc_id: (r.text, r.n_deleted) for r in dedup_lines(docs_of(spark, rows)).collect()}
+    assert got == {**{i: (t, 0) for i, t in rows[:3]}, 4: ("head\ntail", 1)}
+
+
 def test_line_dedup_empty(spark):
     assert dedup_lines(docs_of(spark, [])).count() == 0
 
