@@ -11,9 +11,12 @@ from codeloom.llm.ann import nearest_neighbours
 from codeloom.llm.common import shared_path
 from codeloom.llm.exact_dedup import exact_dedup
 from codeloom.llm.jaccard_join import jaccard_classes
+from codeloom.llm.lexical_search import lexical_search
 from codeloom.llm.line_dedup import MIN_WORDS, dedup_lines
 from codeloom.llm.mixing import mix_sources
 from codeloom.llm.packing import pack_documents
+from codeloom.llm.phrases import collocations
+from codeloom.llm.token_counts import token_counts
 from codeloom.llm.token_files import read_token_files, write_token_files
 from codeloom.llm.toxicity import toxicity
 from codeloom.llm.url_filter import SOFT, STRICT, Rule, judge_urls
@@ -118,6 +121,71 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+size AS (SELECT doc_id, count(*) AS n FROM t GROUP BY ALL),
+all_docs AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM size),
+m AS (SELECT doc_id, 25 + (75 * n * n_docs) // n_terms AS m FROM size, all_docs),
+w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM f GROUP BY ALL), all_docs),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM places, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w)),
+totals AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY ALL),
+known AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING a >= 100),
+kept AS (
+  SELECT * FROM known c WHERE k > 1 AND NOT EXISTS (
+    FROM known b WHERE b.lang = c.lang AND b.k > c.k AND 100 * b.a >= 100 * c.a
+      AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(list_slice(string_split(phrase, ' '), 1, cut), ' ') AS head,
+         array_to_string(list_slice(string_split(phrase, ' '), cut + 1, k), ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, h.a AS l, t.a AS r, n, ((1000::HUGEINT * c.a * n) // (h.a::HUGEINT * t.a))::BIGINT AS score
+  FROM cuts c JOIN known h ON h.lang = c.lang AND h.phrase = c.head JOIN known t ON t.lang = c.lang AND t.phrase = c.tail
+  JOIN totals ON totals.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored QUALIFY rank <= 2000
+"""
+
+
 def _url_sql() -> str:
     def hits(terms) -> str:
         return " + ".join(
@@ -155,10 +223,15 @@ QUERIES: dict[str, Query] = {
     "op8_judge_urls": op8_judge_urls,
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
+    "op11_token_counts": op11_token_counts,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op8_judge_urls": _url_sql(),
+    "op12_lexical_search": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }

@@ -20,7 +20,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """Byte-level alphabet: printable Latin-1 bytes are themselves, the rest follow from U+0100."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
@@ -33,7 +33,7 @@ class _Words(dict):
     def __init__(self, tokenizer, code: str):
         super().__init__()
         self.tokenizer, self.model, self.code = tokenizer, tokenizer.model, code
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.tails = {c: self._ids(c) for c in ",.;:!?"}
 
     def _ids(self, text: str) -> bytes:
