@@ -89,7 +89,7 @@ def pack_documents(
     out = StructType([StructField("id", id_type), *(StructField(n, LongType()) for n in names), StructField("ids", BinaryType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
+        encode = encoder(path).batch
         context = TaskContext.get()
         following = (context.partitionId() if context else 0) << 33
         block: list[tuple[object, np.ndarray]] = []
@@ -127,8 +127,7 @@ def pack_documents(
 
         for batch in batches:
             kind = batch.schema.field("id").type
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py())
+            for key, ids in zip(batch.column("id").to_pylist(), encode(batch.column("text"))):
                 ids.append(end_id)
                 block.append((key, np.frombuffer(ids, dtype=ids.typecode)))
                 held += len(ids) * 4

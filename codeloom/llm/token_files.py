@@ -71,8 +71,7 @@ def write_token_files(
 
         for batch in batches:
             kind = batch.schema.field("id").type
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                ids = tokens.ids(text.as_py())
+            for key, ids in zip(batch.column("id").to_pylist(), tokens.batch(batch.column("text"))):
                 ids.append(end_id)
                 held += memoryview(ids).cast("B")
                 size += len(ids)

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # The tokenizer file is a parameter everywhere; this is its public default.
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 # Words remembered by a worker; the memory is emptied when full, so it is bounded.
 REMEMBERED = 1_500_000
+# Longer words are not remembered.
+LONG = 64
+# Where the tokenizer may join white space over a cut between words: two in a row, or a blank at the end.
+DOUBLED = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}| \z"
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -28,26 +37,30 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Ids, as little-endian bytes, of a word with a space before it."""
+    """Ids, as little-endian bytes, of a word with a blank before it, or of one that begins with a line end."""
 
     def __init__(self, tokenizer, code: str):
         super().__init__()
         self.tokenizer, self.model, self.code = tokenizer, tokenizer.model, code
         self.letters = byte_letters()
-        self.tails = {c: self._ids(c) for c in ",.;:!?"}
+        self.signs = {c: self.whole(c) for c in ",.;:!?\n"}
 
-    def _ids(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of letters, which is one pre-token, straight from the model."""
+        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            letters = (" " + word).encode().decode("latin-1").translate(self.letters)
-            ids = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
-        elif word[-1:] in self.tails and word[:-1].isalpha():
-            ids = self[word[:-1]] + self.tails[word[-1]]
+        bare = word[:-1] if word[-1:] in self.signs else word
+        if bare.isalpha():
+            ids = self._letters(" " + word) if bare is word else self[bare] + self.signs[word[-1]]
+        elif bare[:1] == "\n" and bare[1:].isalpha():
+            ids = self.signs["\n"] + self._letters(bare[1:]) + (b"" if bare is word else self.signs[word[-1]])
         else:
-            ids = self._ids(" " + word)
-        if len(word) < 64:
+            ids = self.whole(word if word[:1] == "\n" else " " + word)
+        if len(word) < LONG:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[word] = ids
@@ -57,16 +70,13 @@ class _Words(dict):
 class Encoder:
     """Ids of a text as the tokenizer gives them, with ``add_special_tokens=False``.
 
-    A byte-level BPE without normaliser never merges over a word's first space, so each word with
-    its space has the same ids in every text, and words are looked up before they are tokenised.
-    White space that reaches over such a cut (two blanks or more, one of them a space in the middle)
-    and any other kind of tokenizer take the whole text at once.
+    A byte-level BPE without normaliser never merges over a word's first blank or line end, so each word
+    has the same ids in every text, and words are looked up before they are tokenised. Texts with two white
+    spaces in a row, which may merge, and any other kind of tokenizer take the whole text at once.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,23 +89,24 @@ class Encoder:
             and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
             and not spec["model"].get("ignore_merges")
         )
-        self.words = _Words(self.tokenizer, self.code) if self.by_word else None
-        spaces = " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
-        self.doubled = [" " + s for s in spaces]
-
-    def ids(self, text: str | None):
-        """Ids as an ``array``; null is empty text."""
-        out = array(self.code)
-        if not text:
-            return out
-        if not self.by_word or any(d in text for d in self.doubled) or text.endswith(" "):
-            out.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            return out
-        first, cut, rest = text.partition(" ")
-        out.extend(self.tokenizer.encode(first, add_special_tokens=False).ids)
-        if cut:
-            out.frombytes(b"".join(map(self.words.__getitem__, rest.split(" "))))
-        return out
+        self.words = _Words(self.tokenizer, self.code)
+
+    def batch(self, texts: pa.Array) -> Iterator[array]:
+        """Ids of each text in order, as an ``array``; null is empty text."""
+        texts = pc.fill_null(texts, "")
+        joined = pc.match_substring_regex(texts, DOUBLED).to_pylist() if self.by_word else [True] * len(texts)
+        for text, whole in zip(texts, joined):
+            text, out = text.as_py(), array(self.code)
+            if whole:
+                out.frombytes(self.words.whole(text))
+            else:
+                first, *words = text.replace("\n", " \n").split(" ")
+                out.frombytes(self.words.whole(first))
+                out.frombytes(b"".join(map(self.words.__getitem__, words)))
+            yield out
+
+    def ids(self, text: str | None) -> array:
+        return next(self.batch(pa.array([text], pa.string())))
 
 
 def encoder(path: str) -> Encoder:
