@@ -30,6 +30,18 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replaced(row: str, columns: Sequence[str], new: dict[str, Column]) -> list[Column]:
+    """The fields of a struct column and ``new`` ones, which take the place of fields of their name in any case."""
+    rest = {n.casefold(): v.alias(n) for n, v in new.items()}
+    found = []
+    for c in columns:
+        if c.casefold() not in {n.casefold() for n in new}:
+            found.append(F.col(f"{row}.`{c}`").alias(c))
+        elif c.casefold() in rest:
+            found.append(rest.pop(c.casefold()))
+    return [*found, *rest.values()]
+
+
 def spark_space(text: Column) -> Column:
     """Each run of ASCII white space as one space; null as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")

@@ -314,7 +314,12 @@ def jaccard_classes(
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class of ``jaccard_classes``, all columns passed through."""
+    """``docs`` with one row of each class of ``jaccard_classes``, all columns passed through.
+
+    Cases are those of ``jaccard_classes``: null and wordless texts are classes of their own, of rows with
+    equal ids or null ids one of a class stays, an empty table gives no rows. ``docs`` is read twice and must be
+    deterministic.
+    """
     dropped = spool(jaccard_classes(docs, id_col, text_col, **options).where(~F.col("kept")).select("place"), "near-dropped")
     rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place"))
     return join_few(rows, dropped, "place", "left_anti").select("row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codeloom.llm.common import hash128, join_few, key_bitmap, maybe_in, spool
+from codeloom.llm.common import hash128, join_few, key_bitmap, maybe_in, replaced, spool
 
 MIN_WORDS = 50
 
@@ -125,7 +125,7 @@ def dedup_lines(
     Defined cases: null text stays null with 0 lines; a text without words stays as it is; null ids
     come after all others; rows with equal ids (repeated rows too) come in scan order; an empty
     table gives an empty result; all other columns are passed through, an existing ``n_lines`` or
-    ``n_deleted`` is replaced. ``docs`` must be deterministic (a table or files): its texts are read
+    ``n_deleted``, in any case, is replaced. ``docs`` must be deterministic (a table or files): its texts are read
     twice.
     """
     rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place"))
@@ -137,9 +137,9 @@ def dedup_lines(
     text = F.col(f"row.`{text_col}`")
     joined = join_few(rows, marks, "place", "left")
     kept = F.when(F.col("gone").isNull(), text).otherwise(without_lines(text, F.col("gone")))
-    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {
-        text_col: kept,
+    new = {
         lines_col: F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long"),
         gone_col: F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
     }
-    return joined.select(*(v.alias(k) for k, v in columns.items()))
+    found = joined.select(F.col("row").withField(f"`{text_col}`", kept).alias("row"), *(v.alias(f"_{i}") for i, v in enumerate(new.values())))
+    return found.select(*replaced("row", docs.columns, {n: F.col(f"_{i}") for i, n in enumerate(new)}))

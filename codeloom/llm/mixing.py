@@ -172,7 +172,9 @@ def mixed_rows(
 ) -> DataFrame:
     """Rows of ``docs`` as often as the mix of ``mix_sources`` takes them, all columns kept.
 
-    Each row is compared with its source's threshold; only the plan, a row a source, is joined.
+    Each row is compared with its source's threshold; only the plan, a row a source, is joined. Cases are those
+    of ``mix_sources``: null ids and texts and repeated rows take part, rows without words as often as
+    their hash says, an empty table gives no rows. ``docs`` is read twice and must be deterministic.
     """
     plan = mix_plan(sized(docs, id_col, text_col, source_col, seed), weights, share, most).select("key", "passes", "below")
     source = F.col(source_col).alias("source")

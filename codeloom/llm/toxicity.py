@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from codeloom.llm.common import replaced, spool
+
 # The models are fitted on at most this many labelled rows, chosen by a hash of their id.
 MAX_TRAIN = 12_000
 FOLDS = 5
@@ -94,16 +97,19 @@ class Chain:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 12) -> np.ndarray:
-    """Weights of a ridge-penalised logistic regression by Newton's method; the first is a free bias."""
-    x = np.hstack([np.ones((len(x), 1)), x])
+    """Weights of a ridge-penalised logistic regression by Newton's method; the first column of ``x`` is a free bias of ones."""
     w = np.zeros(x.shape[1])
     share = (y.sum() + 0.5) / (len(y) + 1)
     w[0] = np.log(share / (1 - share))
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        p = predict(x, w)
+        curve = np.diag(penalty)
+        for at in range(0, len(x), 2048):
+            part, q = x[at : at + 2048].astype(float), p[at : at + 2048]
+            curve += (part * (q * (1 - q))[:, None]).T @ part
+        step = np.linalg.solve(curve, (y - p) @ x - penalty * w)
         w += step
         if np.abs(step).max() < 1e-4:
             break
@@ -111,7 +117,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int =
 
 
 def predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
 def association(n: np.ndarray, t: np.ndarray, base: float) -> np.ndarray:
@@ -119,6 +125,57 @@ def association(n: np.ndarray, t: np.ndarray, base: float) -> np.ndarray:
     return np.abs(t - n * base) / np.sqrt(np.maximum(n * base * (1 - base), 1e-9) + 1)
 
 
+@dataclass(frozen=True)
+class Training:
+    """Labelled rows: fold, labels, shape, and features as (row, column, value) entries; ``seen`` counts rows with a feature by fold, all and positive ones."""
+
+    folds: np.ndarray
+    labels: list[np.ndarray]
+    dense: np.ndarray
+    entries: tuple[np.ndarray, np.ndarray, np.ndarray]
+    seen: np.ndarray
+    positive: list[np.ndarray]
+
+    def design(self, columns: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        """Ones, shape, earlier probabilities and the chosen features, in single precision."""
+        place = np.full(self.seen.shape[0] + 1, -1)
+        place[columns] = np.arange(len(columns))
+        row, column, value = self.entries
+        at = place[column]
+        first = 1 + DENSE + earlier.shape[1]
+        x = np.zeros((len(self.folds), first + len(columns)), np.float32)
+        x[:, 0], x[:, 1 : 1 + DENSE], x[:, 1 + DENSE : first] = 1, self.dense, earlier
+        x[row[at >= 0], first + at[at >= 0]] = value[at >= 0]
+        return x
+
+
+def fit_links(data: Training, categories: Sequence[str], names: Sequence[str]) -> Chain:
+    """The chain's models in order; each sees the out-of-fold probabilities of those before it."""
+    earlier = np.zeros((len(data.folds), 0))
+    links, accuracy = [], {}
+    for category, target, positive in zip(categories, data.labels, data.positive):
+
+        def model(rows: np.ndarray, use: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            z = association(data.seen[:, use].sum(1), positive[:, use].sum(1), target[rows].mean())
+            columns = np.argsort(-z, kind="stable")[:FEATURES]
+            x = data.design(columns, earlier)
+            return columns, x, fit_logistic(x[rows], target[rows])
+
+        held_out = np.full(len(target), target.mean())
+        for k in range(FOLDS):
+            rows, out = data.folds != k, data.folds == k
+            if rows.any() and out.any() and target[rows].min() < target[rows].max():
+                _, x, w = model(rows, [f for f in range(FOLDS) if f != k])
+                held_out[out] = predict(x[out], w)
+        accuracy[category] = float(((held_out >= 0.5) == (target == 1)).mean())
+        columns, _, w = model(np.ones(len(target), bool), range(FOLDS))
+        cuts = np.split(w, np.cumsum([1, DENSE, earlier.shape[1]]))
+        weights = {names[c]: float(v) for c, v in zip(columns, cuts[3])}
+        links.append(Link(category, float(w[0]), tuple(cuts[1].tolist()), tuple(cuts[2].tolist()), weights))
+        earlier = np.hstack([earlier, held_out[:, None]])
+    return Chain(tuple(links), accuracy)
+
+
 def fit_chain(
     docs: DataFrame,
     labels: DataFrame,
@@ -133,28 +190,29 @@ def fit_chain(
     probabilities of all earlier categories. For training those are out-of-fold: each comes from a
     model that has not seen the row, so that later models meet the kind of error they will meet.
 
-    At most ``max_train`` labelled rows are used, those with the smallest hash of the id; everything
-    that reaches the driver is bounded by it. Word counts of the sample are aggregated by Spark.
-    Labels that are null count as 0; a repeated id takes its largest label; ids without a document
-    are left out. With no labelled document all probabilities are 0.
+    At most ``max_train`` labelled ids are used, those with the smallest hash, with one row each; the one
+    task that fits the models holds these rows' features, and the driver only the labels, the 4,096
+    candidate features and the weights. Word counts of the sample are aggregated by Spark.
+    Labels that are null count as 0; a repeated id takes its largest label; of documents with one id the
+    text with the smallest hash is used; ids without a document are left out. With no labelled document all
+    probabilities are 0.
     """
     spark = docs.sparkSession
+    labels_at = [f"y{i}" for i in range(len(categories))]
     truth = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(
-        *(F.coalesce(F.max(F.col(c).cast("int")), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories))
+        *(F.coalesce(F.max(F.col(c).cast("int")), F.lit(0)).alias(y) for y, c in zip(labels_at, categories))
     )
     # Bounded: at most max_train rows of one id and a few labels.
-    chosen = truth.orderBy(F.xxhash64(F.lit(11), "key"), "key").limit(max_train).toPandas()
-    if not len(chosen):
+    sample = spool(truth.orderBy(F.xxhash64(F.lit(11), "key"), "key").limit(max_train), "toxicity-labels")
+    fold = F.pmod(F.xxhash64(F.lit(12), "key"), F.lit(FOLDS)).cast("int")
+    named = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "key")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    rows = spool(named.groupBy("key", *labels_at).agg(one.alias("one")).select(fold.alias("fold"), *labels_at, F.col("one.text").alias("text")), "toxicity-sample")
+    shares = rows.agg(F.count("*").alias("n"), *(F.avg(y).alias(y) for y in labels_at)).first()
+    if not shares["n"]:
         return Chain((), {})
-    sample = spark.createDataFrame(chosen, truth.schema)
-    rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "key")
-    fold = F.pmod(F.xxhash64(F.lit(12), "key"), F.lit(FOLDS))
-    labels_at = [f"y{i}" for i in range(len(categories))]
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    counted = (
-        rows.select(fold.alias("fold"), *labels_at, F.explode(words).alias("word"))
-        .groupBy("word", "fold", *labels_at).agg(F.count("*").alias("n"))
-    )
+    counted = rows.select("fold", *labels_at, F.explode(words).alias("word")).groupBy("word", "fold", *labels_at).agg(F.count("*").alias("n"))
     stems = [F.when(F.length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in PREFIXES]
     per_fold = [
         F.sum(F.when(F.col("fold") == k, F.col("n") * (F.col(y) if y else 1)).otherwise(0)).alias(f"{y or 'n'}_{k}")
@@ -162,18 +220,23 @@ def fit_chain(
     ]
     totals = counted.select(F.explode(F.array_compact(F.array("word", *stems))).alias("feature"), "fold", "n", *labels_at).groupBy("feature").agg(*per_fold)
     n_all = sum((F.col(f"n_{k}") for k in range(1, FOLDS)), F.col("n_0"))
-    share = {y: float(chosen[y].mean()) for y in labels_at}
 
     def strength(y: str):
         t = sum((F.col(f"{y}_{k}") for k in range(1, FOLDS)), F.col(f"{y}_0"))
-        b = share[y]
+        b = shares[y]
         return F.abs(t - n_all * b) / F.sqrt(n_all * b * (1 - b) + 1)
 
     best = F.greatest(*(strength(y) for y in labels_at), F.lit(0.0))
-    table = totals.where(n_all >= 4).withColumn("z", best).orderBy(F.desc("z"), "feature").limit(CANDIDATES).toPandas()
-    names = list(table["feature"])
+    # Bounded: CANDIDATES rows.
+    table = totals.where(n_all >= 4).withColumn("z", best).orderBy(F.desc("z"), "feature").limit(CANDIDATES).toArrow()
+    names = table.column("feature").to_pylist()
     place = {f: i for i, f in enumerate(names)}
 
+    def by_fold(y: str) -> np.ndarray:
+        return np.stack([table.column(f"{y}_{k}").to_numpy().astype(float) for k in range(FOLDS)], axis=1)
+
+    seen, positive = by_fold("n"), [by_fold(y) for y in labels_at]
+
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, times, dense = [], [], []
@@ -182,70 +245,34 @@ def fit_chain(
                 at.append([f for f, _ in found])
                 times.append([k for _, k in found])
                 dense.append(shape(text))
-            rest = [batch.column(c) for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64()))],
-                [*(c for c in batch.schema.names if c != "text"), "at", "times", "dense"],
+                [*batch.columns[:-1], pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64()))],
+                [*batch.schema.names[:-1], "at", "times", "dense"],
             )
 
-    kept = rows.select(fold.cast("int").alias("fold"), *labels_at, "text")
-    kinds = ", ".join(["fold int", *(f"{y} int" for y in labels_at), "at array<int>", "times array<int>", "dense array<double>"])
-    # Bounded by max_train rows and CANDIDATES features.
-    data = kept.mapInArrow(project, kinds).toPandas()
-    if not len(data):
-        return Chain((), {})
-    folds = data["fold"].to_numpy()
-    # Kept sparse: a model makes a table of its own few columns.
-    row_of = np.repeat(np.arange(len(data), dtype=np.int32), data["at"].map(len))
-    column_of = np.concatenate(data["at"].to_numpy()).astype(np.int32)
-    value_of = np.log1p(np.concatenate(data["times"].to_numpy()))
-
-    def chosen_columns(columns: np.ndarray) -> np.ndarray:
-        new_place = np.full(len(names), -1)
-        new_place[columns] = np.arange(len(columns))
-        at = new_place[column_of] if len(names) else column_of
-        table = np.zeros((len(data), len(columns)))
-        table[row_of[at >= 0], at[at >= 0]] = value_of[at >= 0]
-        return table
-
-    dense = np.stack(data["dense"].to_numpy())
-    ns = table[[f"n_{k}" for k in range(FOLDS)]].to_numpy(float)
-    earlier = np.zeros((len(data), 0))
-    links, accuracy = [], {}
-    for y, category in zip(labels_at, categories):
-        target = data[y].to_numpy(float)
-        ts = table[[f"{y}_{k}" for k in range(FOLDS)]].to_numpy(float)
-
-        def model(seen: np.ndarray, use: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            z = association(ns[:, use].sum(1), ts[:, use].sum(1), target[seen].mean())
-            columns = np.argsort(-z, kind="stable")[:FEATURES]
-            x = np.hstack([dense, earlier, chosen_columns(columns)])
-            return columns, x, fit_logistic(x[seen], target[seen])
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        data = pa.Table.from_batches(held).combine_chunks()
+        at, times, dense = (data.column(c).combine_chunks() for c in ("at", "times", "dense"))
+        entries = np.repeat(np.arange(data.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy(), np.log1p(times.flatten().to_numpy()).astype(np.float32)
+        labelled = [data.column(y).to_numpy().astype(float) for y in labels_at]
+        training = Training(data.column("fold").to_numpy(), labelled, dense.flatten().to_numpy().reshape(-1, DENSE), entries, seen, positive)
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(asdict(fit_links(training, categories, names)))])], ["chain"])
 
-        held_out = np.full(len(data), target.mean())
-        for k in range(FOLDS):
-            seen, out = folds != k, folds == k
-            if not seen.any() or not out.any() or target[seen].min() == target[seen].max():
-                continue
-            _, x, w = model(seen, [f for f in range(FOLDS) if f != k])
-            held_out[out] = predict(x[out], w)
-        accuracy[category] = float(((held_out >= 0.5) == (target == 1)).mean())
-        columns, _, w = model(np.ones(len(data), bool), range(FOLDS))
-        m = earlier.shape[1]
-        links.append(
-            Link(
-                category, float(w[0]), tuple(map(float, w[1 : 1 + DENSE])), tuple(map(float, w[1 + DENSE : 1 + DENSE + m])),
-                {names[c]: float(v) for c, v in zip(columns, w[1 + DENSE + m :])},
-            )
-        )
-        earlier = np.hstack([earlier, held_out[:, None]])
-    return Chain(tuple(links), accuracy)
+    kinds = ", ".join(["fold int", *(f"{y} int" for y in labels_at), "at array<int>", "times array<int>", "dense array<double>"])
+    # One task for all rows: max_train at most.
+    features = spool(rows.mapInArrow(project, kinds), "toxicity-features")
+    found = json.loads(features.coalesce(1).mapInArrow(fit, "chain string").first()["chain"])
+    links = (Link(k["category"], k["bias"], tuple(k["dense"]), tuple(k["earlier"]), k["weights"]) for k in found["links"])
+    return Chain(tuple(links), found["accuracy"])
 
 
 def score_chain(docs: DataFrame, chain: Chain, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``p_<category>`` for each category; whole texts, row by row, no shuffle.
 
-    Null text is scored as empty. An existing ``p_<category>`` is replaced; all else is passed through.
+    Null text is scored as empty. An existing ``p_<category>`` in any case is replaced; all else is passed through.
     """
     names = [link.category for link in chain.links]
 
@@ -255,10 +282,8 @@ def score_chain(docs: DataFrame, chain: Chain, categories: Sequence[str], id_col
             yield pd.Series([chain.probabilities(t) for t in texts])
 
     packed = docs.select(F.struct("*").alias("row"), probabilities(F.col(text_col)).alias("p"))
-    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
-    for c in categories:
-        columns[f"p_{c}"] = F.get("p", F.lit(names.index(c))) if c in names else F.lit(0.0)
-    return packed.select(*(v.alias(k) for k, v in columns.items()))
+    new = {f"p_{c}": F.get("p", F.lit(names.index(c))) if c in names else F.lit(0.0) for c in categories}
+    return packed.select(*replaced("row", docs.columns, new))
 
 
 # What the labels table has, in chain order: poor quality first, toxicity given it.
@@ -273,7 +298,7 @@ def label_columns(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
-    """``docs`` plus ``p_low_quality``, ``p_toxic`` and ``is_toxic`` (probability of ``threshold`` or more).
+    """``docs`` plus ``p_low_quality``, ``p_toxic`` and ``is_toxic`` (probability of ``threshold`` or more); existing ones, in any case, are replaced.
 
     Chain fitted on ``labels`` (id, quality, toxic); see ``fit_chain`` and ``score_chain`` for the cases.
     """

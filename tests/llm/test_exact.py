@@ -167,3 +167,9 @@ def test_nested_budgets(spark, small):
     less = {r.doc_id: r.copies for r in mix_sources(docs, share=0.4).collect()}
     more = {r.doc_id: r.copies for r in mix_sources(docs, share=0.9).collect()}
     assert all(less[k] <= more[k] for k in less) and sum(less.values()) < sum(more.values())
+
+
+def test_line_counts_replace_names_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "a\nb", "x", "y")], "doc_id long, text string, N_LINES string, N_deleted string")
+    got = dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_deleted"] and got.collect() == [(1, "a\nb", 2, 0)]

@@ -11,9 +11,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm.ann import build_index, nearest_neighbours, scan, search
+from codeloom.llm.ann import build_index, descend, first_graph, leaves_of, nearest_neighbours, scan, search
 from codeloom.llm.jaccard_join import components, intersections, jaccard_classes, near_dedup, runs_for
-from codeloom.llm.toxicity import CATEGORIES, fit_chain, label_columns, score_chain, shape, toxicity
+from codeloom.llm.common import spool
+from codeloom.llm.toxicity import CATEGORIES, fit_chain, label_columns, lexical, score_chain, shape, toxicity
 from codeloom.llm.url_filter import Rule, judge_urls
 
 DOCS = "doc_id long, text string, class_id string, r int"
@@ -186,6 +187,46 @@ def test_search_goes_on_until_the_recall_is_reached(spark):
     assert recall_of(search(replace(index, graph=index.graph.where("false")), queries), rows, asked) == 1.0
 
 
+def test_descent_does_the_work(spark, monkeypatch):
+    """Production parameters: most of the final graph comes from NN-descent, and the search finds the neighbours."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(10_000, 24)) @ rng.normal(size=(24, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(8)
+    asked = range(0, 10_000, 100)
+    entered = []
+
+    def counted(*args):
+        graph = descend(*args)
+        entered.append(graph.where("fresh").count())
+        return graph
+
+    monkeypatch.setattr("codeloom.llm.ann.descend", counted)
+    whole = build_index(table)
+    # Most of the 200,000 entries came in a round, fewer from round to round once most are there.
+    assert sum(entered) > 0.5 * 200_000 and entered[-1] <= 0.01 * 200_000 < entered[0]
+    assert recall_of(search(whole, table.where("vec_id % 100 = 0")), rows, asked) >= 0.95
+
+
+def test_rounds_compare_fresh_pairs_only(spark):
+    """The second round joins only nodes that have a fresh entry, and a graph without one stays as it is."""
+    x = np.random.default_rng(13).normal(size=(1200, 16))
+    index = build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), leaf_size=64)
+    graph = first_graph(leaves_of(index.codes, index.trees, 16), index.codes, 10, 64, 16)
+    still = graph.withColumn("fresh", F.lit(False))
+    assert sorted(descend(still, index.codes, 0, 10, 10, 16).collect()) == sorted(still.collect())
+    one = descend(graph, index.codes, 0, 10, 10, 16)
+    entered = one.where("fresh").count()
+    assert 0 < descend(one, index.codes, 1, 10, 10, 16).where("fresh").count() < entered
+
+
+def test_exact_search(spark):
+    x = np.random.default_rng(14).normal(size=(600, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert recall_of(nearest_neighbours(table, table.where("vec_id % 6 = 0"), exact=True), rows, range(0, 600, 6)) == 1.0
+
+
 def test_scan_misses_nothing(spark):
     x = np.random.default_rng(8).normal(size=(2500, 8))
     index = build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
@@ -263,6 +304,67 @@ def test_fit_is_bounded(spark):
     assert len(chain.links) == 2
 
 
+def test_one_row_of_a_labelled_id_is_used(spark, monkeypatch):
+    """A labelled id that holds most rows brings one row to the fit: the text with the smallest hash."""
+    from codeloom.llm import toxicity as module
+
+    sizes = {}
+    kept = module.spool
+    monkeypatch.setattr(module, "spool", lambda df, name: sizes.setdefault(name, kept(df, name)))
+    rows, labels = planted(200)
+    rows += [(7, f"{rows[7][1]} again {i % 50}") for i in range(2000)]
+    fit_chain(docs_of(spark, rows), label_columns(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), CATEGORIES, max_train=60)
+    assert {name: df.count() for name, df in sizes.items()} == {"toxicity-labels": 60, "toxicity-sample": 60, "toxicity-features": 60}
+
+
+def test_chain_is_that_of_a_plain_loop(spark):
+    """The models as a direct reading of the method fits them, fold by fold, on dictionaries of features."""
+    rows, labels = planted(240)
+    chain = fit_chain(docs_of(spark, rows), label_columns(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), CATEGORIES)
+    key = spark.createDataFrame([(i,) for i, _, _ in labels], "key long")
+    fold = {r.key: r.f for r in key.select("key", F.pmod(F.xxhash64(F.lit(12), "key"), F.lit(5)).alias("f")).collect()}
+    texts = {i: t for i, t in rows}
+    ids = [i for i, _, _ in labels]
+    truth = {"low_quality": [int(q == 0) for _, q, _ in labels], "toxic": [t for _, _, t in labels]}
+    found = [lexical(texts[i]) for i in ids]
+    folds = np.array([fold[i] for i in ids])
+    earlier = np.zeros((len(ids), 0))
+    for link in chain.links:
+        y = np.array(truth[link.category], float)
+
+        def fitted(use, names):
+            x = np.array([[1.0, *shape(texts[i]), *e, *(np.log1p(f.get(n, 0)) for n in names)] for i, e, f in zip(ids, earlier, found)])
+            w = np.zeros(x.shape[1])
+            w[0] = np.log((y[use].sum() + 0.5) / (use.sum() + 0.5 - y[use].sum()))
+            ridge = np.diag([1e-6] + [0.3] * (x.shape[1] - 1))
+            for _ in range(12):
+                p = 1 / (1 + np.exp(-x[use] @ w))
+                w += np.linalg.solve((x[use] * (p * (1 - p))[:, None]).T @ x[use] + ridge, x[use].T @ (y[use] - p) - ridge @ w)
+            return w, 1 / (1 + np.exp(-x @ w))
+
+        w, _ = fitted(np.ones(len(ids), bool), list(link.weights))
+        assert np.allclose(w, [link.bias, *link.dense, *link.earlier, *link.weights.values()], atol=2e-2)
+        # Features by fold: the strongest associations outside the fold.
+        seen = Counter(n for f in found for n in f)
+        held = np.zeros(len(ids))
+        for k in range(5):
+            use = folds != k
+            count, hits = Counter(n for f, u in zip(found, use) if u for n in f), Counter(n for f, u, t in zip(found, use, y) if u and t for n in f)
+            base = y[use].mean()
+            z = {n: abs(hits[n] - count[n] * base) / math.sqrt(max(count[n] * base * (1 - base), 1e-9) + 1) for n in seen if seen[n] >= 4}
+            names = sorted(z, key=lambda n: (-z[n], n))[:192]
+            held[~use] = fitted(use, names)[1][~use]
+        assert abs(((held >= 0.5) == (y == 1)).mean() - chain.accuracy[link.category]) <= 0.03
+        earlier = np.hstack([earlier, held[:, None]])
+
+
+def test_names_that_differ_in_case_only(spark):
+    rows, labels = planted(80)
+    docs = docs_of(spark, rows).withColumn("P_TOXIC", F.lit("old")).withColumn("Is_Toxic", F.lit("old"))
+    got = toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert got.columns == ["doc_id", "text", "class_id", "r", "p_toxic", "is_toxic", "p_low_quality"] and got.count() == 80
+
+
 RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow")]
 
 
@@ -308,3 +410,23 @@ def test_pipeline(spark, small):
     pieces = corpus_pipeline.pack(spark, kept[4], small).collect()
     assert {p.doc_id for p in pieces} == rows[4].keys()
     assert sum(p.doc_tokens for p in pieces if p.start == 0) == sum(p.length for p in pieces)
+
+
+def test_pipeline_stages_take_odd_rows(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    odd = [(None, "no id at all", "en", "s", 12), (None, None, None, None, None), (3, "", "en", "s", 0), (3, "", "en", "s", 0), (9, "again " * 60, "en", None, 360), (9, "again " * 60, "en", None, 360)]
+    extra = {"p_toxic": 7.0, "is_toxic": "x", "P_low_quality": 1, "_gone": "x", "N_LINES": "x", "place": 5, "row": "r", "kept": "k", "copies": "c"}
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for name, value in extra.items():
+        rows = rows.withColumn(name, F.lit(value))
+    rows = spool(rows, "odd")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = spool(stage(spark, rows, small), "odd")
+        assert [f.name for f in rows.schema] == [*docs.columns, *extra]
+        assert {tuple(r) for r in rows.select(*extra).collect()} == {tuple(extra.values())}
+    assert corpus_pipeline.pack(spark, rows, small).count() > 0
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, small).count() == 0
