@@ -1,7 +1,9 @@
 """The corpus pipeline: toxicity, line dedup, near duplicates, source mix, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one before it kept. All but
-the last return the columns of the documents they are given.
+the last return the columns of the documents they are given, with their values (the line stage changes
+``text`` and ``n_chars``). Null ids and texts, repeated ids and rows, and an empty table pass all stages; an
+empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -17,33 +19,38 @@ from codeloom.llm.toxicity import toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain does not call toxic; fitted on the labels of these documents."""
-    judged = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where(~F.col("is_toxic")).select(*docs.columns)
+    """Documents that the chain does not call toxic; fitted on the labels of these documents.
+
+    Null texts are scored as empty; columns named like the chain's results come back as they were.
+    """
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    judged = toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.where(~F.col("is_toxic")).select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of line runs are cut out; a document of which no word is left goes.
 
-    ``n_chars`` follows the text. A document without words to begin with stays.
+    ``n_chars`` follows the text. A document without words to begin with, or without a text, stays.
     """
-    left = dedup_lines(docs, lines_col="_lines", gone_col="_gone")
-    emptied = (F.col("_gone") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return left.where(~emptied).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    left = dedup_lines(docs.select("doc_id", "text", F.struct("*").alias("row")))
+    emptied = (F.col("n_deleted") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return left.where(~emptied).select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id (see ``near_dedup`` for the cases)."""
     return near_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them (see ``mixed_rows`` for the cases)."""
     return mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences, with the checksum of their ids."""
+    """Pieces of sequences, with the checksum of their ids (see ``pack_documents`` for the cases)."""
     pieces = pack_documents(docs)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
