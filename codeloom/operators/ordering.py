@@ -11,8 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-# Keys that reach the driver at once while a bound is looked for.
-PIVOTS = 1_000
+from codeloom.operators.bitmap import key_bitmap, marked
+
+# About so many keys reach the driver at once while a bound is looked for.
+SAMPLED = 20_000
 
 
 def key_list(order_by: str | Sequence[str]) -> list[str]:
@@ -38,13 +40,23 @@ def first_seen(
 ) -> DataFrame:
     """Rows that are the first of their value of ``same``, exactly one a value.
 
+    Values that come more than once are found on narrow rows and kept as a bitmap of a fixed 4 MB. Rows of
+    other values go through as they are; rows of repeated values (and a few others that the bitmap lets
+    pass) are reduced to one a value in each map task and then shuffled, once. ``df`` is read
+    twice and has to give the same values both times.
+
     ``unique_key=True`` is the caller's word that ``order_by`` is never null and never shared. Then
     digests are settled on narrow rows and the wide ones are picked by a semi join on the key.
     """
+    keys = key_list(order_by)
     if unique_key:
-        keys = first_seen_keys(df, same, order_by)
-        return df.join(keys, keys.columns, "left_semi").select(*df.columns)
-    return first_n_per_group(df.withColumn("_same", same), 1, "_same", order_by).drop("_same")
+        first = first_seen_keys(df, same, order_by)
+        return df.join(first, first.columns, "left_semi").select(*df.columns)
+    rows = df.withColumn("_same", same)
+    repeated = rows.groupBy("_same").agg(F.count("*").alias("n")).where("n > 1")
+    both = marked(rows, "_same", key_bitmap(repeated, "_same"))
+    near = both.where("_maybe").groupBy("_same").agg(F.min_by(F.struct(*df.columns), F.struct(*keys)).alias("_row"))
+    return both.where("NOT _maybe").select(*df.columns).unionByName(near.select("_row.*"))
 
 
 def content_digest(text: Column) -> Column:
@@ -57,44 +69,66 @@ def _literal(row: Row, like: DataFrame) -> Column:
     return F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, like.schema)))
 
 
+def _same(row: Row) -> tuple:
+    """A key as Python compares it: a NaN is equal to itself."""
+    return tuple("NaN" if isinstance(v, float) and v != v else v for v in row)
+
+
 def nth_key(keys: DataFrame, n: int) -> tuple[Row | None, int, int]:
     """The ``n``-th smallest row of a narrow key table: (key, rows below it, rows equal to it).
 
-    ``None`` if there are fewer than ``n``. Pivots from a sample of at most 1,000 keys cut the range
-    that holds the ``n``-th, one pass of grouped counts finds the right stretch, and so on until the
-    ``n``-th is one of the pivots. The range shrinks by about the number of pivots in each round,
-    whatever ``n`` is; nothing is sorted but the samples.
+    ``None`` if there are fewer than ``n``. Some 20,000 sampled keys give two bounds close around the
+    ``n``-th. One pass of comparisons counts the rows below, at and between them and samples those between (or
+    brings all, if they are that few), and so on: a pass leaves about a fortieth of the rows. So a count,
+    a sample and a pass do for a million rows, and two passes more for a billion, whatever ``n`` is.
+    Nothing is shuffled or sorted but the samples; equal keys, however many, are only counted.
     """
     key = F.struct(*keys.columns)
-    inside, below, size = keys, 0, None
+    inside, below, size, held = keys, 0, keys.count(), None
     while True:
-        sample = inside.orderBy(F.rand(17)).limit(PIVOTS).distinct().orderBy(*keys.columns).collect()
-        if not sample:
+        if n - below > size:
             return None, below, 0
-        # A range that the sample covers needs no further round: all its keys are pivots.
-        step = 1 if size is not None and size <= PIVOTS else max(1, len(sample) // 64)
-        pivots = sample[::-1][::step][::-1]
-        marks = F.array(*(_literal(p, keys) for p in pivots))
-        place = F.size(F.filter(marks, lambda p: p < key))
-        rows = inside.groupBy(place.alias("place"), F.exists(marks, lambda p: p == key).alias("equal")).count().collect()
-        counts = {(r["place"], r["equal"]): r["count"] for r in rows}
-        low, passed = None, below
-        for at, pivot in enumerate(pivots):
-            before = passed + counts.get((at, False), 0)
-            equal = counts.get((at, True), 0)
-            if before >= n:
-                break
-            if before + equal >= n:
-                return pivot, before, equal
-            low, passed = pivot, before + equal
-        else:
-            at = len(pivots)
-        size = counts.get((at, False), 0)
-        if at < len(pivots):
-            inside = inside.where(key < _literal(pivots[at], keys))
-        if low is not None:
-            inside = inside.where(key > _literal(low, keys))
-        below = passed
+        share = min(1.0, SAMPLED / max(1, size))
+        if held is None:
+            chosen = inside if share == 1 else inside.where(F.rand(17) < share)
+            held = chosen.agg(F.sort_array(F.collect_list(key)).alias("keys")).first()["keys"]
+        if len(held) >= size:
+            found = held[n - below - 1]
+            first = next(i for i, k in enumerate(held) if _same(k) == _same(found))
+            return found, below + first, sum(_same(k) == _same(found) for k in held)
+        if not held:
+            held = None
+            continue
+        near = (n - below) / size * len(held)
+        wide = 4 * (near * max(0.0, 1 - near / len(held))) ** 0.5 + 2
+        # Beyond the ends of the sample there is no bound.
+        lo = held[int(near - wide)] if near >= wide else None
+        hi = held[int(near + wide)] if near + wide < len(held) else None
+        none = F.lit(False)
+        under, at = (none, none) if lo is None else (key < _literal(lo, keys), key == _literal(lo, keys))
+        over, end = (none, none) if hi is None else (key > _literal(hi, keys), (key == _literal(hi, keys)) & ~at)
+        between = ~(under | at | end | over)
+        share = min(1.0, SAMPLED / max(1.0, 2 * wide / len(held) * size))
+        counts = inside.withColumn("_draw", F.rand(18)).agg(
+            *(F.count_if(c).alias(name) for name, c in (("under", under), ("at", at), ("between", between), ("end", end))),
+            F.sort_array(F.collect_list(F.when(between & (F.col("_draw") < share), key))).alias("keys"),
+        ).first()
+        held = None
+        if n <= below + counts["under"]:
+            inside, size = inside.where(under), counts["under"]
+            continue
+        below += counts["under"]
+        if n <= below + counts["at"]:
+            return lo, below, counts["at"]
+        below += counts["at"]
+        if n <= below + counts["between"]:
+            inside, size, held = inside.where(between), counts["between"], counts["keys"]
+            continue
+        below += counts["between"]
+        if n <= below + counts["end"]:
+            return hi, below, counts["end"]
+        size -= counts["under"] + counts["at"] + counts["between"] + counts["end"]
+        inside, below = inside.where(over), below + counts["end"]
 
 
 def upto(df: DataFrame, keys: Sequence[str], bound: Row) -> DataFrame:
@@ -114,7 +148,11 @@ def first_n(df: DataFrame, n: int, order_by: str | Sequence[str]) -> DataFrame:
     if n <= 0:
         return df.limit(0)
     keys = df.select(*key_list(order_by))
-    bound, below, equal = nth_key(keys, n)
+    return upto_nth(df, keys, n, *nth_key(keys, n))
+
+
+def upto_nth(df: DataFrame, keys: DataFrame, n: int, bound: Row | None, below: int, equal: int) -> DataFrame:
+    """The first ``n`` rows of ``df`` by the columns of ``keys``, given what ``nth_key`` says of them."""
     if bound is None:
         return df
     key, last, reached = F.struct(*keys.columns), _literal(bound, keys), upto(df, keys.columns, bound)

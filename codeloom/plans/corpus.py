@@ -17,7 +17,8 @@ from codeloom.operators.filters import (
     long_enough,
     short_enough,
 )
-from codeloom.operators.ordering import content_digest, first_n, first_seen, first_seen_keys, key_list, nth_key, upto
+from codeloom.operators.ordering import content_digest, first_seen, first_seen_keys, key_list, nth_key, upto, upto_nth
+from codeloom.session import written
 from codeloom.sources.tree import files_by_extension
 
 RAW_COLUMNS = ["language", "content", "repo_name", "path"]
@@ -54,18 +55,21 @@ def prepare_corpus(
 ) -> DataFrame:
     """Filter, drop exact duplicates (first by ``order_by`` wins), keep the first ``max_files``.
 
-    ``order_by`` is required; its values may be null or shared. With ``max_files`` the key of the
-    last record is settled on digests and keys first, and only rows up to it are looked at again.
+    ``order_by`` is required; its values may be null or shared. With ``max_files`` the first key of each
+    content is settled on digests and written once (narrow rows), the last key is looked up there,
+    and only rows up to it are looked at again.
     """
     keys = key_list(order_by)
     rows = accepted(raw, lang)
     digest = content_digest(F.col("content"))
     if max_files is None:
         return record(first_seen(rows, digest, keys), lang, keep)
-    bound, _, _ = nth_key(first_seen_keys(rows, digest, keys), max_files) if max_files > 0 else (None, 0, 0)
-    if bound is not None:
-        rows = upto(rows, keys, bound)
-    return record(first_n(first_seen(rows, digest, keys), max_files, keys), lang, keep)
+    if max_files <= 0:
+        return record(rows.limit(0), lang, keep)
+    first = written(first_seen_keys(rows, digest, keys), "first-keys")
+    found = nth_key(first, max_files)
+    reached = rows if found[0] is None else upto(rows, keys, found[0])
+    return record(upto_nth(first_seen(reached, digest, keys), first, max_files, *found), lang, keep)
 
 
 def format_for_training(records: DataFrame, max_length: int = 512, keep: Sequence[str] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet below the shared folder, read back: what follows starts from the files."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/codeloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there."""
     spark = df.sparkSession

@@ -143,3 +143,44 @@ def test_bucketed_contents_stay_where_they_are(spark, df, rows):
         assert "PartitionFilters: [isnotnull(part" in pruned
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_contents_without_a_twin_are_not_shuffled(spark, df):
+    got = first_seen(df, content_digest(F.col("content")), ["part", "id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # The wide rows are scanned once for those that pass and once for those that meet; only the latter move, after a partial aggregation.
+    assert plan.count("partial_min_by") == 1 and "Window" not in plan
+    assert "SortMergeJoin" not in plan and "BroadcastExchange" in plan
+
+
+def jobs_of(spark, name, work):
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        out = work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(context.statusTracker().getJobIdsForGroup(name))
+
+
+@pytest.mark.parametrize("n", [1, 30_000, 59_999, 60_001])
+def test_bound_of_many_rows_takes_few_jobs(spark, n):
+    """Three looks at the table: a count, a sample, a pass (a job of the adaptive planner is a stage)."""
+    keys = spark.range(0, 60_000, 1, 4).select((F.col("id") % 7).cast("double").alias("a"), F.concat(F.lit("k"), F.col("id") * 7919 % 60_000).alias("b"))
+    (bound, below, equal), jobs = jobs_of(spark, f"bound-{n}", lambda: nth_key(keys, n))
+    order = sorted((r.a, r.b) for r in keys.collect())
+    assert jobs <= 7
+    if n > len(order):
+        assert bound is None
+    else:
+        assert (tuple(bound), below, equal) == (order[n - 1], n - 1, 1)
+
+
+def test_bound_among_ties(spark):
+    """A key that two thirds of the rows share is counted, not gathered."""
+    keys = spark.range(0, 90_000, 1, 4).select(F.when(F.col("id") % 3 > 0, F.lit(5)).when(F.col("id") % 2 == 0, F.col("id")).alias("k"))
+    order = sorted((-1 if r.k is None else r.k) for r in keys.collect())
+    for n in (1, 15_000, 15_001, 15_002, 40_000, 75_000, 75_001, 90_000):
+        bound, below, equal = nth_key(keys, n)
+        key = -1 if bound.k is None else bound.k
+        assert key == order[n - 1] and below == order.index(key) and equal == order.count(key)
