@@ -88,6 +88,14 @@ def local_records(files: DataFrame) -> DataFrame:
     )
 
 
+def local_rejects(files: DataFrame) -> DataFrame:
+    """``path, error`` of what gives no record: folders that cannot be listed, files that cannot be read or are no UTF-8."""
+    text = decode_source(F.col("content"))
+    return files.where(F.col("error").isNotNull() | text.isNull()).select(
+        "path", F.coalesce("error", F.lit("not valid UTF-8")).alias("error")
+    )
+
+
 def prepare_local(
     spark: SparkSession, root: str, extensions: Sequence[str] = (".py", ".js")
 ) -> DataFrame:

@@ -17,10 +17,11 @@ from codeloom.operators.columns import (
 )
 from codeloom.operators.structure import file_reports
 from codeloom.plans.analysis import analyze_files, analyze_tree
-from codeloom.plans.corpus import format_for_training, prepare_corpus, prepare_local
+from codeloom.plans.corpus import local_rejects, format_for_training, prepare_corpus, prepare_local
 from codeloom.sources.sinks import write_dataset, write_records, write_reports, write_scores
 from codeloom.sources.tables import choose_splits, read_records, read_table
-from codeloom.sources.tree import files_by_extension, list_tree, walk_sources
+from codeloom.sources import tree as tree_module
+from codeloom.sources.tree import files_by_extension, list_tree, read_files, walk_sources
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +78,48 @@ def test_reading_is_spread(spark, tree):
     assert len({r[0] for r in used.collect()}) > 3
 
 
+def test_uri_of_a_tree(spark, tree):
+    plain = {(os.path.relpath(r.path, tree), bytes(r.content) if r.content is not None else None) for r in files_by_extension(spark, tree).collect()}
+    uri = f"file://{tree}"
+    assert {(r.path.removeprefix(uri + "/"), bytes(r.content) if r.content is not None else None) for r in files_by_extension(spark, uri).collect()} == plain
+
+
+def test_stores_list_and_read_like_folders(tree, monkeypatch):
+    """The way of other stores, on the file system of this machine."""
+    from pyarrow import fs
+
+    monkeypatch.setattr(tree_module, "store_of", lambda uri: (fs.LocalFileSystem(), uri.removeprefix("other://")))
+    want = sorted((f"other://{p}", kind) for p, kind in tree_module.entries(tree) if not p.endswith("dangling.py"))
+    assert sorted(e for e in tree_module.entries(f"other://{tree}") if not e[0].endswith("dangling.py")) == want
+    assert tree_module.read_bytes(f"other://{tree}/b.js", 10**6) == tree_module.read_bytes(f"{tree}/b.js", 10**6)
+    with pytest.raises(OSError, match="more than 3"):
+        tree_module.read_bytes(f"other://{tree}/b.js", 3)
+
+
+def test_thousands_of_folders_take_rounds(spark, tmp_path):
+    for i in range(1500):
+        (tmp_path / "wide" / f"d{i:04d}" / "deeper").mkdir(parents=True)
+        (tmp_path / "wide" / f"d{i:04d}" / "deeper" / "x.py").write_text("x")
+    got = list_tree(spark, str(tmp_path), [".py"], folders=4)
+    assert got.count() == 1500 and got.where("error IS NOT NULL").count() == 0
+
+
+def test_rejects_have_a_reason(spark, tmp_path):
+    (tmp_path / "big.py").write_text("x" * 200)
+    (tmp_path / "good.py").write_text("y = 1\n")
+    (tmp_path / "bad.py").write_bytes(b"\xff\xfe")
+    gone = str(tmp_path / "gone")
+    assert [tuple(r) for r in list_tree(spark, gone, [".py"]).collect()] == [(gone, "FileNotFoundError: No such file or directory")]
+    # A folder that cannot be listed, beside files of all kinds.
+    listed = list_tree(spark, str(tmp_path), [".py"]).unionByName(list_tree(spark, gone, [".py"]))
+    files = read_files(listed, max_bytes=100)
+    assert {os.path.basename(r.path): r.error for r in local_rejects(files).collect()} == {
+        "big.py": "OSError: 200 bytes, more than 100", "bad.py": "not valid UTF-8", "gone": "FileNotFoundError: No such file or directory",
+    }
+    assert [os.path.basename(r.path) for r in files.where("error IS NULL AND is_valid_utf8(content)").collect()] == ["good.py"]
+    assert {r.path for r in walk_sources(spark, gone).collect()} == {gone}
+
+
 def test_local_preparation(spark, tree):
     got = prepare_local(spark, tree)
     assert relative(tree, got, "file") == sorted(["b.js", "crlf.py", "pkg/__init__.py", "pkg/_private/a.py", *MANY])
