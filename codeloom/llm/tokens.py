@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 # Words remembered by a worker; the memory is emptied when full, so it is bounded.
-REMEMBERED = 1_500_000
+REMEMBERED = 750_000
 # Longer words are not remembered.
 LONG = 64
 # Where the tokenizer may join white space over a cut between words: two in a row, or a blank at the end.

@@ -8,7 +8,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -238,7 +237,7 @@ def fit_chain(
     seen, positive = by_fold("n"), [by_fold(y) for y in labels_at]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             at, times, dense = [], [], []
             for text in batch.column("text").to_pylist():
                 found = [(place[f], k) for f, k in lexical(text).items() if f in place]
@@ -276,10 +275,11 @@ def score_chain(docs: DataFrame, chain: Chain, categories: Sequence[str], id_col
     """
     names = [link.category for link in chain.links]
 
-    @F.pandas_udf("array<double>")
-    def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # Texts become Python strings one by one, so a task holds an Arrow batch and no copies of it.
+    @F.arrow_udf("array<double>")
+    def probabilities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([chain.probabilities(t) for t in texts])
+            yield pa.array((chain.probabilities(t.as_py()) for t in texts), pa.list_(pa.float64()), size=len(texts))
 
     packed = docs.select(F.struct("*").alias("row"), probabilities(F.col(text_col)).alias("p"))
     new = {f"p_{c}": F.get("p", F.lit(names.index(c))) if c in names else F.lit(0.0) for c in categories}
