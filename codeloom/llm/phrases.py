@@ -19,7 +19,7 @@ TOP = 2000
 SAMPLE = 8
 LOWERED = 0.25
 # A task counts so many bytes of text at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 # Phrases that may be extended are kept as a bitmap of 2**27 bits: 4,096 pages of 4 KB, 16 MB whatever the input.
 PAGES = 4096
 PAGE_BITS = 32768
@@ -190,8 +190,8 @@ def phrase_counts(docs: DataFrame, now=None, before=None) -> DataFrame:
                 yield from counted(b"\n".join(texts), lang)
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                data = text.encode().translate(_LOWER)
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                data = text.as_py().encode().translate(_LOWER)
                 if len(data) > CHUNK:
                     for part, carried in segments(data):
                         yield from counted(part, lang, carried)
@@ -295,7 +295,7 @@ def collocations(
     that one. Ranks are first limited in lanes of a language, so a task sorts a bounded number of rows.
 
     Defined cases: null text is empty, null language is ``und`` and one with rows of that name; very long texts are counted
-    in parts of 2 MB that share four words; repeated ids and rows count each; equal scores go to the higher ``a``, then by the bytes of the phrase;
+    in parts of half a megabyte that share four words; repeated ids and rows count each; equal scores go to the higher ``a``, then by the bytes of the phrase;
     an empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
