@@ -11,6 +11,7 @@ from codeloom.functions.text import stripped_length
 # Folder names that hold no source of interest.
 JUNK_NAMES = (".git", "node_modules", "__pycache__", ".venv", "venv")
 
+# Length bounds of a corpus file and of a local file.
 MIN_CORPUS_CHARS = 50
 MAX_CORPUS_CHARS = 50_000
 MIN_LOCAL_CHARS = 100
