@@ -36,7 +36,8 @@ def write_token_files(
 
     Defined cases: null text is empty (the end id alone); null ids come last; rows with equal ids
     are in order of a hash of their text; repeated rows are written each; a very long text makes one long
-    segment; no rows make an empty table; only id and text are read.
+    segment; no rows make an empty table; only id and text are read. A segment holds at most 65,536
+    different ids; with a larger vocabulary one that has more is an error.
     """
     file = tokenizer or tokenizer_path()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
