@@ -10,18 +10,32 @@ from __future__ import annotations
 from codeloom.functions.pycode import NO_STRINGS, top_level_parts
 from codeloom.functions.sqltext import array_of, changed, empty_state, let, literal, struct
 
+# Text after which a slash starts a regular expression: an operator, an opening bracket, a line start, some
+# keywords, or the header of a statement (parentheses up to four deep, without quotes or slashes inside).
+_NESTED = r"[^()\"'`/]*+"
+for _ in range(3):
+    _NESTED = rf"(?:[^()\"'`/]++|\({_NESTED}\))*+"
+_BEFORE = (
+    r"(?:=>|[=(,:;!&|?\[{}\n]"
+    r"|(?<![\w$.])(?:return|typeof|case|throw|void|delete|else|do|in|of)(?![\w$])"
+    rf"|(?<![\w$.])(?:if|while|for|with)\s*+\({_NESTED}\))"
+)
+# A regular expression with the text before it as one token, whatever blanks and comments lie between.
+_REGEX = (
+    rf"{_BEFORE}(?:[ \t\r]++|/\*[\s\S]*?\*/)*+"
+    r"/(?![*/])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
+)
 _TOKENS = (
     r"`(?:[^`\\]++|\\[\s\S])*+`"
     r'|"(?:[^"\\\n]++|\\[\s\S])*+"'
     r"|'(?:[^'\\\n]++|\\[\s\S])*+'"
     r"|//[^\n]*+"
     r"|/\*[\s\S]*?\*/"
-    r"|(?<=(?:[=(,:;!&|?\[{}\n]|\breturn|\btypeof)[ \t]{0,8})/(?![*/])"
-    r"(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
-    r"""|[^"'`/]++"""
+    rf"|{_REGEX}"
+    rf"""|(?:(?!{_REGEX})[^"'`/])++"""
     r"|[\s\S]"
 )
-_QUOTED = r"""^(?:"[\s\S]*"|'[\s\S]*'|`[\s\S]*`|/[\s\S]+/[a-z]*)$"""
+_QUOTED = r"""^(?:"[\s\S]*"|'[\s\S]*'|`[\s\S]*`)$"""
 _KEYWORDS = "if|for|while|try|with|else|do|catch|finally"
 _KEYWORD = rf"(?<![\w$.])(?:{_KEYWORDS})(?![\w$])(?!\s*+:)"
 # A declaration starts a statement; after other text ``function`` is an expression. Runs of blanks
@@ -71,10 +85,13 @@ _STATE = {
 
 def mask_javascript(code: str) -> str:
     """Code with strings, comments and regular expressions blanked; line breaks stay."""
+    before = f"regexp_extract(t, {literal('^' + _BEFORE)}, 0)"
+    kept = r"concat(p, regexp_replace(substring(t, char_length(p) + 1, char_length(t) - char_length(p) - 1), r'[^\n]', ' '), '_')"
     blanked = rf"""CASE
         WHEN rlike(t, r'^/[/*]') THEN regexp_replace(t, r'[^\n]', ' ')
         WHEN rlike(t, {literal(_QUOTED)}) THEN concat(
             '_', regexp_replace(substring(t, 2, char_length(t)), r'[^\n]', ' '))
+        WHEN char_length(t) > 1 AND contains(t, '/') THEN {let(before, 'p', kept)}
         ELSE t END"""
     return f"array_join(transform(regexp_extract_all({code}, {literal(_TOKENS)}, 0), t -> {blanked}), '')"
 

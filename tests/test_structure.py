@@ -158,6 +158,26 @@ def test_javascript_declarations_after_blanks(spark):
     assert {n: f.params for n, f in got.items()} == {"a": ["x"], "b": ["y"], "c": ["z"]}
 
 
+@pytest.mark.parametrize(
+    "line",
+    [
+        "x =" + " " * 12 + "/[\"{]/.test(a);",
+        "if (a) /[\"{]/.test(a);",
+        "if (b(c(a), (1))) /* why { */ /[\"{]/.test(a);",
+        "x = /* { */\n   /[`{]/g.exec(a), /'/.test(a);",
+        "return" + " " * 20 + "/}/.test(a);",
+        "v = [1].map(y => /[{(]/.test(y));",
+        "x = (a) / 2 + '/{'; y = a[0] / 3 + \"{/\";",
+        "x = \"a\" / 2 / a; // {",
+    ],
+)
+def test_javascript_regular_expressions(spark, line):
+    code = f"function f(a) {{\n  {line}\n}}\nfunction g(b) {{ }}\n"
+    got = functions(spark, code, "a.js")
+    assert {n: (r.params, r.line) for n, r in got.items()} == {"f": (["a"], 1), "g": (["b"], code.count("\n"))}
+    assert got["f"].end_line == code.count("\n") - 1
+
+
 def test_code_without_a_file_name(spark):
     df = spark.createDataFrame([("x", "javascript", "function f(a) {}"), ("y", "python", "def g(b): pass")], "id string, lang string, code string")
     got = file_reports(df, "id", "code", language="lang").orderBy("file").collect()
