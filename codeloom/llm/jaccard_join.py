@@ -22,8 +22,13 @@ BUCKET = 256
 _C = [np.uint64(c) for c in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
-def runs_for(recall: float, similarity: float, levels: int = LEVELS) -> int:
-    """Independent runs after which a pair of just that similarity has met with probability ``recall``.
+def least_agreement(similarity: float) -> int:
+    """Minhash coordinates in which the sketches of a candidate pair agree at least: four standard errors below the threshold."""
+    return math.floor(COORDINATES * (similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDINATES)))
+
+
+def chance_to_meet(agreement: float, similarity: float, levels: int = LEVELS) -> float:
+    """Chance that two sets that agree in this share of the coordinates end in one bucket of a run.
 
     At each split a set goes down one sampled coordinate, and a second one with the probability that
     makes 1/similarity on average; a pair survives if it agrees on one of them.
@@ -31,9 +36,32 @@ def runs_for(recall: float, similarity: float, levels: int = LEVELS) -> int:
     second = 1 / similarity - 1
     p = 1.0
     for _ in range(levels):
-        q = similarity * p
+        q = agreement * p
         p = (1 - second) * q + second * (1 - (1 - q) ** 2)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p))) if p < 1 else 1
+    return p
+
+
+def expected_recall(runs: int, similarity: float, levels: int = LEVELS) -> float:
+    """Chance that a pair of just this similarity is found in so many runs.
+
+    All runs look at the same coordinates, so it is averaged over the number of coordinates in which a
+    pair agrees; pairs that the comparison of sketches refuses count as lost.
+    """
+    found = 0.0
+    for k in range(max(0, least_agreement(similarity)), COORDINATES + 1):
+        weight = math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k)
+        found += weight * (1 - (1 - chance_to_meet(k / COORDINATES, similarity, levels)) ** runs)
+    return found
+
+
+def runs_for(recall: float, similarity: float, levels: int = LEVELS) -> int:
+    """The fewest runs with which a pair of just that similarity is found with probability ``recall``."""
+    runs = 1
+    while expected_recall(runs, similarity, levels) < recall:
+        runs += 1
+        if runs > 200:
+            raise ValueError(f"a recall of {recall} is out of reach at a similarity of {similarity}")
+    return runs
 
 
 def sampled(parents: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +152,7 @@ def compared(groups: Iterator[tuple[np.ndarray, dict[str, np.ndarray]]], similar
     A pair is a candidate if sizes and sketches allow the similarity (four standard errors below
     it), and belongs to the smallest bucket in which both sets are, so each pair counts once.
     """
-    least = math.floor(COORDINATES * (similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDINATES)))
+    least = least_agreement(similarity)
     for leaf, g in groups:
         n = len(g["r"])
         agree = np.zeros((n, n), np.uint8)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.llm.ann import build_index, descend, first_graph, leaves_of, nearest_neighbours, scan, search
+from codeloom.llm import jaccard_join
 from codeloom.llm.jaccard_join import components, intersections, jaccard_classes, near_dedup, runs_for
 from codeloom.llm.common import spool
 from codeloom.llm.toxicity import CATEGORIES, fit_chain, label_columns, lexical, score_chain, shape, toxicity
@@ -103,6 +104,27 @@ def test_runs_reach_the_recall():
     assert runs_for(0.999, 0.8) > runs_for(0.9, 0.8)
 
 
+def test_expected_recall_is_what_the_chosen_paths_give():
+    rng = np.random.default_rng(3)
+    runs, levels, found = 4, 2, 0
+    for trial in range(4000):
+        same = rng.random(64) < 0.8
+        left = rng.integers(0, 1 << 16, 64)
+        right = np.where(same, left, left + 1)
+        roots = jaccard_join.mix(np.arange(1, runs + 1, dtype=np.uint64) + np.uint64(1000 * trial))
+        met = same.sum() >= jaccard_join.least_agreement(0.8)
+        both = roots
+        for _ in range(levels):
+            rows, chosen = jaccard_join.sampled(both, 0.8)
+            agree = left[chosen] == right[chosen]
+            both = jaccard_join.child(both[rows], chosen, left[chosen].astype(np.uint64))[agree]
+        found += bool(met and len(both))
+    assert abs(found / 4000 - jaccard_join.expected_recall(runs, 0.8, levels)) < 0.01
+    assert jaccard_join.expected_recall(runs_for(0.999, 0.8), 0.8) >= 0.999
+    with pytest.raises(ValueError):
+        runs_for(0.9999999, 0.8)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 203), (203, 201), (300, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
