@@ -2,17 +2,20 @@
 
 File format of one segment, all numbers little-endian:
 
-- head: ``SEGMENT`` = magic, ids in all, ids a block, number of distinct ids, number of blocks;
-- the frequency table that all blocks share: distinct ids (u4 each), frequencies less one (u2 each,
+- head: ``SEGMENT`` = magic, ids in all, ids a block, number of codes, number of blocks, number of the
+  escape code (``NO_ESCAPE``: there is none);
+- the frequency table that all blocks share: the id of each code (u4), frequencies less one (u2 each,
   summing to 2**16 with the ones added);
 - for each block ``BLOCK`` = ids, lanes, steps between checkpoints, 16-bit words, CRC-32 of the block's
-  bytes, CRC-32 of its decoded ids (as u4);
-- for each block its checkpoints, then its words (u2). A checkpoint is the place in the words (u4)
-  and the state of each lane (u4). The first is where decoding starts, the others are those after
+  bytes, CRC-32 of its decoded ids (as u4), escaped ids;
+- for each block its checkpoints, its words (u2), then its escaped ids (u4). A checkpoint is the place in
+  the words, the number of escaped ids before it and the state of each lane (u4 each). The first is where decoding starts, the others are those after
   each ``steps`` rows of ids, so parts of a block can be decoded side by side;
 - CRC-32 of head, table and block heads.
 
-A block of n ids is a table with ``lanes`` columns, filled row by row; lane i codes column i.
+A block of n ids is a table with ``lanes`` columns, filled row by row; lane i codes column i. Where a
+segment has more than 2**16 different ids, the most frequent ``HELD`` have codes of their own; the others
+share the escape code and stand after the words as they are.
 """
 
 from __future__ import annotations
@@ -23,17 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"RANSIDS1"
-SEGMENT = struct.Struct("<8sQIII")
-BLOCK = struct.Struct("<IHHIII")
+MAGIC = b"RANSIDS2"
+SEGMENT = struct.Struct("<8sQIIII")
+BLOCK = struct.Struct("<IHHIIII")
 BITS = 16
 TOTAL = 1 << BITS
+HELD = 1 << 15
+NO_ESCAPE = (1 << 32) - 1
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
     """Frequencies of at least one that sum to ``TOTAL``, near the given positive counts."""
     if len(counts) > TOTAL:
-        raise ValueError(f"more than {TOTAL} different ids in a segment")
+        raise ValueError(f"more than {TOTAL} codes")
     low, high = 0.0, TOTAL / float(counts.sum())
     for _ in range(50):
         middle = (low + high) / 2
@@ -48,7 +53,7 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
     return freq
 
 
-def _encode_block(codes: np.ndarray, freq: np.ndarray, base: np.ndarray, lanes: int, every: int) -> tuple[bytes, int]:
+def _encode_block(codes: np.ndarray, freq: np.ndarray, base: np.ndarray, lanes: int, every: int, escapes: np.ndarray) -> tuple[bytes, int]:
     rows = -(-len(codes) // lanes)
     state = np.full(lanes, TOTAL, np.uint64)
     out: list[np.ndarray] = []
@@ -70,7 +75,8 @@ def _encode_block(codes: np.ndarray, freq: np.ndarray, base: np.ndarray, lanes:
             marks.append((written, state.astype("<u4")))
     marks.reverse()
     words = np.concatenate(out)[::-1] if out else np.zeros(0, "<u2")
-    body = b"".join(struct.pack("<I", written - at) + lane.tobytes() for at, lane in marks)
+    before = np.searchsorted(escapes, np.arange(len(marks)) * every * lanes)
+    body = b"".join(struct.pack("<II", written - at, n) + lane.tobytes() for (at, lane), n in zip(marks, before.tolist()))
     return body + words.tobytes(), written
 
 
@@ -85,9 +91,21 @@ def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return distinct, place[ids], counts[distinct]
 
 
+def _coded(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The id of each code, the codes of the ids, their counts, and the escape code."""
+    distinct, codes, counts = _numbered(ids)
+    if len(distinct) <= TOTAL:
+        return distinct, codes, counts, NO_ESCAPE
+    held = np.sort(np.argsort(-counts, kind="stable")[:HELD])
+    renamed = np.full(len(distinct), HELD, np.int64)
+    renamed[held] = np.arange(HELD)
+    rest = int(counts.sum() - counts[held].sum())
+    return np.append(distinct[held], 0), renamed[codes], np.append(counts[held], rest), HELD
+
+
 def encode_segment(ids: np.ndarray, block: int = 1 << 18, lanes: int = 1024, every: int = 128) -> bytes:
     """One segment of the file format; ``lanes`` shrinks for short blocks."""
-    distinct, codes, counts = _numbered(ids)
+    distinct, codes, counts, escape = _coded(ids)
     freq = frequencies(counts) if len(ids) else np.zeros(0, np.int64)
     base = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64) if len(ids) else np.zeros(0, np.uint64)
     wide = freq.astype(np.uint64)
@@ -95,10 +113,13 @@ def encode_segment(ids: np.ndarray, block: int = 1 << 18, lanes: int = 1024, eve
     for start in range(0, len(ids), block):
         part = codes[start : start + block]
         width = int(min(lanes, max(1, 1 << max(0, (len(part) // 64).bit_length() - 1))))
-        body, words = _encode_block(part, wide, base, width, every)
-        heads.append(BLOCK.pack(len(part), width, every, words, zlib.crc32(body), zlib.crc32(ids[start : start + block].astype("<u4").tobytes())))
+        raw = ids[start : start + block].astype("<u4")
+        escapes = np.flatnonzero(part == escape)
+        body, words = _encode_block(part, wide, base, width, every, escapes)
+        body += raw[escapes].tobytes()
+        heads.append(BLOCK.pack(len(part), width, every, words, zlib.crc32(body), zlib.crc32(raw.tobytes()), len(escapes)))
         bodies.append(body)
-    front = SEGMENT.pack(MAGIC, len(ids), block, len(distinct), len(heads)) + distinct.astype("<u4").tobytes()
+    front = SEGMENT.pack(MAGIC, len(ids), block, len(distinct), len(heads), escape) + distinct.astype("<u4").tobytes()
     front += (freq - 1).astype("<u2").tobytes() + b"".join(heads)
     return front + struct.pack("<I", zlib.crc32(front)) + b"".join(bodies)
 
@@ -107,7 +128,7 @@ class Segment:
     """Reader of one segment; blocks, and the stretches between checkpoints, decode independently."""
 
     def __init__(self, data: bytes):
-        magic, self.size, self.block, n, blocks = SEGMENT.unpack_from(data)
+        magic, self.size, self.block, n, blocks, self.escape = SEGMENT.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a segment of token ids")
         at = SEGMENT.size
@@ -122,14 +143,14 @@ class Segment:
             raise ValueError("the head of a segment is damaged")
         self.bodies = []
         at += 4
-        for ids, lanes, every, words, _, _ in self.heads:
+        for ids, lanes, every, words, _, _, escaped in self.heads:
             marks = -(-(-(-ids // lanes)) // every)
-            length = marks * 4 * (lanes + 1) + 2 * words
+            length = marks * 4 * (lanes + 2) + 2 * words + 4 * escaped
             self.bodies.append(memoryview(data)[at : at + length])
             at += length
 
     def decode_block(self, number: int, check: bool = True) -> np.ndarray:
-        ids, lanes, every, words, crc, ids_crc = self.heads[number]
+        ids, lanes, _, _, crc, ids_crc, _ = self.heads[number]
         if check and zlib.crc32(self.bodies[number]) != crc:
             raise ValueError(f"block {number} is damaged")
         rows = -(-ids // lanes)
@@ -140,13 +161,13 @@ class Segment:
 
     def decode_from(self, number: int, mark: int, rows: int | None = None) -> np.ndarray:
         """Ids from a checkpoint on; ``rows`` limits how many rows of lanes are decoded."""
-        ids, lanes, every, words, _, _ = self.heads[number]
+        ids, lanes, every, words, _, _, escaped = self.heads[number]
         body = self.bodies[number]
         total = -(-ids // lanes)
         marks = -(-total // every)
-        stream = np.frombuffer(body, "<u2", words, marks * 4 * (lanes + 1))
-        place = int(np.frombuffer(body, "<u4", 1, mark * 4 * (lanes + 1))[0])
-        state = np.frombuffer(body, "<u4", lanes, mark * 4 * (lanes + 1) + 4).copy()
+        stream = np.frombuffer(body, "<u2", words, marks * 4 * (lanes + 2))
+        place, before = (int(v) for v in np.frombuffer(body, "<u4", 2, mark * 4 * (lanes + 2)))
+        state = np.frombuffer(body, "<u4", lanes, mark * 4 * (lanes + 2) + 8).copy()
         first = mark * every
         last = total if rows is None else min(total, first + rows)
         out = np.empty(min(ids, last * lanes) - first * lanes, np.uint16)
@@ -162,7 +183,26 @@ class Segment:
                 x[low] = (x[low] << np.uint32(16)) | stream[place : place + len(low)]
                 place += len(low)
             state[:n] = x
-        return self.distinct[out]
+        found = self.distinct[out]
+        if escaped:
+            at = np.flatnonzero(out == self.escape)
+            raw = np.frombuffer(body, "<u4", escaped, marks * 4 * (lanes + 2) + 2 * words)
+            found[at] = raw[before : before + len(at)]
+        return found
+
+    def span(self, start: int, stop: int) -> np.ndarray:
+        """The ids of the segment from ``start`` up to ``stop``; decodes from the checkpoints before them only."""
+        parts = [np.zeros(0, "<u4")]
+        for number, (ids, lanes, every, _, crc, _, _) in enumerate(self.heads):
+            low, high = max(0, start - number * self.block), min(ids, stop - number * self.block)
+            if low >= high:
+                continue
+            if zlib.crc32(self.bodies[number]) != crc:
+                raise ValueError(f"block {number} is damaged")
+            mark = low // lanes // every
+            first = mark * every * lanes
+            parts.append(self.decode_from(number, mark, -(-(high - first) // lanes))[low - first : high - first])
+        return np.concatenate(parts)
 
     def blocks(self) -> Iterator[np.ndarray]:
         for number in range(len(self.heads)):

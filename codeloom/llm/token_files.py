@@ -36,8 +36,7 @@ def write_token_files(
 
     Defined cases: null text is empty (the end id alone); null ids come last; rows with equal ids
     are in order of a hash of their text; repeated rows are written each; a very long text makes one long
-    segment; no rows make an empty table; only id and text are read. A segment holds at most 65,536
-    different ids; with a larger vocabulary one that has more is an error.
+    segment; no rows make an empty table; only id and text are read; vocabularies may be of any size below 2**32.
     """
     file = tokenizer or tokenizer_path()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -88,17 +87,46 @@ def write_token_files(
     ordered.mapInArrow(encode, schema).write.parquet(path)
 
 
+def _part_starts(segments: DataFrame) -> DataFrame:
+    """``part, part_start``: how many ids lie before each part."""
+    parts = segments.groupBy("part").agg(F.sum("ids").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("part_start"))
+
+
+def read_id_span(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """Ids number ``start`` up to ``stop`` of all files below ``path``: one row a segment with ``start``, ``n_tokens``, ``ids``.
+
+    For loaders that begin anywhere: only segments that hold some of these ids are read, and each is
+    decoded from its last checkpoint before them. A damaged block is an error that names it. A span
+    beyond the last id ends there; an empty span has no rows.
+    """
+    segments = spark.read.parquet(path)
+    own = F.col("part_start") + F.col("first")
+    wanted = segments.join(_part_starts(segments), "part").where((own < stop) & (own + F.col("ids") > start) & F.lit(start < stop))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, data in zip(batch.column("own").to_pylist(), batch.column("data")):
+                segment = Segment(data.as_py())
+                ids = segment.span(max(0, start - place), min(segment.size, stop - place)).astype("<u4")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([max(start, place)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary())],
+                    ["start", "n_tokens", "ids"],
+                )
+
+    return wanted.select(own.alias("own"), "data").mapInArrow(cut, "start long, n_tokens long, ids binary")
+
+
 def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Documents in the files below ``path``: id, ``start``, ``n_tokens``, ``ids``.
 
     ``start`` counts the ids of all documents before it; ``ids`` are little-endian unsigned 32-bit
     integers. Segments decode independently; a damaged one is an error. The table of parts has a
-    row for each task that wrote, at most the number of shuffle partitions, and is broadcast.
+    row for each task that wrote, at most the number of shuffle partitions.
     """
     segments = spark.read.parquet(path)
-    parts = segments.groupBy("part").agg(F.sum("ids").alias("size"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("part_start"))
+    parts = _part_starts(segments)
     id_type = segments.schema["doc_ids"].dataType.elementType
     schema = StructType(
         [StructField("id", id_type), StructField("start", LongType()), StructField("n_tokens", LongType()), StructField("ids", BinaryType())]
@@ -122,5 +150,5 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
                     ["id", "start", "n_tokens", "ids"],
                 )
 
-    placed = segments.join(F.broadcast(parts), "part").select("part_start", "first", "doc_ids", "doc_tokens", "data")
+    placed = segments.join(parts, "part").select("part_start", "first", "doc_ids", "doc_tokens", "data")
     return placed.mapInArrow(decode, schema).withColumnRenamed("id", id_col)

@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.llm.packing import balance, pack_documents
-from codeloom.llm.rans import Segment, encode_segment, frequencies
-from codeloom.llm.token_files import read_token_files, write_token_files
+from codeloom.llm.rans import NO_ESCAPE, Segment, encode_segment, frequencies
+from codeloom.llm.token_files import read_id_span, read_token_files, write_token_files
 from codeloom.llm.tokens import Encoder, tokenizer_path
 from codeloom.llm.warc import chunked, page_of, parse_records, read_records, read_warc, reassembled, record, unchunked, write_warc
 
@@ -102,6 +102,29 @@ def test_rans_round_trip(n):
             Segment(bytes(broken)).decode()
 
 
+@pytest.mark.parametrize("distinct", [65_536, 65_537, 70_000])
+def test_rans_round_trip_of_large_vocabularies(distinct):
+    rng = np.random.default_rng(distinct)
+    ids = np.concatenate([np.arange(distinct), rng.integers(0, 5000, 600_000), [2**32 - 1] * (distinct > 65_536)]).astype(np.uint32)
+    rng.shuffle(ids)
+    segment = Segment(encode_segment(ids))
+    assert (segment.escape == NO_ESCAPE) == (distinct == 65_536) and len(segment.heads) == 3
+    assert (segment.decode() == ids).all()
+    for start, stop in ((0, 1), (131_072, 131_073), (262_000, 530_000), (400_000, len(ids)), (7, 7), (len(ids) - 1, len(ids) + 9)):
+        assert (segment.span(start, stop) == ids[start:stop]).all()
+
+
+def test_a_damaged_block_is_named():
+    ids = np.random.default_rng(1).integers(0, 100_000, 600_000).astype(np.uint32)
+    broken = bytearray(encode_segment(ids))
+    broken[-3] ^= 1
+    segment = Segment(bytes(broken))
+    assert (segment.span(0, 262_144) == ids[:262_144]).all()
+    for decode in (segment.decode, lambda: segment.span(599_999, 600_000)):
+        with pytest.raises(ValueError, match="block 2 "):
+            decode()
+
+
 def test_frequencies_sum():
     for counts in ([1], [1, 10**9], [5] * 65_536, [1] * 40_000 + [10**6]):
         f = frequencies(np.array(counts))
@@ -120,9 +143,14 @@ def test_token_files(spark, tokenizer, tmp_path):
     texts = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got}
     for key, text in ROWS[1:5] + ROWS[8:]:
         assert texts[key] == ids_of(tokenizer, text)
+    every = np.concatenate([np.frombuffer(r.ids, "<u4") for r in got])
+    for start, stop in ((0, at), (3, 70), (at - 2, at + 5), (5, 5), (at, at + 1), (-4, 2)):
+        span = sorted(read_id_span(spark, path, start, stop).collect(), key=lambda r: r.start)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r.ids, "<u4") for r in span)])
+        assert (ids == every[max(0, start) : stop]).all() and all(len(r.ids) == 4 * r.n_tokens for r in span)
     empty = str(tmp_path / "none")
     write_token_files(table(spark, []), empty)
-    assert read_token_files(spark, empty).count() == 0
+    assert read_token_files(spark, empty).count() == 0 and read_id_span(spark, empty, 0, 9).count() == 0
 
 
 def test_op6_and_op10_agree_with_the_tokenizer(spark, small, tokenizer):
