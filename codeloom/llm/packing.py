@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from codeloom.llm.tokens import END_ID, encoder, tokenizer_path
+from codeloom.llm.tokens import END_ID, REMEMBERED, encoder, tokenizer_path
 
 LENGTH = 1024
 # A task packs its rows in blocks that end at this many documents or bytes of ids, so memory is bounded.
@@ -68,6 +68,7 @@ def pack_documents(
     end_id: int = END_ID,
     linear: float = 1.0,
     quadratic: float = 1.0 / LENGTH,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``.
 
@@ -78,6 +79,9 @@ def pack_documents(
     lost task is packed again with the same result (sequence ids come from partition and position).
     At most one sequence a block is not full.
 
+    ``remembered`` bounds the words that a worker keeps the ids of (twice so many, some 400 bytes each): more
+    save time, fewer save memory.
+
     Defined cases: null text is empty, one piece with the end id alone; a text of any length is cut
     into pieces (its ids are held by one task); a null id is passed on; repeated rows are packed
     each; an empty table gives an empty result; only id and text are read.
@@ -89,7 +93,7 @@ def pack_documents(
     out = StructType([StructField("id", id_type), *(StructField(n, LongType()) for n in names), StructField("ids", BinaryType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).batch
+        encode = encoder(path, remembered).batch
         context = TaskContext.get()
         following = (context.partitionId() if context else 0) << 33
         block: list[tuple[object, np.ndarray]] = []

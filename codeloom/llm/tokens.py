@@ -13,14 +13,15 @@ import pyarrow.compute as pc
 # The tokenizer file is a parameter everywhere; this is its public default.
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-# Words remembered by a worker; the memory is emptied when full, so it is bounded.
-REMEMBERED = 750_000
+# Words in each of the two generations that a worker remembers: when the younger is full it takes the place of
+# the older, and words met again move back, so frequent words stay and the memory is bounded (some 400 bytes a word).
+REMEMBERED = 375_000
 # Longer words are not remembered.
 LONG = 64
 # Where the tokenizer may join white space over a cut between words: two in a row, or a blank at the end.
 DOUBLED = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}| \z"
 
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[tuple[str, int], "Encoder"] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,8 +40,9 @@ def byte_letters() -> dict[int, str]:
 class _Words(dict):
     """Ids, as little-endian bytes, of a word with a blank before it, or of one that begins with a line end."""
 
-    def __init__(self, tokenizer, code: str):
+    def __init__(self, tokenizer, code: str, remembered: int):
         super().__init__()
+        self.older, self.remembered = {}, remembered
         self.tokenizer, self.model, self.code = tokenizer, tokenizer.model, code
         self.letters = byte_letters()
         self.signs = {c: self.whole(c) for c in ",.;:!?\n"}
@@ -53,19 +55,22 @@ class _Words(dict):
         return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        bare = word[:-1] if word[-1:] in self.signs else word
-        if bare.isalpha():
-            ids = self._letters(" " + word) if bare is word else self[bare] + self.signs[word[-1]]
-        elif bare[:1] == "\n" and bare[1:].isalpha():
-            ids = self.signs["\n"] + self._letters(bare[1:]) + (b"" if bare is word else self.signs[word[-1]])
-        else:
-            ids = self.whole(word if word[:1] == "\n" else " " + word)
+        ids = self.older.get(word) or self._new(word)
         if len(word) < LONG:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def _new(self, word: str) -> bytes:
+        bare = word[:-1] if word[-1:] in self.signs else word
+        if bare.isalpha():
+            return self._letters(" " + word) if bare is word else self[bare] + self.signs[word[-1]]
+        if bare[:1] == "\n" and bare[1:].isalpha():
+            return self.signs["\n"] + self._letters(bare[1:]) + (b"" if bare is word else self.signs[word[-1]])
+        return self.whole(word if word[:1] == "\n" else " " + word)
+
 
 class Encoder:
     """Ids of a text as the tokenizer gives them, with ``add_special_tokens=False``.
@@ -75,7 +80,7 @@ class Encoder:
     spaces in a row, which may merge, and any other kind of tokenizer take the whole text at once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -89,7 +94,7 @@ class Encoder:
             and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
             and not spec["model"].get("ignore_merges")
         )
-        self.words = _Words(self.tokenizer, self.code)
+        self.words = _Words(self.tokenizer, self.code, remembered)
 
     def batch(self, texts: pa.Array) -> Iterator[array]:
         """Ids of each text in order, as an ``array``; null is empty text."""
@@ -109,8 +114,8 @@ class Encoder:
         return next(self.batch(pa.array([text], pa.string())))
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = Encoder(path, remembered)
+    return _ENCODERS[path, remembered]

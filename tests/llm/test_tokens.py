@@ -85,6 +85,15 @@ def test_balance_keeps_costs_level():
     assert balance([]) == [] and balance([3, 3, 2], 4) and sorted(p[2] for p in balance([3, 3, 2], 4)) in ([1, 1, 3, 3],)
 
 
+def test_word_memory_is_bounded_and_changes_no_id(tokenizer):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["one", "two,", "three.\nfour", "fünf", "a" * 80, "x1", "", "\nsix"], k=40)) for _ in range(60)]
+    small = Encoder(tokenizer_path(), remembered=3)
+    for text in texts:
+        assert [*small.ids(text), 0] == ids_of(tokenizer, text)
+        assert len(small.words) <= 3 and len(small.words.older) <= 3
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 5000, 300_000])
 def test_rans_round_trip(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 50_256).astype(np.uint16)
