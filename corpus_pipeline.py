@@ -50,8 +50,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences, with the checksum of their ids (see ``pack_documents`` for the cases)."""
-    pieces = pack_documents(docs)
+    """Pieces of sequences, with the checksum of their ids (see ``pack_documents`` for the cases).
+
+    The workers still hold what the stages before took, so fewer words are remembered here.
+    """
+    pieces = pack_documents(docs, remembered=100_000)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
