@@ -11,7 +11,8 @@ from codeloom.catalog.registry import query, table
 from codeloom.operators.labels import structure_features
 from codeloom.operators.structure import (
     class_table,
-    corpus_totals,
+    count_totals,
+    file_counts,
     file_reports,
     function_table,
     import_table,
@@ -91,12 +92,12 @@ def code_lines(spark: SparkSession, folder: str) -> DataFrame:
     FROM functions""",
 )
 def code_functions(spark: SparkSession, folder: str) -> DataFrame:
-    return flat_functions(file_reports(python_files(spark, folder)))
+    return flat_functions(file_reports(python_files(spark, folder), fields=["functions"]))
 
 
 @query("code_classes", PY_SQL + " SELECT file, name, line, methods, num_methods FROM classes")
 def code_classes(spark: SparkSession, folder: str) -> DataFrame:
-    classes = class_table(file_reports(python_files(spark, folder)))
+    classes = class_table(file_reports(python_files(spark, folder), fields=["classes"]))
     return classes.select("file", "name", "line", F.array_join("methods", ",").alias("methods"), "num_methods")
 
 
@@ -108,7 +109,7 @@ def code_classes(spark: SparkSession, folder: str) -> DataFrame:
     FROM imports""",
 )
 def code_imports(spark: SparkSession, folder: str) -> DataFrame:
-    return import_table(file_reports(python_files(spark, folder))).select("file", "import", "pos")
+    return import_table(file_reports(python_files(spark, folder), fields=["imports"])).select("file", "import", "pos")
 
 
 REPORT_SQL = (
@@ -159,7 +160,7 @@ def files_with_structure(spark: SparkSession, folder: str) -> DataFrame:
     FROM report""",
 )
 def structure_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus_totals(file_reports(python_files(spark, folder)))
+    return count_totals(file_counts(python_files(spark, folder)))
 
 
 @query(
@@ -206,9 +207,9 @@ JS_FUNCTIONS_SQL = (
     FROM f""",
 )
 def js_functions(spark: SparkSession, folder: str) -> DataFrame:
-    return flat_functions(file_reports(javascript_files(spark, folder)))
+    return flat_functions(file_reports(javascript_files(spark, folder), fields=["functions"]))
 
 
 @query("js_imports", JS_SQL + " SELECT file, imports AS import FROM lines WHERE imports <> ''")
 def js_imports(spark: SparkSession, folder: str) -> DataFrame:
-    return import_table(file_reports(javascript_files(spark, folder))).select("file", "import")
+    return import_table(file_reports(javascript_files(spark, folder), fields=["imports"])).select("file", "import")

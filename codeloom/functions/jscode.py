@@ -7,6 +7,8 @@ is one row and nothing is shuffled. The expressions are SQL text.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from codeloom.functions.pycode import NO_STRINGS, top_level_parts
 from codeloom.functions.sqltext import array_of, changed, empty_state, let, literal, struct
 
@@ -212,8 +214,8 @@ def _imports(code: str, masked: str) -> str:
     return f"filter(transform({lines}, z -> {let(statement, 'v', quoted)}), v -> v != '')"
 
 
-def fold_javascript(code: str) -> str:
-    """Struct of ``defs`` (function declarations by line) and ``imports``."""
+def fold_javascript(code: str, facts: Sequence[str] = ("defs", "imports")) -> str:
+    """Struct of ``defs`` (function declarations by line) and ``imports``, as asked for."""
     pieces = rf"regexp_extract_all(regexp_replace(k, r'[ \t]+', ' '), {literal(_PIECES)}, 0)"
     start = empty_state(_STATE, line="1")
     folded = f"aggregate({pieces}, {start}, (s, t) -> {_step()}, s -> s.closed)"
@@ -221,7 +223,8 @@ def fold_javascript(code: str) -> str:
     records = f"filter(split({folded}, {_RECORD}), y -> y != '')"
     split_row = f"split(y, {_FIELD})"
     defs = f"sort_array(transform({records}, y -> {let(split_row, 'x', row)}))"
-    return let(mask_javascript(code), "k", struct({"defs": defs, "imports": _imports(code, "k")}))
+    made = {"defs": defs, "imports": _imports(code, "k")}
+    return let(mask_javascript(code), "k", struct({fact: made[fact] for fact in facts}))
 
 
 def javascript_functions(defs: str) -> str:

@@ -11,6 +11,8 @@ The expressions are SQL text over column or variable names.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from codeloom.functions.sqltext import array_of, changed, empty, empty_state, let, literal, struct
 
 # One token per match: triple-quoted and plain strings, comments, runs of other text.
@@ -68,23 +70,30 @@ _FOUND = (
 )
 # What is known when it ends.
 _CLOSED = ("line", "end_line", "nesting")
-# Results so far are kept as text, numbers with commas in groups with semicolons: the state is
-# copied at every line, and a string is copied in one go while a list is copied item by item.
-_STATE = {
-    "start": "int",  # first line of the logical line being read, 0 between logical lines
+# The logical line that is being read.
+_READING = {
+    "start": "int",  # first line, 0 between logical lines
     "ind": "int",
-    "text": "string",
     "keyword": "string",
     "balance": "int",
-    "last": "int",  # last line that holds code
-    "read": "int",  # last line of the logical line that holds code
-    "notes": "array<struct<ln:int,ind:int>>",  # last comment line since then for each least indent
-    "deco_from": "int",  # decorator directly above, 0 if a comment lies in between
-    "deco_to": "int",
-    "stack": array_of(_OPEN),
-    "found": "string",
-    "closed": "string",
-    "imports": "string",  # separated by newlines
+}
+# What each kind of fact needs besides. Results so far are kept as text, numbers with commas in groups
+# with semicolons: the state is copied at every line, and a string is copied in one go while a list is
+# copied item by item.
+_NEEDS = {
+    "defs": {
+        "text": "string",
+        "last": "int",  # last line that holds code
+        "read": "int",  # last line of the logical line that holds code
+        "notes": "array<struct<ln:int,ind:int>>",  # last comment line since then for each least indent
+        "deco_from": "int",  # decorator directly above, 0 if a comment lies in between
+        "deco_to": "int",
+        "stack": array_of(_OPEN),
+        "found": "string",
+        "closed": "string",
+    },
+    "imports": {"text": "string", "imports": "string"},  # separated by newlines
+    "counts": {"functions": "int", "classes": "int"},
 }
 NO_STRINGS = empty("array<string>")
 
@@ -160,14 +169,19 @@ def _imports_in(text: str) -> str:
     return rf"array_join(transform({found}, v -> concat(v, '\n')), '')"
 
 
-def _step() -> str:
-    """State ``s`` after the line ``l``.
+def _state(facts: Sequence[str]) -> dict[str, str]:
+    return _READING | {name: kind for fact in facts for name, kind in _NEEDS[fact].items()}
+
+
+def _step(facts: Sequence[str]) -> str:
+    """State ``s`` after the line ``l``, with what the facts asked for need.
 
     Written without inner bindings: a higher-order function copies what its lambda returns, and
     the state holds all that was found so far. Only a line that starts a definition no deeper than
     the statement that is being read takes two steps: an open bracket is given up there, as it
     would swallow the rest of the file.
     """
+    kinds = _state(facts)
     going = "s.start > 0"
     start, ind = f"IF({going}, s.start, l.ln)", f"IF({going}, s.ind, l.ind)"
     # inside brackets only the first line matters; the header of a function is read off its lines
@@ -206,25 +220,29 @@ def _step() -> str:
     grown = f"concat(IF({named}, {stack}, {deeper}), array({new}))"
     pushed = let(depth, "m", grown)
     deco = f"startswith({text}, '@')"
-    complete = changed(
-        "s",
-        _STATE,
-        start="0",
-        text="''",
-        keyword="''",
-        balance="0",
-        last="l.ln",
-        notes=empty(_STATE["notes"]),
-        deco_from=f"IF({deco}, {start}, 0)",
-        deco_to=f"IF({deco}, l.ln, 0)",
-        stack=f"IF({keyword} = '', {stack}, {pushed})",
-        found=f"IF({named}, concat(s.found, {found}, ';'), s.found)",
-        closed=f"IF({same}, s.closed, {_close('s', f'filter(s.stack, h -> h.ind >= {ind})')})",
-        imports=f"IF(contains({text}, 'import'), concat(s.imports, {_imports_in(text)}), s.imports)",
-    )
+    at_end = {
+        "defs": {
+            "last": "l.ln",
+            "notes": empty(_NEEDS["defs"]["notes"]),
+            "deco_from": f"IF({deco}, {start}, 0)",
+            "deco_to": f"IF({deco}, l.ln, 0)",
+            "stack": f"IF({keyword} = '', {stack}, {pushed})",
+            "found": f"IF({named}, concat(s.found, {found}, ';'), s.found)",
+            "closed": f"IF({same}, s.closed, {_close('s', f'filter(s.stack, h -> h.ind >= {ind})')})",
+        },
+        "imports": {
+            "imports": f"IF(contains({text}, 'import'), concat(s.imports, {_imports_in(text)}), s.imports)"
+        },
+        "counts": {
+            "functions": f"s.functions + IF({keyword} = 'def', 1, 0)",
+            "classes": f"s.classes + IF({keyword} = 'class', 1, 0)",
+        },
+    }
+    added = {name: value for fact in facts for name, value in at_end[fact].items()}
+    complete = changed("s", kinds, start="0", text="''", keyword="''", balance="0", **added)
     partial = changed(
         "s",
-        _STATE,
+        kinds,
         start=start,
         ind=ind,
         text=_unjoined(text),
@@ -235,10 +253,11 @@ def _step() -> str:
     least = "least(coalesce(try_element_at(s.notes, -1).ind, l.ind), l.ind)"
     earlier = f"filter(s.notes, n -> n.ind > {least})"
     note = changed(
-        "s", _STATE, notes=f"concat({earlier}, array(named_struct('ln', l.ln, 'ind', {least})))", deco_from="0"
+        "s", kinds, notes=f"concat({earlier}, array(named_struct('ln', l.ln, 'ind', {least})))", deco_from="0"
     )
+    noted = f"WHEN s.start = 0 AND l.note THEN {note}" if "defs" in facts else ""
     usual = f"""CASE
-        WHEN s.start = 0 AND l.note THEN {note}
+        {noted}
         WHEN s.start = 0 AND l.body = '' THEN s
         WHEN s.balance + l.delta > 0 OR l.joined THEN {partial}
         ELSE {complete} END"""
@@ -249,9 +268,21 @@ def _step() -> str:
     return f"CASE WHEN {open_bracket} THEN {let(given_up, 's', usual)} ELSE {usual} END"
 
 
-def fold_python(code: str) -> str:
-    """Struct of ``defs`` (functions and classes, by line) and ``imports`` (in source order)."""
-    folded = f"aggregate(ls, {empty_state(_STATE)}, (s, l) -> {_step()}, s -> {struct({'found': 's.found', 'closed': _close('s', 's.stack'), 'imports': 's.imports'})})"
+def _folded(facts: Sequence[str], finish: str) -> str:
+    return f"aggregate(ls, {empty_state(_state(facts))}, (s, l) -> {_step(facts)}, s -> {finish})"
+
+
+def count_python(code: str) -> str:
+    """Struct of the numbers of ``functions`` and ``classes``: the state is six plain values."""
+    counted = _folded(["counts"], struct({"functions": "s.functions", "classes": "s.classes"}))
+    return let(line_facts(mask_python(code)), "ls", counted)
+
+
+def fold_python(code: str, facts: Sequence[str] = ("defs", "imports")) -> str:
+    """Struct of ``defs`` (functions and classes, by line) and ``imports`` (in source order), as asked for."""
+    ends = {"found": "s.found", "closed": _close("s", "s.stack")} if "defs" in facts else {}
+    ends |= {"imports": "s.imports"} if "imports" in facts else {}
+    folded = _folded(facts, struct(ends))
 
     def rows(text: str, names: tuple[str, ...]) -> str:
         row = struct({n: f"CAST(x[{i}] AS INT)" for i, n in enumerate(names)})
@@ -276,7 +307,8 @@ def fold_python(code: str) -> str:
     # headers are found in the order of their lines, so the two lists pair up
     defs = f"zip_with({rows('r.found', _FOUND)}, sort_array({rows('r.closed', _CLOSED)}), (f, e) -> {both})"
     imports = r"filter(split(r.imports, r'\n'), v -> v != '')"
-    result = let(folded, "r", struct({"defs": defs, "imports": imports}))
+    made = {"defs": defs, "imports": imports}
+    result = let(folded, "r", struct({fact: made[fact] for fact in facts}))
     return let(line_facts(mask_python(code)), "ls", result)
 
 

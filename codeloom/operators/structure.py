@@ -2,52 +2,106 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from codeloom.functions.jscode import fold_javascript, javascript_functions
-from codeloom.functions.pycode import fold_python, line_facts, mask_python, python_classes, python_functions
+from codeloom.functions.pycode import (
+    count_python,
+    fold_python,
+    line_facts,
+    mask_python,
+    python_classes,
+    python_functions,
+)
 from codeloom.functions.text import language_of, total_lines
 from codeloom.operators.filters import has_structure
 
 CLASS_TYPE = "array<struct<name:string,line:int,methods:array<string>,num_methods:int>>"
 
 
-def file_reports(files: DataFrame, path: str = "file", text: str = "text", language: str | None = None) -> DataFrame:
+# Fields of a report after ``file`` and ``language``.
+FIELDS = ("functions", "classes", "imports", "total_lines", "avg_function_length", "max_nesting")
+OF_FUNCTIONS = {"functions", "avg_function_length", "max_nesting"}
+
+
+def _known(files: DataFrame, path: str, text: str, language: str | None) -> DataFrame:
+    """``file, _text, language`` of the files that have a report."""
+    lang = F.col(language) if language else language_of(F.col(path))
+    return files.select(F.col(path).alias("file"), F.col(text).alias("_text"), lang.alias("language")).where(
+        F.col("language").isin("python", "javascript") & F.col("_text").isNotNull()
+    )
+
+
+def file_reports(
+    files: DataFrame,
+    path: str = "file",
+    text: str = "text",
+    language: str | None = None,
+    fields: Sequence[str] = FIELDS,
+) -> DataFrame:
     """One report a file, with nested functions, classes and imports.
 
     The language comes from the column ``language`` or else from the suffix of ``path``. Files of
     another language get no report; see ``unsupported``. Purely row-local: a scan and a projection.
+    Only the ``fields`` asked for are worked out; the others are left out of the report.
     """
-    lang = F.col(language) if language else language_of(F.col(path))
-    known = files.select(F.col(path).alias("file"), F.col(text).alias("_text"), lang.alias("language")).where(
-        F.col("language").isin("python", "javascript") & F.col("_text").isNotNull()
-    )
-    folded = known.select(
-        "file",
-        "language",
-        "_text",
-        F.expr(f"IF(language = 'python', {fold_python('_text')}, NULL)").alias("_py"),
-        F.expr(f"IF(language = 'python', NULL, {fold_javascript('_text')})").alias("_js"),
-    )
-    facts = F.struct(
-        F.expr(
+    unknown = set(fields) - set(FIELDS)
+    if unknown:
+        raise ValueError(f"no fields of a report: {sorted(unknown)}")
+    functions = bool(OF_FUNCTIONS & set(fields))
+    facts = [fact for fact, asked in (("defs", functions or "classes" in fields), ("imports", "imports" in fields)) if asked]
+    folded = _known(files, path, text, language)
+    if facts:
+        folded = folded.select(
+            "file",
+            "language",
+            "_text",
+            F.expr(f"IF(language = 'python', {fold_python('_text', facts)}, NULL)").alias("_py"),
+            F.expr(f"IF(language = 'python', NULL, {fold_javascript('_text', facts)})").alias("_js"),
+        )
+    made = {}
+    if functions:
+        made["functions"] = F.expr(
             f"IF(language = 'python', {python_functions('_text', '_py.defs')}, {javascript_functions('_js.defs')})"
-        ).alias("functions"),
-        F.expr(
+        )
+    if "classes" in fields:
+        made["classes"] = F.expr(
             f"IF(language = 'python', {python_classes('_py.defs')}, CAST(array() AS {CLASS_TYPE}))"
-        ).alias("classes"),
-        F.coalesce("_py.imports", "_js.imports").alias("imports"),
-        total_lines(F.col("_text")).alias("total_lines"),
-    )
+        )
+    if "imports" in fields:
+        made["imports"] = F.coalesce("_py.imports", "_js.imports")
+    if "total_lines" in fields:
+        made["total_lines"] = total_lines(F.col("_text"))
+    if not made:
+        return folded.select("file", "language")
     # Generated columns are a barrier: a filter on them is not pushed into the analysis (which
     # would then run once for the filter and once for the result).
-    facts = folded.select("file", "language", F.inline_outer(F.array(facts)))
-    lengths = F.aggregate("functions", F.lit(0).cast("bigint"), lambda acc, f: acc + f["length"])
-    return facts.withColumns(
-        {
-            "avg_function_length": F.when(F.size("functions") > 0, lengths / F.size("functions")).otherwise(0.0),
-            "max_nesting": F.coalesce(F.array_max(F.transform("functions", lambda f: f["nesting_depth"])), F.lit(0)),
-        }
+    struct = F.struct(*(value.alias(name) for name, value in made.items()))
+    reports = folded.select("file", "language", F.inline_outer(F.array(struct)))
+    if functions:
+        lengths = F.aggregate("functions", F.lit(0).cast("bigint"), lambda acc, f: acc + f["length"])
+        deepest = F.array_max(F.transform("functions", lambda f: f["nesting_depth"]))
+        reports = reports.withColumns(
+            {
+                "avg_function_length": F.when(F.size("functions") > 0, lengths / F.size("functions")).otherwise(0.0),
+                "max_nesting": F.coalesce(deepest, F.lit(0)),
+            }
+        )
+    return reports.select("file", "language", *(f for f in FIELDS if f in fields))
+
+
+def file_counts(files: DataFrame, path: str = "file", text: str = "text", language: str | None = None) -> DataFrame:
+    """Numbers of ``functions`` and ``classes`` of each file, as its report has them, without building it."""
+    known = _known(files, path, text, language)
+    python = F.expr(f"IF(language = 'python', {count_python('_text')}, NULL)").alias("_py")
+    script = F.expr(f"IF(language = 'python', NULL, size({fold_javascript('_text', ['defs'])}.defs))").alias("_js")
+    return known.select("file", "language", python, script).select(
+        "file",
+        "language",
+        F.coalesce("_py.functions", "_js").alias("functions"),
+        F.coalesce("_py.classes", F.lit(0)).alias("classes"),
     )
 
 
@@ -107,3 +161,12 @@ def corpus_totals(reports: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.size("functions")), F.lit(0)).cast("bigint").alias("functions"),
         F.coalesce(F.sum(F.size("classes")), F.lit(0)).cast("bigint").alias("classes"),
     )
+
+
+def count_totals(counts: DataFrame) -> DataFrame:
+    """The same totals from ``file_counts``."""
+    return counts.agg(
+        F.count("*").alias("files"),
+        F.coalesce(F.sum("functions"), F.lit(0)).cast("bigint").alias("functions"),
+        F.coalesce(F.sum("classes"), F.lit(0)).cast("bigint").alias("classes"),
+    )

@@ -11,8 +11,11 @@ from ast_facts import facts
 from pyspark.sql import functions as F
 
 from codeloom.operators.structure import (
+    FIELDS,
     class_table,
     corpus_totals,
+    count_totals,
+    file_counts,
     file_reports,
     function_table,
     import_table,
@@ -248,6 +251,7 @@ def test_totals_agree_with_tables(spark, library):
     assert totals.functions == function_table(reports).count()
     assert totals.classes == class_table(reports).count()
     assert import_table(reports).count() == reports.select(F.sum(F.size("imports"))).first()[0]
+    assert count_totals(file_counts(spark.createDataFrame(rows, "file string, text string"))).first() == totals
     kept = with_structure(reports)
     assert kept.count() == reports.where((F.size("functions") > 0) | (F.size("classes") > 0)).count()
     means = function_table(reports).groupBy("file").agg(F.avg("length").alias("m"), F.max("nesting_depth").alias("d"))
@@ -261,3 +265,38 @@ def test_analysis_runs_once_under_a_filter(spark):
     for df in (with_structure(file_reports(files)), function_table(file_reports(files))):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count('|[^"\'#]++|') <= 1
+
+
+CODE = {
+    "a.py": 'import os\n@d\nclass A(\n  B):\n  def m(self, x=(1,\n   2)):\n    if x: return """\ndef no():\n"""\n# def no\n',
+    "b.py": "def f(a, [\n  b\ndef g(): pass\ndef = 3\nasync def h(): pass\ndef open(",
+    "c.js": "import x from 'y';\nfunction f(a, b) { if (a) { return function (c) { return '}'; }; } }\nfunction g() {}\n",
+    "d.py": "",
+    "e.md": "def f(): pass",
+}
+
+
+@pytest.fixture(scope="module")
+def snippets(spark, library):
+    rows = list(CODE.items()) + [("n.py", None), *((path, code) for path, (code, _) in list(library.items())[:60])]
+    return spark.createDataFrame(rows, "file string, text string").repartition(8)
+
+
+def test_counts_are_those_of_the_reports(snippets):
+    want = file_reports(snippets).select("file", "language", F.size("functions"), F.size("classes")).collect()
+    got = file_counts(snippets).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 64
+    assert {r.file: (r.functions, r.classes) for r in got if r.file == "a.py"} == {"a.py": (1, 1)}
+
+
+@pytest.mark.parametrize("fields", [*([f] for f in FIELDS), ["total_lines", "classes"], []])
+def test_fields_asked_for_are_those_of_whole_reports(snippets, fields):
+    got = file_reports(snippets, fields=fields)
+    assert got.columns == ["file", "language", *(f for f in FIELDS if f in fields)]
+    want = file_reports(snippets).select(got.columns)
+    assert sorted(got.collect(), key=lambda r: r.file) == sorted(want.collect(), key=lambda r: r.file)
+
+
+def test_unknown_fields(snippets):
+    with pytest.raises(ValueError, match="nesting"):
+        file_reports(snippets, fields=["nesting"])
