@@ -12,9 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from codeloom.operators.bitmap import key_bitmap, marked
+from codeloom.session import written
 
 # About so many keys reach the driver at once while a bound is looked for.
 SAMPLED = 20_000
+# Rows of one group that a task may rank when groups are limited in lanes.
+TASK_ROWS = 1_000_000
 
 
 def key_list(order_by: str | Sequence[str]) -> list[str]:
@@ -168,11 +171,14 @@ def first_n_per_group(
 
     Groups are first limited in ``lanes`` of their own (as many as there are shuffle partitions), as the
     first ``n`` of a group are among the first ``n`` of each lane; so no task sorts a whole hot group.
-    Spark limits small ``n`` in each map task as well.
+    Spark limits small ``n`` in each map task as well. Where ``n`` rows of each lane would be more than
+    ``TASK_ROWS`` for one task, the ``n``-th key of each group is looked up instead; see ``first_n_by_bounds``.
     """
     groups = [group] if isinstance(group, str) else list(group)
     keys = key_list(order_by)
     lanes = lanes or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n * lanes > TASK_ROWS:
+        return first_n_by_bounds(df, n, groups, keys)
 
     def limited(rows: DataFrame, by: list[str]) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(*by).orderBy(*keys))
@@ -180,3 +186,65 @@ def first_n_per_group(
 
     lane = F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(lanes))
     return limited(limited(df.withColumn("_lane", lane), [*groups, "_lane"]).drop("_lane"), groups)
+
+
+def group_bounds(df: DataFrame, n: int, group: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """``n``-th smallest key of each group with more than ``n`` rows: ``_group, _bound, _below, _equal``.
+
+    Equal keys are counted first, in each map task and then once. What is left, narrow and without
+    repeats, is dealt out by ranges of group and key and written, so that a hot group lies in many
+    parts of even size; the counts of the parts tell in which one the ``n``-th key is, and only that part of
+    each group is ranked. ``_below`` rows are smaller than the bound and ``_equal`` share it.
+    """
+    counted = (
+        df.select(F.struct(*group).alias("_group"), F.struct(*order_by).alias("_key"))
+        .groupBy("_group", "_key")
+        .agg(F.count("*").alias("_n"))
+    )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counted.repartitionByRange(parts, "_group", "_key").withColumn("_part", F.spark_partition_id())
+    dealt = written(dealt, "group-keys")
+    # At most one row a group and part.
+    sums = dealt.groupBy("_group", "_part").agg(F.sum("_n").alias("_rows"), F.min("_key").alias("_least"))
+    upto_here = F.sum("_rows").over(Window.partitionBy("_group").orderBy("_least"))
+    place = sums.withColumn("_reached", upto_here).withColumn("_before", F.col("_reached") - F.col("_rows"))
+    total = F.sum("_rows").over(Window.partitionBy("_group"))
+    place = place.withColumn("_total", total).where(f"_total > {n} AND _before < {n} AND _reached >= {n}")
+    place = place.select(F.col("_group").alias("_g"), F.col("_part").alias("_p"), "_before")
+    near = dealt.join(place, dealt["_group"].eqNullSafe(place["_g"]) & (dealt["_part"] == place["_p"]))
+    running = F.col("_before") + F.sum("_n").over(Window.partitionBy("_group", "_part").orderBy("_key"))
+    ranked = near.withColumn("_upto", running).withColumn("_below", F.col("_upto") - F.col("_n"))
+    return ranked.where(f"_below < {n} AND _upto >= {n}").select(
+        "_group", F.col("_key").alias("_bound"), "_below", F.col("_n").alias("_equal")
+    )
+
+
+def first_n_by_bounds(df: DataFrame, n: int, group: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """At most ``n`` rows of each group, for any ``n``: a filter of ``df`` by the ``n``-th key of its group.
+
+    The bounds are one row a group with more than ``n`` rows, so their number is at most the rows by ``n``. Wide
+    rows are neither sorted nor ranked. Only where rows beyond the ``n``-th share its key are these rows
+    written and counted off, part by part. ``df`` is read twice and has to give the same keys both times.
+    """
+    if n <= 0:
+        return df.limit(0)
+    bounds = written(group_bounds(df, n, group, order_by), "group-bounds").withColumnRenamed("_group", "_of")
+    key = F.struct(*order_by)
+    met = df.join(bounds, F.struct(*group).eqNullSafe(F.col("_of")), "left")
+    whole = F.col("_bound").isNull() | (key < F.col("_bound"))
+    tied = F.col("_below") + F.col("_equal") > n
+    same = key == F.col("_bound")
+    if bounds.where(tied).isEmpty():
+        return met.where(whole | same).select(*df.columns)
+    ties = met.where(same & tied).withColumn("_part", F.spark_partition_id())
+    ties = written(ties.withColumn("_seq", F.monotonically_increasing_id()), "group-ties")
+    # Rows of one map task are numbered within it, and tasks by what those before them hold.
+    sums = ties.groupBy("_of", "_part").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy("_of").orderBy("_part")) - F.col("_rows")
+    sums = sums.select(F.col("_of").alias("_g"), F.col("_part").alias("_p"), before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_of", "_part").orderBy("_seq"))
+    numbered = ties.withColumn("_place", within).join(
+        sums, ties["_of"].eqNullSafe(sums["_g"]) & (ties["_part"] == sums["_p"])
+    )
+    counted_off = numbered.where("_below + _before + _place <= " + str(n)).select(*df.columns)
+    return met.where(whole | (same & ~tied)).select(*df.columns).unionByName(counted_off)

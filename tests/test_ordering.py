@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.operators.ordering import (
     content_digest,
     first_n,
+    first_n_by_bounds,
     first_n_per_group,
     first_seen,
     nth_key,
@@ -111,6 +112,44 @@ def test_first_n_per_group(df, rows, n):
     assert sorted(map(tuple, first_n_per_group(df, n, "content", "id").collect())) == want
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 900, 1_000, 1_001, 5_000])
+def test_bounds_of_groups(df, rows, n):
+    groups = {}
+    for r in sorted(rows):
+        groups.setdefault(r[1], []).append(r)
+    want = sorted(r for g in groups.values() for r in g[:n])
+    assert sorted(map(tuple, first_n_by_bounds(df, n, ["content"], ["id"]).collect())) == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 30, 299, 700])
+def test_bounds_of_groups_with_null_and_shared_keys(spark, n):
+    rows = [(i, None if i % 3 == 0 else f"g{i % 2}", None if i % 7 < 3 else float(i % 5)) for i in range(2_100)]
+    df = spark.createDataFrame(rows, "id int, part string, k double").repartition(5)
+    got = first_n_by_bounds(df, n, ["part"], ["k"]).collect()
+    assert len({r.id for r in got}) == len(got)
+
+    def placed(found):
+        by = {}
+        for _, part, k in found:
+            by.setdefault(part, []).append(-1.0 if k is None else k)
+        return {part: sorted(ks)[:n] for part, ks in by.items()}
+
+    assert placed(got) == placed(rows)
+
+
+def test_a_large_limit_ranks_no_whole_group(spark, monkeypatch):
+    """One group holds half of 400,000 rows and 100,000 of them are kept; no task holds more than a part of them."""
+    half = F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 1000)
+    df = spark.range(400_000).select("id", half.alias("part"), F.xxhash64("id").alias("k"))
+    monkeypatch.setattr("codeloom.operators.ordering.TASK_ROWS", 100_000)
+    got = first_n_per_group(df, 100_000, "part", ["k", "id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan.replace("SortMergeJoin", "")
+    keys = got.where("part = -1").agg(F.count("*").alias("n"), F.max("k").alias("k")).first()
+    want = df.where("part = -1").orderBy("k").limit(100_000).agg(F.max("k").alias("k")).first()
+    assert (keys.n, keys.k) == (100_000, want.k) and got.count() == 300_000
+
+
 def test_hot_groups_shrink_before_the_shuffle(df):
     plan = first_n_per_group(df, 20, "content", "id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
