@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from codeloom.catalog.corpus import stripped_sql
 from codeloom.catalog.registry import query, table
 from codeloom.operators.ordering import first_n
-from codeloom.streaming.ingest import ingest_to_table, prepared_stream, read_stream
+from codeloom.session import shared_dir
+from codeloom.streaming.ingest import (
+    digest_ingest_to_table,
+    hashed_records,
+    read_ingested,
+    read_stream,
+    start_digest_ingest,
+)
 
 KEPT_SQL = f"""FROM documents WHERE lang = 'en' AND {stripped_sql('text')} >= 50 AND length(text) <= 50000"""
 
 
-def ingested(spark: SparkSession, folder: str) -> DataFrame:
-    schema = table(spark, folder, "documents").schema
-    raw = read_stream(spark, folder, schema, glob="documents.parquet").select(
+def raw_stream(spark: SparkSession, path: str, schema: StructType, glob: str | None, files: int | None) -> DataFrame:
+    return read_stream(spark, path, schema, glob=glob, files_per_batch=files).select(
         "doc_id",
         F.col("lang").alias("language"),
         F.col("text").alias("content"),
         F.col("source").alias("repo_name"),
     )
-    return ingest_to_table(prepared_stream(raw, "en", keep=("doc_id",), spread_by=("doc_id",)))
+
+
+def ingested(spark: SparkSession, folder: str) -> DataFrame:
+    schema = table(spark, folder, "documents").schema
+    raw = raw_stream(spark, folder, schema, "documents.parquet", None)
+    return digest_ingest_to_table(hashed_records(raw, "en", keep=("doc_id",)), "doc_id")
 
 
 @query("stream_dedup", f"SELECT DISTINCT md5(text) AS code_hash, CAST(length(text) AS INTEGER) AS size {KEPT_SQL}")
@@ -33,3 +47,17 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def stream_first_n(spark: SparkSession, folder: str) -> DataFrame:
     """The first N are taken from the output of the stream."""
     return first_n(ingested(spark, folder).select("code_hash"), 100, "code_hash")
+
+
+@query("stream_restart", f"SELECT DISTINCT md5(text) AS code_hash, CAST(length(text) AS INTEGER) AS size {KEPT_SQL}")
+def stream_restart(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents arrive in two halves of four files, a file a batch; the stream ends between and goes on."""
+    documents = table(spark, folder, "documents")
+    base = f"{shared_dir(spark)}/restart-{uuid.uuid4().hex}"
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    for part in range(2):
+        documents.where(half == part).repartition(4).write.mode("append").parquet(f"{base}/in")
+        raw = raw_stream(spark, f"{base}/in", documents.schema, None, 1)
+        records = hashed_records(raw, "en", keep=("doc_id",))
+        start_digest_ingest(records, f"{base}/records", f"{base}/checkpoint", "doc_id").awaitTermination()
+    return read_ingested(spark, f"{base}/records", records.schema).select("code_hash", "size")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from codeloom.operators.bitmap import join_few, key_bitmap, maybe_in
+from codeloom.operators.ordering import first_seen
 from codeloom.plans.corpus import accepted, record
-from codeloom.session import shared_dir
+from codeloom.session import shared_dir, written
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -97,6 +100,66 @@ def start_ingest(records: DataFrame, output: str, checkpoint: str) -> StreamingQ
             conf.set(STATE_STORE, before)
 
 
+def hashed_records(raw: DataFrame, lang: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records of the accepted rows of a stream with their ``code_hash``, repeated contents too."""
+    return record(accepted(raw, lang), lang, keep).withColumn("code_hash", F.md5("code"))
+
+
+def keep_new(batch: DataFrame, number: int, order_by: Sequence[str], digests: str) -> DataFrame:
+    """Rows of a batch whose hash is in no earlier batch, each hash once (the first by ``order_by``).
+
+    The new digests are written to a folder of the batch below ``digests``; those of earlier batches are read
+    there, and only those that a bitmap of the batch's own lets pass are shuffled. Contents move only if
+    their hash comes again. A batch that is repeated sees the same earlier batches and replaces its folder.
+    """
+    spark = batch.sparkSession
+    rows = batch.withColumn("_digest", F.unhex("code_hash"))
+    new = rows.select("_digest").distinct()
+    if number > 0:
+        earlier = spark.read.schema("_digest binary, batch bigint").parquet(digests).where(F.col("batch") < number)
+        near = maybe_in(earlier, "_digest", key_bitmap(new, "_digest")).select("_digest")
+        again = written(new.join(near, "_digest", "left_semi"), "seen-digests")
+        rows = join_few(rows, again, "_digest", "left_anti")
+        new = new.join(again, "_digest", "left_anti")
+    new.write.mode("overwrite").parquet(f"{digests}/batch={number}")
+    return first_seen(rows, F.col("_digest"), order_by).drop("_digest")
+
+
+def start_digest_ingest(
+    records: DataFrame, output: str, checkpoint: str, order_by: str | Sequence[str] = ("repo", "path")
+) -> StreamingQuery:
+    """Append the records of all files there are now, each ``code_hash`` once, as JSON Lines in a folder a batch.
+
+    No stateful operator: what is remembered is a table of 16-byte digests below ``checkpoint``. Output
+    and digests are replaced when a batch is repeated after a failure, so no record is lost or doubled.
+    """
+    order_by = [order_by] if isinstance(order_by, str) else list(order_by)
+
+    def settle(batch: DataFrame, number: int) -> None:
+        kept = keep_new(batch, number, order_by, f"{checkpoint}/digests")
+        kept.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{output}/batch={number}")
+
+    return (
+        records.writeStream.foreachBatch(settle)
+        .option("checkpointLocation", f"{checkpoint}/stream")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def digest_ingest_to_table(records: DataFrame, order_by: str | Sequence[str] = ("repo", "path")) -> DataFrame:
+    """Run such an ingest to its end in the shared folder and read its output."""
+    spark = records.sparkSession
+    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    start_digest_ingest(records, f"{base}/records", f"{base}/checkpoint", order_by).awaitTermination()
+    return read_ingested(spark, f"{base}/records", records.schema)
+
+
+def read_ingested(spark: SparkSession, output: str, schema: StructType) -> DataFrame:
+    """Records of all batches."""
+    return spark.read.schema(schema).json(f"{output}/batch=*")
+
+
 def ingest_to_table(records: DataFrame) -> DataFrame:
     """Run an ingest to its end in the shared folder and read its output."""
     spark = records.sparkSession

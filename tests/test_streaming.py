@@ -6,7 +6,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.plans.corpus import prepare_corpus
-from codeloom.streaming.ingest import drop_seen, ingest_to_table, prepared_stream, read_stream, start_ingest
+from codeloom.streaming.ingest import (
+    digest_ingest_to_table,
+    drop_seen,
+    hashed_records,
+    ingest_to_table,
+    keep_new,
+    prepared_stream,
+    read_ingested,
+    read_stream,
+    start_digest_ingest,
+    start_ingest,
+)
 
 
 def write_part(spark, folder, ids):
@@ -46,3 +57,40 @@ def test_bounded_state(spark, tmp_path):
     query = kept.writeStream.format("memory").queryName("bounded").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.code for r in spark.table("bounded").collect()) == ["a", "b"]
+
+
+def test_digests_over_batches_and_a_restart(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for starts in ((0, 60, 120), (180, 30)):
+        for start in starts:
+            schema = write_part(spark, folder, range(start, start + 60))
+        records = hashed_records(read_stream(spark, folder, schema, files_per_batch=1), "python")
+        start_digest_ingest(records, out, state).awaitTermination()
+    got = [r.code_hash for r in read_ingested(spark, out, records.schema).collect()]
+    want = prepare_corpus(spark.read.parquet(folder), "python", "id").select(F.md5("code")).collect()
+    assert len(got) == len(set(got)) and sorted(got) == sorted(r[0] for r in want)
+    # digests only, and no state store
+    assert sorted(p.name for p in (tmp_path / "state" / "digests").iterdir()) == [f"batch={i}" for i in range(5)]
+    assert spark.read.parquet(f"{state}/digests").columns == ["_digest", "batch"]
+    assert not (tmp_path / "state" / "stream" / "state").exists()
+
+
+def test_a_repeated_batch_gives_the_same(spark, tmp_path):
+    digests = str(tmp_path / "digests")
+    rows = [(f"c{i % 7}", "r", f"p{i}") for i in range(30)]
+    first = spark.createDataFrame(rows, "code string, repo string, path string").withColumn("code_hash", F.md5("code"))
+    second = first.withColumn("code", F.concat("code", F.pmod(F.hash("path"), F.lit(2)).cast("string")))
+    second = second.unionByName(first.limit(9).drop("code_hash").withColumn("code_hash", F.lit(None).cast("string")))
+    second = second.withColumn("code_hash", F.md5("code"))
+    assert keep_new(first, 0, ["repo", "path"], digests).count() == 7
+    once = sorted(map(tuple, keep_new(second, 1, ["repo", "path"], digests).collect()))
+    assert once and not {r[0] for r in once} & {r[0] for r in rows}
+    assert sorted(map(tuple, keep_new(second, 1, ["repo", "path"], digests).collect())) == once
+    assert keep_new(first, 2, ["repo", "path"], digests).count() == 0
+
+
+def test_an_empty_stream_of_digests(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    schema = write_part(spark, folder, [1])
+    raw = read_stream(spark, folder, schema)
+    assert digest_ingest_to_table(hashed_records(raw, "rust")).count() == 0
