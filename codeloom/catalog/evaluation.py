@@ -20,7 +20,7 @@ from codeloom.operators.evaluation import (
 )
 from codeloom.operators.labels import drop_label_conflicts
 from codeloom.operators.metrics import best_checkpoint, binary_metrics
-from codeloom.plans.classifier import evaluate, held_out, train
+from codeloom.plans.classifier import held_out, train_and_evaluate
 from codeloom.plans.evaluation import programs
 from codeloom.sources.sinks import scores_json
 
@@ -329,7 +329,7 @@ def classify_separable(spark: SparkSession, folder: str) -> DataFrame:
     label = (F.col("lang") == "en").cast("int").alias("labels")
     rows = table(spark, folder, "documents").select(F.col("text").alias("func"), label)
     test = rows.where(held_out(F.col("func")))
-    metrics = evaluate(train(rows.where(~held_out(F.col("func"))), features=1 << 16), test)
+    metrics = train_and_evaluate(rows, features=1 << 16, spread=spark.sparkContext.defaultParallelism)
     return test.agg(F.count("*").alias("held_out")).crossJoin(metrics.select((F.col("accuracy") >= 0.8).alias("learned")))
 
 
@@ -341,5 +341,4 @@ def train_classifier(spark: SparkSession, folder: str) -> DataFrame:
         .join(table(spark, folder, "labels"), "doc_id")
         .select(F.col("text").alias("func"), F.col("quality").alias("labels"))
     )
-    model = train(rows.where(~held_out(F.col("func"))), features=1 << 16)
-    return evaluate(model, rows.where(held_out(F.col("func"))))
+    return train_and_evaluate(rows, features=1 << 16, spread=spark.sparkContext.defaultParallelism)
