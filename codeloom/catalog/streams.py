@@ -22,8 +22,8 @@ from codeloom.streaming.ingest import (
 KEPT_SQL = f"""FROM documents WHERE lang = 'en' AND {stripped_sql('text')} >= 50 AND length(text) <= 50000"""
 
 
-def raw_stream(spark: SparkSession, path: str, schema: StructType, glob: str | None, files: int | None) -> DataFrame:
-    return read_stream(spark, path, schema, glob=glob, files_per_batch=files).select(
+def raw_stream(spark: SparkSession, path: str, schema: StructType, files: int | None = None) -> DataFrame:
+    return read_stream(spark, path, schema, files_per_batch=files).select(
         "doc_id",
         F.col("lang").alias("language"),
         F.col("text").alias("content"),
@@ -32,8 +32,8 @@ def raw_stream(spark: SparkSession, path: str, schema: StructType, glob: str | N
 
 
 def ingested(spark: SparkSession, folder: str) -> DataFrame:
-    schema = table(spark, folder, "documents").schema
-    raw = raw_stream(spark, folder, schema, "documents.parquet", None)
+    """The table may be one file or a folder of files; a stream takes either where the path is a pattern."""
+    raw = raw_stream(spark, f"{folder}/documents[.]parquet", table(spark, folder, "documents").schema)
     return digest_ingest_to_table(hashed_records(raw, "en", keep=("doc_id",)), "doc_id")
 
 
@@ -57,7 +57,7 @@ def stream_restart(spark: SparkSession, folder: str) -> DataFrame:
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     for part in range(2):
         documents.where(half == part).repartition(4).write.mode("append").parquet(f"{base}/in")
-        raw = raw_stream(spark, f"{base}/in", documents.schema, None, 1)
+        raw = raw_stream(spark, f"{base}/in", documents.schema, 1)
         records = hashed_records(raw, "en", keep=("doc_id",))
         start_digest_ingest(records, f"{base}/records", f"{base}/checkpoint", "doc_id").awaitTermination()
     return read_ingested(spark, f"{base}/records", records.schema).select("code_hash", "size")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from codeloom.catalog import queries
 from codeloom.plans.corpus import prepare_corpus
 from codeloom.streaming.ingest import (
     digest_ingest_to_table,
@@ -94,3 +96,24 @@ def test_an_empty_stream_of_digests(spark, tmp_path):
     schema = write_part(spark, folder, [1])
     raw = read_stream(spark, folder, schema)
     assert digest_ingest_to_table(hashed_records(raw, "rust")).count() == 0
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_the_table_may_be_a_folder_of_files(spark, tmp_path, files):
+    rows = [(i, "en" if i % 4 else "de", f"content {i % 11} ".ljust(60, "x"), "s") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string, source string")
+    folder = str(tmp_path / "documents.parquet")
+    if files:
+        docs.repartition(files).write.parquet(folder)
+    else:
+        docs.toPandas().to_parquet(folder)
+    want = sorted({r.h for r in docs.where("lang = 'en'").select(F.md5("text").alias("h")).collect()})
+    assert sorted(r.code_hash for r in queries()["stream_dedup"](spark, str(tmp_path)).collect()) == want
+    assert sorted(r.code_hash for r in queries()["stream_first_n"](spark, str(tmp_path)).collect()) == want
+    assert sorted(r.code_hash for r in queries()["stream_restart"](spark, str(tmp_path)).collect()) == want
+
+
+def test_a_stream_without_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    raw = read_stream(spark, str(tmp_path / "in"), StructType.fromDDL("language string, content string, repo_name string, path string"))
+    assert digest_ingest_to_table(hashed_records(raw, "python")).count() == 0
