@@ -19,6 +19,8 @@ from codeloom.streaming.ingest import (
     start_digest_ingest,
 )
 
+# Batches in which each half of a restarted stream arrives.
+BATCHES = 4
 KEPT_SQL = f"""FROM documents WHERE lang = 'en' AND {stripped_sql('text')} >= 50 AND length(text) <= 50000"""
 
 
@@ -51,13 +53,20 @@ def stream_first_n(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("stream_restart", f"SELECT DISTINCT md5(text) AS code_hash, CAST(length(text) AS INTEGER) AS size {KEPT_SQL}")
 def stream_restart(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents arrive in two halves of four files, a file a batch; the stream ends between and goes on."""
+    """The documents arrive in two halves of four batches or fewer; the stream ends between and goes on.
+
+    Rows stay in their scan partitions, so files and the tasks that write and read them grow with the table; only a
+    table of fewer than four partitions is dealt out.
+    """
     documents = table(spark, folder, "documents")
+    dealt = documents.repartition(BATCHES) if documents.rdd.getNumPartitions() < BATCHES else documents
     base = f"{shared_dir(spark)}/restart-{uuid.uuid4().hex}"
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    half, arrived = F.pmod(F.xxhash64("doc_id"), F.lit(2)), 0
     for part in range(2):
-        documents.where(half == part).repartition(4).write.mode("append").parquet(f"{base}/in")
-        raw = raw_stream(spark, f"{base}/in", documents.schema, 1)
+        dealt.where(half == part).write.mode("append").parquet(f"{base}/in")
+        files = len(spark.read.schema(documents.schema).parquet(f"{base}/in").inputFiles())
+        raw = raw_stream(spark, f"{base}/in", documents.schema, max(1, -(-(files - arrived) // BATCHES)))
+        arrived = files
         records = hashed_records(raw, "en", keep=("doc_id",))
         start_digest_ingest(records, f"{base}/records", f"{base}/checkpoint", "doc_id").awaitTermination()
     return read_ingested(spark, f"{base}/records", records.schema).select("code_hash", "size")

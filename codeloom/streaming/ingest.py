@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from codeloom.operators.bitmap import join_few, key_bitmap, maybe_in
-from codeloom.operators.ordering import first_seen
+from codeloom.operators.bitmap import key_bitmap, marked, maybe_in
 from codeloom.plans.corpus import accepted, record
 from codeloom.session import shared_dir, written
 
@@ -108,21 +107,29 @@ def hashed_records(raw: DataFrame, lang: str, keep: tuple[str, ...] = ()) -> Dat
 def keep_new(batch: DataFrame, number: int, order_by: Sequence[str], digests: str) -> DataFrame:
     """Rows of a batch whose hash is in no earlier batch, each hash once (the first by ``order_by``).
 
-    The new digests are written to a folder of the batch below ``digests``; those of earlier batches are read
-    there, and only those that a bitmap of the batch's own lets pass are shuffled. Contents move only if
-    their hash comes again. A batch that is repeated sees the same earlier batches and replaces its folder.
+    The digests of the batch are counted and written once, narrow. Those of earlier batches are read below
+    ``digests``, and only those that a bitmap of the batch's own lets pass are shuffled; the new ones are written
+    to a folder of the batch there. Contents move only if their hash comes again: a bitmap tells the others,
+    which go through as they are. So the batch is read three times in all, whichever number it has. A batch that
+    is repeated sees the same earlier batches and replaces its folder.
     """
     spark = batch.sparkSession
     rows = batch.withColumn("_digest", F.unhex("code_hash"))
-    new = rows.select("_digest").distinct()
+    own = written(rows.groupBy("_digest").agg(F.count("*").alias("n")), "batch-digests")
+    new, often = own, own.where("n > 1").select("_digest")
+    again = None
     if number > 0:
         earlier = spark.read.schema("_digest binary, batch bigint").parquet(digests).where(F.col("batch") < number)
-        near = maybe_in(earlier, "_digest", key_bitmap(new, "_digest")).select("_digest")
-        again = written(new.join(near, "_digest", "left_semi"), "seen-digests")
-        rows = join_few(rows, again, "_digest", "left_anti")
-        new = new.join(again, "_digest", "left_anti")
-    new.write.mode("overwrite").parquet(f"{digests}/batch={number}")
-    return first_seen(rows, F.col("_digest"), order_by).drop("_digest")
+        near = maybe_in(earlier, "_digest", key_bitmap(own, "_digest")).select("_digest")
+        again = written(own.select("_digest").join(near, "_digest", "left_semi"), "seen-digests")
+        new, often = own.join(again, "_digest", "left_anti"), often.unionByName(again)
+    new.select("_digest").write.mode("overwrite").parquet(f"{digests}/batch={number}")
+    both = marked(rows, "_digest", key_bitmap(often, "_digest"))
+    met = both.where("_maybe")
+    if again is not None:
+        met = met.join(again.hint("merge"), "_digest", "left_anti")
+    once = met.groupBy("_digest").agg(F.min_by(F.struct(*batch.columns), F.struct(*order_by)).alias("_row"))
+    return both.where("NOT _maybe").select(*batch.columns).unionByName(once.select("_row.*"))
 
 
 def start_digest_ingest(

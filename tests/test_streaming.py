@@ -117,3 +117,20 @@ def test_a_stream_without_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     raw = read_stream(spark, str(tmp_path / "in"), StructType.fromDDL("language string, content string, repo_name string, path string"))
     assert digest_ingest_to_table(hashed_records(raw, "python")).count() == 0
+
+
+def test_a_batch_is_read_three_times(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(100).selectExpr("concat('c', id % 40) AS code", "id").mapInArrow(counted, "code string, id bigint")
+    digests = str(tmp_path / "digests")
+    for number in range(3):
+        before = read.value
+        kept = keep_new(rows.withColumn("code_hash", F.md5("code")), number, ["id"], digests)
+        assert len(kept.collect()) == (40 if number == 0 else 0)
+        assert read.value - before <= 300
