@@ -146,6 +146,31 @@ def bucket_members(reps: DataFrame, similarity: float, levels: int, bucket: int)
     return found
 
 
+def merged_buckets(leaves: DataFrame, bucket: int, rounds: int = 3) -> DataFrame:
+    """``leaves`` with large buckets of nearly the same sets put together, where that means fewer pairs to compare.
+
+    Near copies of one text meet in almost every run, and each of these buckets would be cut into tiles of its own.
+    Buckets that share their first set, in an order by hash that is another each round, become one if the square of its
+    size is no more than the sum of theirs. Two sets that shared a bucket still do, so no pair is lost.
+    """
+    large = leaves.where(F.col("n") > bucket)
+    if large.isEmpty():
+        return leaves
+    for number in range(rounds):
+        heads = large.groupBy("leaf").agg(F.min_by("r", F.xxhash64("r", F.lit(number))).alias("head"), F.first("n").alias("n"))
+        heads = spool(heads, "near-heads")
+        alike = heads.groupBy("head").agg(F.min("leaf").alias("into"), F.sum(F.col("n") * F.col("n")).alias("pairs"), F.count("*").alias("of")).where("of > 1")
+        named = spool(heads.join(alike, "head").select("leaf", "into", "pairs"), "near-alike")
+        if named.isEmpty():
+            continue
+        union = spool(large.join(named, "leaf").select(F.col("into").alias("leaf"), "r", "pairs").distinct(), "near-union")
+        sizes = union.groupBy("leaf").agg(F.count("*").alias("n"), F.first("pairs").alias("pairs")).where(F.col("n") * F.col("n") <= F.col("pairs"))
+        sizes = spool(sizes.select("leaf", "n"), "near-sizes")
+        gone = named.join(sizes.select(F.col("leaf").alias("into")), "into", "left_semi").select("leaf")
+        large = spool(large.join(gone, "leaf", "left_anti").unionByName(union.select("leaf", "r").join(sizes, "leaf")), "near-leaves")
+    return leaves.where(F.col("n") <= bucket).unionByName(large)
+
+
 def compared(groups: Iterator[tuple[np.ndarray, dict[str, np.ndarray]]], similarity: float):
     """For each bucket tile: its rows and the matrix of candidate pairs that belong to this bucket.
 
@@ -209,7 +234,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def similar_sets(reps: DataFrame, texts: DataFrame, similarity: float, words: int, levels: int, bucket: int) -> DataFrame:
     """``r, root, links``: for each set and bucket tile with a verified pair, the smallest set it hangs together with there and its number of pairs."""
-    leaves = spool(bucket_members(reps, similarity, levels, bucket), "near-leaves")
+    leaves = merged_buckets(spool(bucket_members(reps, similarity, levels, bucket), "near-leaves"), bucket)
     per_set = leaves.groupBy("r").agg(F.collect_list(F.struct("leaf", "n")).alias("at"))
     tiles = F.ceil(F.col("at_one.n") / bucket).cast("int")
     placed = (

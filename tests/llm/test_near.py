@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.ann import build_index, descend, first_graph, leaves_of, nearest_neighbours, scan, search
 from codeloom.llm import jaccard_join
-from codeloom.llm.jaccard_join import components, intersections, jaccard_classes, near_dedup, runs_for
+from codeloom.llm.jaccard_join import components, intersections, jaccard_classes, merged_buckets, near_dedup, runs_for
 from codeloom.llm.common import spool
 from codeloom.llm.toxicity import CATEGORIES, fit_chain, label_columns, lexical, score_chain, shape, toxicity
 from codeloom.llm.url_filter import Rule, judge_urls
@@ -125,6 +125,46 @@ def test_expected_recall_is_what_the_chosen_paths_give():
         runs_for(0.9999999, 0.8)
 
 
+def test_large_buckets_of_the_same_sets_become_one(spark):
+    sets = {leaf: [r for r in range(300) if r % 40 != leaf] for leaf in range(8)}
+    sets |= {20: [r + 1000 for r in range(290)], 30: [1, 2, 3, 4, 5]}
+    sets |= {40: [5000, *range(6000, 6280)], 41: [5000, *range(7000, 7280)]}
+    leaves = spark.createDataFrame([(leaf, r, len(v)) for leaf, v in sets.items() for r in v], "leaf long, r long, n long")
+    got = defaultdict(set)
+    for row in merged_buckets(leaves, 256).collect():
+        got[row.leaf].add(row.r)
+        got[row.leaf, "n"].add(row.n)
+    new = {leaf: v for leaf, v in got.items() if not isinstance(leaf, tuple)}
+    assert all(got[leaf, "n"] == {len(v)} for leaf, v in new.items())
+    assert all(any(set(v) <= w for w in new.values()) for v in sets.values())
+    # The near copies are together at last, the others as they were.
+    assert sorted(len(v) for v in new.values()) == [5, 281, 281, 290, 300]
+
+
+def test_a_group_of_near_copies_is_compared_once(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(400):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    spooled = {}
+    real = jaccard_join.spool
+
+    def seen(df, name):
+        found = real(df, name)
+        spooled[name] = found
+        return found
+
+    monkeypatch.setattr(jaccard_join, "spool", seen)
+    got = jaccard_classes(docs).collect()
+    assert {(r.class_id, r.links) for r in got} == {(0, 399)}
+    # Two tiles of a bucket: a row of a set for itself and one for both tiles; once a run before.
+    assert spooled["near-needed"].count() <= 3 * 2 * 400
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 203), (203, 201), (300, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
