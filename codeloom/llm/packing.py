@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,9 @@ LENGTH = 1024
 # A task packs its rows in blocks that end at this many documents or bytes of ids, so memory is bounded.
 BLOCK_DOCS = 8192
 BLOCK_BYTES = 32 << 20
+# Pieces of a block leave the worker this many at a time: some megabytes, whatever the block holds.
+PIECES = 1024
+NAMES = ("start", "length", "doc_tokens", "sequence_id", "offset")
 
 
 def piece_cost(length, linear: float = 1.0, quadratic: float = 1.0 / LENGTH):
@@ -59,6 +64,31 @@ def balance(lengths, size: int = LENGTH, linear: float = 1.0, quadratic: float =
     return placed
 
 
+def piece_batches(block: list[tuple[object, np.ndarray]], table: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The pieces of a block, ``PIECES`` a batch; ``table`` has document, start, length, sequence and offset of each."""
+    for at in range(0, len(table), PIECES):
+        some = table[at : at + PIECES]
+        columns = [
+            pa.array([block[t[0]][0] for t in some], kind),
+            pa.array([t[1] for t in some], pa.int64()),
+            pa.array([t[2] for t in some], pa.int64()),
+            pa.array([len(block[t[0]][1]) for t in some], pa.int64()),
+            pa.array([t[3] for t in some], pa.int64()),
+            pa.array([t[4] for t in some], pa.int64()),
+            pa.array([block[t[0]][1][t[1] : t[1] + t[2]].astype("<u4").tobytes() for t in some], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["id", *NAMES, "ids"])
+
+
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker freed; a worker that is used again keeps it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pack_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -89,18 +119,19 @@ def pack_documents(
     path = tokenizer or tokenizer_path()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType
-    names = ["start", "length", "doc_tokens", "sequence_id", "offset"]
-    out = StructType([StructField("id", id_type), *(StructField(n, LongType()) for n in names), StructField("ids", BinaryType())])
+    out = StructType([StructField("id", id_type), *(StructField(n, LongType()) for n in NAMES), StructField("ids", BinaryType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encode = encoder(path, remembered).batch
+        give_back()
         context = TaskContext.get()
         following = (context.partitionId() if context else 0) << 33
         block: list[tuple[object, np.ndarray]] = []
         held = 0
         kind = None
 
-        def packed() -> pa.RecordBatch:
+        def packed() -> Iterator[pa.RecordBatch]:
             nonlocal following
             table: list[tuple] = []
             rests, owners = [], []
@@ -117,17 +148,7 @@ def pack_documents(
                 n, base = owners[piece]
                 table.append((n, base + start, length, following + sequence, offset))
             following += -(-sum(rests) // size)
-            who = [t[0] for t in table]
-            columns = [
-                pa.array([block[n][0] for n in who], kind),
-                pa.array([t[1] for t in table], pa.int64()),
-                pa.array([t[2] for t in table], pa.int64()),
-                pa.array([len(block[n][1]) for n in who], pa.int64()),
-                pa.array([t[3] for t in table], pa.int64()),
-                pa.array([t[4] for t in table], pa.int64()),
-                pa.array([block[t[0]][1][t[1] : t[1] + t[2]].astype("<u4").tobytes() for t in table], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["id", *names, "ids"])
+            yield from piece_batches(block, table, kind)
 
         for batch in batches:
             kind = batch.schema.field("id").type
@@ -136,9 +157,9 @@ def pack_documents(
                 block.append((key, np.frombuffer(ids, dtype=ids.typecode)))
                 held += len(ids) * 4
                 if len(block) >= BLOCK_DOCS or held >= BLOCK_BYTES:
-                    yield packed()
+                    yield from packed()
                     block, held = [], 0
         if block:
-            yield packed()
+            yield from packed()
 
     return rows.mapInArrow(pack, out).withColumnRenamed("id", id_col)

@@ -9,9 +9,10 @@ import zlib
 
 import numpy as np
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from codeloom.llm.packing import balance, pack_documents
+from codeloom.llm.packing import NAMES, PIECES, balance, pack_documents, piece_batches
 from codeloom.llm.rans import NO_ESCAPE, Segment, encode_segment, frequencies
 from codeloom.llm.token_files import read_id_span, read_token_files, write_token_files
 from codeloom.llm.tokens import Encoder, tokenizer_path
@@ -68,6 +69,16 @@ def test_packing(spark, tokenizer):
         assert ids == ids_of(tokenizer, dict(ROWS[1:5] + ROWS[8:])[key]) and {p.doc_tokens for p in mine} == {len(ids)}
 
 
+def test_pieces_leave_a_few_at_a_time():
+    block = [(n, np.arange(n % 7 + 1, dtype=np.uint16)) for n in range(3 * PIECES + 5)]
+    table = [(n, 0, len(ids), n, n % 3) for n, ids in block]
+    batches = list(piece_batches(block, table, pa.int64()))
+    assert [b.num_rows for b in batches] == [PIECES] * 3 + [5]
+    rows = pa.Table.from_batches(batches)
+    assert list(zip(rows["id"].to_pylist(), *(rows[n].to_pylist() for n in NAMES))) == [(n, s, k, len(block[n][1]), q, o) for n, s, k, q, o in table]
+    assert rows["ids"].to_pylist() == [ids.astype("<u4").tobytes() for _, ids in block]
+
+
 def test_balance_keeps_costs_level():
     rng = random.Random(1)
     lengths = [rng.randint(1, 1024) for _ in range(500)]
