@@ -270,6 +270,19 @@ def test_descent_does_the_work(spark, monkeypatch):
     assert recall_of(search(whole, table.where("vec_id % 100 = 0")), rows, asked) >= 0.95
 
 
+def test_lists_hold_the_neighbours_of_hard_vectors(spark):
+    """Vectors without any structure: a row's own list holds its neighbours, so a search need not widen its pool as the table grows."""
+    x = np.random.default_rng(15).normal(size=(8000, 64)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    index = build_index(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(8))
+    names = {r.node: r.id for r in index.members.collect()}
+    lists = defaultdict(set)
+    for r in index.graph.where(F.col("u").isin([n for n, i in names.items() if i % 80 == 0])).collect():
+        lists[names[r.u]].add(names[r.v])
+    hits = sum(len(lists[q] & dict(want).keys()) for q, want in brute_neighbours(rows, range(0, 8000, 80), 5))
+    assert hits / 500 >= 0.97
+
+
 def test_rounds_compare_fresh_pairs_only(spark):
     """The second round joins only nodes that have a fresh entry, and a graph without one stays as it is."""
     x = np.random.default_rng(13).normal(size=(1200, 16))
