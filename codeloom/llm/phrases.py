@@ -26,6 +26,8 @@ PAGE_BITS = 32768
 BITS = PAGES * PAGE_BITS
 # Lanes in which a language's report is ranked first.
 LANES = 16
+# A pass counts extensions of any length if border failures set at most this share of the bits that were set before.
+FEW = 1 / 64
 
 # Bytes of a text: 0 in words, 1 between words, 2 between pieces; upper case as lower case.
 _CLASS = np.zeros(256, np.uint8)
@@ -104,12 +106,15 @@ def segments(data: bytes, most: int = CHUNK) -> Iterator[tuple[bytes, int]]:
         at = back if carried else end
 
 
-def count_phrases(data: bytes, lang: str, carried: int, now: np.ndarray | None, before: np.ndarray | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def count_phrases(
+    data: bytes, lang: str, carried: int, now: np.ndarray | None, before: np.ndarray | None, longest: int = LONGEST, onwards: bool = False
+) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Phrases of a lower-cased text (space-joined), their number of words, and how often each comes.
 
     A phrase of two words or more counts if both phrases that lack one end word are in the bitmap ``now``
-    and not both in ``before``, which an earlier pass had as its ``now``. Without ``now`` all phrases
-    up to one word below ``LONGEST`` count; with ``before``, words do not. Phrases that end in the first
+    and not both in ``before``, which an earlier pass had as its ``now``; ``onwards`` takes phrases counted
+    here like those in ``now``, so their extensions count too. Without ``now`` all phrases
+    up to ``longest`` words count; with ``before``, words do not. Phrases that end in the first
     ``carried`` words are left out. The empty phrase stands for the number of all words.
     """
     raw = np.frombuffer(data, np.uint8)
@@ -149,7 +154,8 @@ def count_phrases(data: bytes, lang: str, carried: int, now: np.ndarray | None,
     keys = hashes.of(starts, ends)
     if before is None:
         count(at, 1, keys)
-    for k in range(2, LONGEST + (now is not None)):
+    counted = np.zeros(0, np.int64)
+    for k in range(2, longest + 1):
         # Which phrases of k - 1 words, by their first word, may be extended.
         grown, old = np.zeros(words + 1, bool), np.zeros(words + 1, bool)
         if now is None:
@@ -158,6 +164,7 @@ def count_phrases(data: bytes, lang: str, carried: int, now: np.ndarray | None,
             grown[at] = _in(now, keys)
             if before is not None:
                 old[at] = reached & _in(before, keys)
+            grown[counted] = True
         at = np.flatnonzero(grown[:-1] & grown[1:])
         at = at[at + k <= words]
         at = at[piece[at] == piece[at + k - 1]]
@@ -165,10 +172,12 @@ def count_phrases(data: bytes, lang: str, carried: int, now: np.ndarray | None,
         # What the pass with ``before`` reached and counted.
         reached = old[at] & old[at + 1]
         count(at[~reached], k, keys[~reached])
+        if onwards:
+            counted = at[~reached]
     return phrases, np.concatenate(lengths), np.concatenate(counts)
 
 
-def phrase_counts(docs: DataFrame, now=None, before=None) -> DataFrame:
+def phrase_counts(docs: DataFrame, now=None, before=None, longest: int = LONGEST, onwards: bool = False) -> DataFrame:
     """``lang, phrase, words, n`` of ``docs`` (lang, text); ``now`` and ``before`` are broadcast bitmaps, see ``count_phrases``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +186,7 @@ def phrase_counts(docs: DataFrame, now=None, before=None) -> DataFrame:
         size = 0
 
         def counted(data: bytes, lang: str, carried: int = 0) -> Iterator[pa.RecordBatch]:
-            phrases, words, times = count_phrases(data, lang, carried, *bitmaps)
+            phrases, words, times = count_phrases(data, lang, carried, *bitmaps, longest, onwards)
             for at in range(0, len(phrases), 100_000):
                 part = pa.array(phrases[at : at + 100_000], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
@@ -242,12 +251,15 @@ class Mined:
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE, lowered: float = LOWERED) -> Mined:
     """Frequent phrases of ``docs`` (lang, text) by Toivonen's method.
 
-    All phrases of a sample (every ``sample``-th document by hash) are counted; those with at least
+    The phrases of a sample (every ``sample``-th document by hash) are counted, words and pairs first, then
+    longer ones made of pairs with enough; those with at least
     ``lowered`` times the count expected there are proposed. The full pass counts the proposed phrases and
     their negative border exactly: every phrase that is proposed or whose two parts that lack one
     end word are, and all words. Of those that are frequent, some were not proposed: border failures. They
     are added, and another full pass counts what can be extended since then, until a pass finds no failure.
-    Then all frequent phrases are known, since the parts of a frequent phrase are frequent.
+    Then all frequent phrases are known, since the parts of a frequent phrase are frequent. If the failures are
+    few, that pass counts extensions of extensions too, whatever their own counts: it reaches every frequent
+    phrase that was not counted before, as its parts were counted or are reached as well, and is the last.
 
     Proposals are bits of a bitmap of a fixed 16 MB. Others that pass by chance are counted too, which
     changes no result; a full bitmap means more counting, not other counts.
@@ -255,11 +267,16 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE, lowe
     spark: SparkSession = docs.sparkSession
     chosen = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(sample)) == 0
     least = max(1, round(lowered * min_count / sample))
-    proposed = spool(phrase_counts(docs.where(chosen)).where((F.col("words") > 0) & (F.col("n") >= least)).select("lang", "phrase", "words"), "phrase-sample")
-    now, before = spark.sparkContext.broadcast(extendable(proposed)), None
+    drawn, enough = docs.where(chosen), (F.col("words") > 0) & (F.col("n") >= least)
+    short = spool(phrase_counts(drawn, longest=2).where(enough).select("lang", "phrase", "words"), "phrase-sample")
+    words = extendable(short.where("words = 1"))
+    now = words | extendable(short.where("words = 2"))
+    counted = phrase_counts(drawn, spark.sparkContext.broadcast(now), spark.sparkContext.broadcast(words), LONGEST - 1, True)
+    long = spool(counted.where(enough).select("lang", "phrase", "words"), "phrase-sample")
+    now, before, onwards = spark.sparkContext.broadcast(now | extendable(long)), None, False
     frequent, totals, passes = None, None, 0
     while True:
-        counted = phrase_counts(docs, now, before)
+        counted = phrase_counts(docs, now, before, onwards=onwards)
         if totals is None:
             found = spool(counted.where((F.col("words") == 0) | (F.col("n") >= min_count)), "phrase-counts")
             totals = found.where("words = 0").select("lang", F.col("n").alias("total"))
@@ -268,9 +285,13 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE, lowe
         found = found.where("words > 0")
         frequent = found if frequent is None else frequent.unionByName(found)
         passes += 1
+        if onwards:
+            return Mined(frequent, totals, passes)
         grown = np.bitwise_or(now.value, extendable(found))
         if np.array_equal(grown, now.value):
             return Mined(frequent, totals, passes)
+        held = int(np.bitwise_count(now.value).sum())
+        onwards = int(np.bitwise_count(grown).sum()) - held <= FEW * held
         before, now = now, spark.sparkContext.broadcast(grown)
 
 

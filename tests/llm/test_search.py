@@ -238,6 +238,22 @@ def test_border_failures_are_found_by_further_passes(spark):
     assert mine(docs, 20, sample=1, lowered=1.0).passes == 1
 
 
+def test_few_border_failures_take_one_more_pass(spark):
+    """The sample lacks a passage that is frequent: its phrases of all lengths are found by the second pass."""
+    rng = random.Random(11)
+    rows = [("en", " ".join(f"v{rng.randrange(70)}" for _ in range(400))) for _ in range(400)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8))
+    drawn = [r.drawn for r in docs.select((place == 0).alias("drawn")).collect()]
+    at = drawn.index(False)
+    rows[at] = ("en", "one passage of six new words . " * 30)
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    mined = mine(docs, 20)
+    counts, total = grams_by_hand(rows)
+    assert {r.phrase: r.n for r in mined.phrases.collect()} == {p: a for p, a in counts["en"].items() if a >= 20}
+    assert mined.passes == 2
+
+
 def test_full_bitmaps_change_no_count(spark, monkeypatch):
     monkeypatch.setattr(phrases, "extendable", lambda found: np.full(phrases.BITS // 8, 255, np.uint8))
     rows = phrase_rows()[:200]
