@@ -17,7 +17,7 @@ LONGEST = 5
 TOP = 2000
 # The sample holds this share of the documents; a phrase is proposed by this share of its expected count there.
 SAMPLE = 8
-LOWERED = 0.25
+LOWERED = 0.5
 # A task counts so many bytes of text at a time.
 CHUNK = 1 << 19
 # Phrases that may be extended are kept as a bitmap of 2**27 bits: 4,096 pages of 4 KB, 16 MB whatever the input.
@@ -271,8 +271,10 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE, lowe
     short = spool(phrase_counts(drawn, longest=2).where(enough).select("lang", "phrase", "words"), "phrase-sample")
     words = extendable(short.where("words = 1"))
     now = words | extendable(short.where("words = 2"))
-    counted = phrase_counts(drawn, spark.sparkContext.broadcast(now), spark.sparkContext.broadcast(words), LONGEST - 1, True)
-    long = spool(counted.where(enough).select("lang", "phrase", "words"), "phrase-sample")
+    held = spark.sparkContext.broadcast(now), spark.sparkContext.broadcast(words)
+    long = spool(phrase_counts(drawn, *held, LONGEST - 1, True).where(enough).select("lang", "phrase", "words"), "phrase-sample")
+    for bitmap in held:
+        bitmap.destroy()
     now, before, onwards = spark.sparkContext.broadcast(now | extendable(long)), None, False
     frequent, totals, passes = None, None, 0
     while True:
@@ -290,8 +292,8 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE, lowe
         grown = np.bitwise_or(now.value, extendable(found))
         if np.array_equal(grown, now.value):
             return Mined(frequent, totals, passes)
-        held = int(np.bitwise_count(now.value).sum())
-        onwards = int(np.bitwise_count(grown).sum()) - held <= FEW * held
+        set_bits = int(np.bitwise_count(now.value).sum())
+        onwards = int(np.bitwise_count(grown).sum()) - set_bits <= FEW * set_bits
         before, now = now, spark.sparkContext.broadcast(grown)
 
 
