@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 from array import array
 from collections.abc import Iterator
 
@@ -21,6 +22,11 @@ LONG = 64
 # Where the tokenizer may join white space over a cut between words: two in a row, or a blank at the end.
 DOUBLED = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}| \z"
 
+# Signs that end a word as one pre-token, whatever letters come before: ASCII but for the apostrophe, which contractions begin with.
+SIGNS = string.punctuation.replace("'", "")
+# Different runs of signs that a worker remembers.
+RUNS = 10_000
+
 _ENCODERS: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -45,7 +51,7 @@ class _Words(dict):
         self.older, self.remembered = {}, remembered
         self.tokenizer, self.model, self.code = tokenizer, tokenizer.model, code
         self.letters = byte_letters()
-        self.signs = {c: self.whole(c) for c in ",.;:!?\n"}
+        self.runs: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -63,12 +69,21 @@ class _Words(dict):
             self[word] = ids
         return ids
 
+    def _run(self, signs: str) -> bytes:
+        """Ids of a run of signs, or of a line end, which is one pre-token behind letters."""
+        ids = self.runs.get(signs)
+        if ids is None:
+            ids = self.whole(signs)
+            if len(self.runs) < RUNS and len(signs) < LONG:
+                self.runs[signs] = ids
+        return ids
+
     def _new(self, word: str) -> bytes:
-        bare = word[:-1] if word[-1:] in self.signs else word
+        bare = word.rstrip(SIGNS)
         if bare.isalpha():
-            return self._letters(" " + word) if bare is word else self[bare] + self.signs[word[-1]]
+            return self._letters(" " + word) if bare == word else self[bare] + self._run(word[len(bare) :])
         if bare[:1] == "\n" and bare[1:].isalpha():
-            return self.signs["\n"] + self._letters(bare[1:]) + (b"" if bare is word else self.signs[word[-1]])
+            return self._run("\n") + self._letters(bare[1:]) if bare == word else self[bare] + self._run(word[len(bare) :])
         return self.whole(word if word[:1] == "\n" else " " + word)
 
 

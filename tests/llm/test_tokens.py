@@ -105,6 +105,25 @@ def test_word_memory_is_bounded_and_changes_no_id(tokenizer):
         assert len(small.words) <= 3 and len(small.words.older) <= 3
 
 
+def test_words_with_signs_take_the_ids_of_their_letters(tokenizer):
+    """A word of letters with any run of signs behind it does not go through the whole tokenizer, and keeps its ids."""
+    rng = random.Random(6)
+    signs = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    encoder = Encoder(tokenizer_path())
+    for _ in range(3000):
+        words = ["".join(rng.choices(["ab", "É", "ñ", "they", "s", "endoftext", "中"], k=rng.randint(0, 3))) for _ in range(4)]
+        text = "".join(rng.choice(["", " ", "\n", " <|"]) + w + "".join(rng.choices(signs, k=rng.randint(0, 4))) for w in words)
+        assert list(encoder.ids(text)) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    encoder, seen = Encoder(tokenizer_path()), []
+    encode = encoder.words.whole
+    encoder.words.whole = lambda text: seen.append(text) or encode(text)
+    text = "A one### Zwei.&&& d\u00e9j\u00e0,%%% HABLE!!\nDos$$$"
+    assert list(encoder.ids(text)) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == sorted(["A", "###", ".&&&", ",%%%", "!!", "\n", "$$$"])
+    encoder.ids("A three### vier.&&&")
+    assert len(seen) == 8
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 5000, 300_000])
 def test_rans_round_trip(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 50_256).astype(np.uint16)
