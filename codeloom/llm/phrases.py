@@ -24,6 +24,13 @@ CHUNK = 1 << 19
 PAGES = 4096
 PAGE_BITS = 32768
 BITS = PAGES * PAGE_BITS
+# Where the place in a bitmap begins in a 64-bit hash: it is the highest bits.
+SHIFT = 64 - 27
+# A sieve counts the upper 32 bits of hashes, in pages by the highest ten. A hash in its page stands above so many bits of count.
+LOW_BITS = 22
+COUNT_BITS = 64 - LOW_BITS
+# Hashes that a task of a sieve holds before it sums them.
+HELD = 1 << 23
 # Lanes in which a language's report is ranked first.
 LANES = 16
 # A pass counts extensions of any length if border failures set at most this share of the bits that were set before.
@@ -80,7 +87,7 @@ def _seed(lang: str) -> int:
 
 
 def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes & np.uint64(BITS - 1)
+    place = hashes >> np.uint64(SHIFT)
     return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -106,58 +113,53 @@ def segments(data: bytes, most: int = CHUNK) -> Iterator[tuple[bytes, int]]:
         at = back if carried else end
 
 
-def count_phrases(
-    data: bytes, lang: str, carried: int, now: np.ndarray | None, before: np.ndarray | None, longest: int = LONGEST, onwards: bool = False
-) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Phrases of a lower-cased text (space-joined), their number of words, and how often each comes.
+class _Words:
+    """The words of a lower-cased text with one space between them: ``number`` of them, the hashes and places of any stretch."""
 
-    A phrase of two words or more counts if both phrases that lack one end word are in the bitmap ``now``
-    and not both in ``before``, which an earlier pass had as its ``now``; ``onwards`` takes phrases counted
-    here like those in ``now``, so their extensions count too. Without ``now`` all phrases
-    up to ``longest`` words count; with ``before``, words do not. Phrases that end in the first
-    ``carried`` words are left out. The empty phrase stands for the number of all words.
-    """
-    raw = np.frombuffer(data, np.uint8)
-    kind = _CLASS[raw]
-    edges = np.flatnonzero(np.diff((kind == 0).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    if not len(edges):
-        return [b""], np.zeros(1, np.int32), np.zeros(1, np.int64)
-    first, last = edges[::2], edges[1::2]
-    piece = np.cumsum(kind == 2, dtype=np.int32)[first]
-    # The words with one space between them.
-    words = len(first)
-    size = last - first
-    ends = np.cumsum(size + 1) - 1
-    starts = ends - size
-    joined = np.full(int(ends[-1]), 0x20, np.uint8)
-    inside = np.zeros(int(ends[-1]) + 1, np.int8)
-    inside[starts], inside[ends] = 1, -1
-    joined[np.cumsum(inside[:-1], dtype=np.int8) == 1] = raw[kind == 0]
-    hashes = _Hashes(joined, _seed(lang))
-    text = joined.tobytes()
-    phrases, lengths, counts = [b""], [np.zeros(1, np.int32)], [np.array([words - carried])]
-
-    def count(at: np.ndarray, k: int, keys: np.ndarray) -> None:
-        new = at + k > carried
-        at, keys = at[new], keys[new]
-        if not len(at):
+    def __init__(self, data: bytes, lang: str):
+        raw = np.frombuffer(data, np.uint8)
+        kind = _CLASS[raw]
+        edges = np.flatnonzero(np.diff((kind == 0).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        first, last = edges[::2], edges[1::2]
+        self.number = len(first)
+        if not self.number:
             return
-        checks = hashes.of(starts[at], ends[at + k - 1], 1)
-        order = np.argsort(keys, kind="stable")
-        keys, checks, at = keys[order], checks[order], at[order]
-        cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])]))
-        phrases.extend([text[a:b] for a, b in zip(starts[at[cut]].tolist(), ends[at[cut] + k - 1].tolist())])
-        lengths.append(np.full(len(cut), k, np.int32))
-        counts.append(np.diff(np.concatenate([cut, [len(at)]])))
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[first]
+        size = last - first
+        self.ends = np.cumsum(size + 1) - 1
+        self.starts = self.ends - size
+        joined = np.full(int(self.ends[-1]), 0x20, np.uint8)
+        inside = np.zeros(int(self.ends[-1]) + 1, np.int8)
+        inside[self.starts], inside[self.ends] = 1, -1
+        joined[np.cumsum(inside[:-1], dtype=np.int8) == 1] = raw[kind == 0]
+        self.hashes = _Hashes(joined, _seed(lang))
+        self.text = joined.tobytes()
+
+    def of(self, at: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+        """Hashes of the ``k`` words from each place on."""
+        return self.hashes.of(self.starts[at], self.ends[at + k - 1], which)
+
+
+def _reached(
+    words: _Words, carried: int, now: np.ndarray | None, before: np.ndarray | None, longest: int, onwards: bool, passed: np.ndarray | None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each number of words the places and hashes of the phrases to count, see ``count_phrases``."""
+    if not words.number:
+        return
+
+    def fresh(at: np.ndarray, keys: np.ndarray, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+        new = at + k > carried
+        return k, at[new], keys[new]
 
-    at, reached = np.arange(words), np.ones(words, bool)
-    keys = hashes.of(starts, ends)
+    at, reached = np.arange(words.number), np.ones(words.number, bool)
+    keys = words.of(at, 1)
     if before is None:
-        count(at, 1, keys)
+        few = slice(None) if passed is None else _in(passed, keys)
+        yield fresh(at[few], keys[few], 1)
     counted = np.zeros(0, np.int64)
     for k in range(2, longest + 1):
         # Which phrases of k - 1 words, by their first word, may be extended.
-        grown, old = np.zeros(words + 1, bool), np.zeros(words + 1, bool)
+        grown, old = np.zeros(words.number + 1, bool), np.zeros(words.number + 1, bool)
         if now is None:
             grown[at] = True
         else:
@@ -166,27 +168,73 @@ def count_phrases(
                 old[at] = reached & _in(before, keys)
             grown[counted] = True
         at = np.flatnonzero(grown[:-1] & grown[1:])
-        at = at[at + k <= words]
-        at = at[piece[at] == piece[at + k - 1]]
-        keys = hashes.of(starts[at], ends[at + k - 1])
+        at = at[at + k <= words.number]
+        at = at[words.piece[at] == words.piece[at + k - 1]]
+        keys = words.of(at, k)
         # What the pass with ``before`` reached and counted.
         reached = old[at] & old[at + 1]
-        count(at[~reached], k, keys[~reached])
+        few = ~reached if passed is None else ~reached & _in(passed, keys)
+        yield fresh(at[few], keys[few], k)
         if onwards:
-            counted = at[~reached]
+            counted = at[few]
+
+
+def count_phrases(
+    data: bytes, lang: str, carried: int, now: np.ndarray | None, before: np.ndarray | None, longest: int = LONGEST, onwards: bool = False,
+    passed: np.ndarray | None = None,
+) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Phrases of a lower-cased text (space-joined), their number of words, and how often each comes.
+
+    A phrase of two words or more counts if both phrases that lack one end word are in the bitmap ``now``
+    and not both in ``before``, which an earlier pass had as its ``now``; ``onwards`` takes phrases counted
+    here like those in ``now``, so their extensions count too. Without ``now`` all phrases
+    up to ``longest`` words count; with ``before``, words do not. With ``passed``, only what is in that bitmap
+    counts. Phrases that end in the first
+    ``carried`` words are left out. The empty phrase stands for the number of all words.
+    """
+    words = _Words(data, lang)
+    phrases, lengths, counts = [b""], [np.zeros(1, np.int32)], [np.array([max(0, words.number - carried)])]
+    for k, at, keys in _reached(words, carried, now, before, longest, onwards, passed):
+        if not len(at):
+            continue
+        checks = words.of(at, k, 1)
+        order = np.argsort(keys, kind="stable")
+        keys, checks, at = keys[order], checks[order], at[order]
+        cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])]))
+        phrases.extend([words.text[a:b] for a, b in zip(words.starts[at[cut]].tolist(), words.ends[at[cut] + k - 1].tolist())])
+        lengths.append(np.full(len(cut), k, np.int32))
+        counts.append(np.diff(np.concatenate([cut, [len(at)]])))
     return phrases, np.concatenate(lengths), np.concatenate(counts)
 
 
-def phrase_counts(docs: DataFrame, now=None, before=None, longest: int = LONGEST, onwards: bool = False) -> DataFrame:
-    """``lang, phrase, words, n`` of ``docs`` (lang, text); ``now`` and ``before`` are broadcast bitmaps, see ``count_phrases``."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, str, int]]:
+    """Lower-cased texts of one language, about ``CHUNK`` bytes at a time, and how many words at their start are known."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            data = text.as_py().encode().translate(_LOWER)
+            if len(data) > CHUNK:
+                for part, carried in segments(data):
+                    yield part, lang, carried
+                continue
+            held.setdefault(lang, []).append(data)
+            size += len(data)
+            if size >= CHUNK:
+                for own, texts in held.items():
+                    yield b"\n".join(texts), own, 0
+                held, size = {}, 0
+    for own, texts in held.items():
+        yield b"\n".join(texts), own, 0
+
+
+def phrase_counts(docs: DataFrame, now=None, before=None, longest: int = LONGEST, onwards: bool = False, passed=None) -> DataFrame:
+    """``lang, phrase, words, n`` of ``docs`` (lang, text); ``now``, ``before`` and ``passed`` are broadcast bitmaps, see ``count_phrases``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = now and now.value, before and before.value
-        held: dict[str, list[bytes]] = {}
-        size = 0
-
-        def counted(data: bytes, lang: str, carried: int = 0) -> Iterator[pa.RecordBatch]:
-            phrases, words, times = count_phrases(data, lang, carried, *bitmaps, longest, onwards)
+        bitmaps = now and now.value, before and before.value, longest, onwards, passed and passed.value
+        for data, lang, carried in _chunks(batches):
+            phrases, words, times = count_phrases(data, lang, carried, *bitmaps)
             for at in range(0, len(phrases), 100_000):
                 part = pa.array(phrases[at : at + 100_000], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
@@ -194,28 +242,103 @@ def phrase_counts(docs: DataFrame, now=None, before=None, longest: int = LONGEST
                     ["lang", "phrase", "words", "n"],
                 )
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, texts in held.items():
-                yield from counted(b"\n".join(texts), lang)
-
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                data = text.as_py().encode().translate(_LOWER)
-                if len(data) > CHUNK:
-                    for part, carried in segments(data):
-                        yield from counted(part, lang, carried)
-                    continue
-                held.setdefault(lang, []).append(data)
-                size += len(data)
-                if size >= CHUNK:
-                    yield from flush()
-                    held, size = {}, 0
-        yield from flush()
-
     found = docs.select("lang", "text").mapInArrow(count, "lang string, phrase string, words int, n long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
 
+def _packed(hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Pages of 32-bit hashes and, for each, the steps between its different hashes and their counts, byte by byte of the numbers."""
+    hashes = np.sort(hashes)
+    cut = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    hashes, counts = hashes[cut], np.diff(np.concatenate([cut, [len(hashes)]]))
+    page, low = hashes >> np.uint32(LOW_BITS), hashes & np.uint32((1 << LOW_BITS) - 1)
+    heads = np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1]]))
+    steps = np.diff(low, prepend=np.uint32(0))
+    steps[heads] = low[heads]
+    both = np.stack([steps, counts]).astype("<u4").view(np.uint8).reshape(2, len(low), 4).transpose(0, 2, 1)
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(low)]):
+        yield int(page[a]), both[:, :, a:b].tobytes()
+
+
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Numbers of a page, each its hash above ``COUNT_BITS`` bits of count, with one a hash."""
+    numbers = np.sort(np.concatenate(parts))
+    keys = numbers >> np.uint64(COUNT_BITS)
+    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return (keys[cut] << np.uint64(COUNT_BITS)) + np.add.reduceat(numbers & np.uint64((1 << COUNT_BITS) - 1), cut)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(2, 4, -1)
+    steps, counts = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0]
+    return (np.cumsum(steps, dtype=np.uint64) << np.uint64(COUNT_BITS)) + counts.astype(np.uint64)
+
+
+def sieve(docs: DataFrame, least: int, now=None, before=None, longest: int = LONGEST, onwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of all words, and of all longer phrases, that ``phrase_counts`` with these arguments finds ``least`` times or more.
+
+    Occurrences are counted by 32 bits of their hash, so no phrase is lost; others pass that share their
+    bits with a frequent one. A task sends each of its hashes once, as the step from the one before and a count:
+    some three bytes instead of the phrase. Counts are summed by pages of 2**22 hashes, which bounds what a task holds.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmaps = now and now.value, before and before.value, longest, onwards, None
+        held: tuple[list, list] = [], []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = [(own * (1 << 32 - LOW_BITS) + page, data) for own in (0, 1) if held[own] for page, data in _packed(np.concatenate(held[own]))]
+            for own in held:
+                own.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["page", "data"])
+
+        for data, lang, carried in _chunks(batches):
+            for k, at, keys in _reached(_Words(data, lang), carried, *bitmaps):
+                if len(at):
+                    held[k > 1].append((keys >> np.uint64(32)).astype(np.uint32))
+                    size += len(at)
+            if size >= HELD:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, held, size = None, [], 0
+
+        def bits() -> pa.RecordBatch:
+            numbers = _summed(held)
+            often = numbers[(numbers & np.uint64((1 << COUNT_BITS) - 1)) >= least] >> np.uint64(COUNT_BITS)
+            marks = np.zeros(BITS >> 32 - LOW_BITS, bool)
+            marks[(often >> np.uint64(SHIFT - 32)).astype(np.int64)] = True
+            found = [(page, np.packbits(marks, bitorder="little").tobytes())] if len(often) else []
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary())], ["page", "bits"])
+
+        for batch in batches:
+            for number, data in zip(batch.column("page").to_pylist(), batch.column("data")):
+                if held and number != page:
+                    yield bits()
+                    held, size = [], 0
+                page = number
+                held.append(_unpacked(data.as_py()))
+                size += len(held[-1])
+                if size >= HELD:
+                    held = [_summed(held)]
+                    size = 0
+        if held:
+            yield bits()
+
+    counted = docs.select("lang", "text").mapInArrow(hashed, "page int, data binary").repartition("page").sortWithinPartitions("page")
+    bitmaps = np.zeros((2 << 32 - LOW_BITS, (BITS >> 32 - LOW_BITS) // 8), np.uint8)
+    # Bounded: at most two bitmaps of 16 MB.
+    for batch in counted.mapInArrow(kept, "page int, bits binary").toArrow().to_batches():
+        for page, bits in zip(batch.column("page").to_pylist(), batch.column("bits")):
+            bitmaps[page] = np.frombuffer(bits.as_buffer(), np.uint8)
+    words, longer = bitmaps.reshape(2, -1)
+    return words, longer
+
+
 def extendable(phrases: DataFrame) -> np.ndarray:
     """Bitmap of the hashes of ``phrases`` (lang, phrase, words) that are short enough to be extended: 16 MB."""
 
@@ -228,7 +351,7 @@ def extendable(phrases: DataFrame) -> np.ndarray:
                 ends = np.cumsum([len(p) for p in own])
                 starts = np.concatenate([[0], ends[:-1]])
                 keys = _Hashes(np.frombuffer(b"".join(own), np.uint8), _seed(lang)).of(starts, ends)
-                yield pa.RecordBatch.from_arrays([pa.array((keys & np.uint64(BITS - 1)).astype(np.int64))], ["place"])
+                yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(SHIFT)).astype(np.int64))], ["place"])
 
     places = phrases.where(F.col("words") < LONGEST).mapInArrow(hashed, "place long").withColumn("place", F.col("place") + 1)
     pages = places.groupBy(F.bitmap_bucket_number("place").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
@@ -253,9 +376,10 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE, lowe
 
     The phrases of a sample (every ``sample``-th document by hash) are counted, words and pairs first, then
     longer ones made of pairs with enough; those with at least
-    ``lowered`` times the count expected there are proposed. The full pass counts the proposed phrases and
-    their negative border exactly: every phrase that is proposed or whose two parts that lack one
-    end word are, and all words. Of those that are frequent, some were not proposed: border failures. They
+    ``lowered`` times the count expected there are proposed. A full pass takes the proposed phrases and
+    their negative border: every phrase that is proposed or whose two parts that lack one
+    end word are, and all words. They are read twice: counted by hash first (see ``sieve``), then what
+    can be frequent by that is counted exactly, so rare phrases, which are most of them, are never shuffled. Of those that are frequent, some were not proposed: border failures. They
     are added, and another full pass counts what can be extended since then, until a pass finds no failure.
     Then all frequent phrases are known, since the parts of a frequent phrase are frequent. If the failures are
     few, that pass counts extensions of extensions too, whatever their own counts: it reaches every frequent
@@ -265,25 +389,28 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE, lowe
     changes no result; a full bitmap means more counting, not other counts.
     """
     spark: SparkSession = docs.sparkSession
+    broadcast = spark.sparkContext.broadcast
     chosen = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(sample)) == 0
     least = max(1, round(lowered * min_count / sample))
-    drawn, enough = docs.where(chosen), (F.col("words") > 0) & (F.col("n") >= least)
-    short = spool(phrase_counts(drawn, longest=2).where(enough).select("lang", "phrase", "words"), "phrase-sample")
-    words = extendable(short.where("words = 1"))
-    now = words | extendable(short.where("words = 2"))
-    held = spark.sparkContext.broadcast(now), spark.sparkContext.broadcast(words)
-    long = spool(phrase_counts(drawn, *held, LONGEST - 1, True).where(enough).select("lang", "phrase", "words"), "phrase-sample")
+    drawn = docs.where(chosen)
+    words, pairs = sieve(drawn, least, longest=2)
+    held = broadcast(words | pairs), broadcast(words)
+    _, longer = sieve(drawn, least, *held, LONGEST - 1, True)
     for bitmap in held:
         bitmap.destroy()
-    now, before, onwards = spark.sparkContext.broadcast(now | extendable(long)), None, False
+    now, before, onwards = broadcast(words | pairs | longer), None, False
     frequent, totals, passes = None, None, 0
     while True:
-        counted = phrase_counts(docs, now, before, onwards=onwards)
+        # Few phrases are counted as they are.
+        passed = None if onwards else broadcast(np.bitwise_or(*sieve(docs, min_count, now, before)))
+        counted = phrase_counts(docs, now, before, onwards=onwards, passed=passed)
         if totals is None:
             found = spool(counted.where((F.col("words") == 0) | (F.col("n") >= min_count)), "phrase-counts")
             totals = found.where("words = 0").select("lang", F.col("n").alias("total"))
         else:
             found = spool(counted.where(F.col("n") >= min_count), "phrase-counts")
+        if passed:
+            passed.destroy()
         found = found.where("words > 0")
         frequent = found if frequent is None else frequent.unionByName(found)
         passes += 1
@@ -294,7 +421,7 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, sample: int = SAMPLE, lowe
             return Mined(frequent, totals, passes)
         set_bits = int(np.bitwise_count(now.value).sum())
         onwards = int(np.bitwise_count(grown).sum()) - set_bits <= FEW * set_bits
-        before, now = now, spark.sparkContext.broadcast(grown)
+        before, now = now, broadcast(grown)
 
 
 def _exact(*factors: Column) -> Column:

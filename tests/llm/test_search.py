@@ -254,6 +254,35 @@ def test_few_border_failures_take_one_more_pass(spark):
     assert mined.passes == 2
 
 
+def test_a_sieve_keeps_rare_phrases_from_the_shuffle(spark):
+    """Nearly all phrases of the border are rare: the counting pass gets the frequent ones only, each with its whole count."""
+    rows = phrase_rows() + [("en", " ".join(f"r{i}x{j}" for j in range(40))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, text string").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    counts, total = grams_by_hand(rows)
+    every = {(lang, p): a for lang, f in counts.items() for p, a in f.items()}
+    often = {p for p, a in every.items() if a >= 20}
+    words, longer = phrases.sieve(docs, 20)
+    passed = spark.sparkContext.broadcast(words | longer)
+    got = {(r.lang, r.phrase): r.n for r in phrases.phrase_counts(docs, passed=passed).where("words > 0").collect()}
+    assert all(every[p] == n for p, n in got.items()) and often <= got.keys()
+    assert len(got) < len(often) + len(every) / 100 and len(every) > 30 * len(often)
+    assert {lang for lang, p in got if p.startswith("r0x")} == set()
+
+
+def test_hashes_of_a_sieve_are_summed_over_parts():
+    rng = np.random.default_rng(7)
+    parts = [rng.choice(np.concatenate([np.arange(300), rng.integers(0, 1 << 32, 500), [(1 << 32) - 1]]), 4000).astype(np.uint32) for _ in range(3)]
+    pages = {}
+    for part in parts:
+        for page, data in phrases._packed(part):
+            pages.setdefault(page, []).append(phrases._unpacked(data))
+    got = {}
+    for page, held in pages.items():
+        for number in phrases._summed([phrases._summed(held[:2]), *held[2:]]).tolist():
+            got[(page << phrases.LOW_BITS) + (number >> phrases.COUNT_BITS)] = number & ((1 << phrases.COUNT_BITS) - 1)
+    assert got == Counter(np.concatenate(parts).tolist())
+
+
 def test_full_bitmaps_change_no_count(spark, monkeypatch):
     monkeypatch.setattr(phrases, "extendable", lambda found: np.full(phrases.BITS // 8, 255, np.uint8))
     rows = phrase_rows()[:200]
