@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -75,3 +77,23 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Ite
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker freed; a worker that is used again keeps it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for ``mapInArrow``; the worker returns what earlier tasks and this one freed before it goes on or idles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from work(batches)
+        give_back()
+
+    return run

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm.common import join_few, key_bitmap, maybe_in, sorted_groups, spool
+from codeloom.llm.common import giving_back, join_few, key_bitmap, maybe_in, sorted_groups, spool
 from codeloom.llm.shingles import COORDINATES, WORDS, minhashes, mix, set_key, shingle_set, sketch
 
 SIMILARITY = 0.8
@@ -116,7 +116,7 @@ def shingled(docs: DataFrame, words: int, similarity: float = SIMILARITY, runs:
                 )
 
     kinds = f"place long, id {id_type}, tokens long, key binary, sketch binary, nodes array<long>" if runs else "place long, members binary"
-    return docs.mapInArrow(sets, kinds)
+    return docs.mapInArrow(giving_back(sets), kinds)
 
 
 def bucket_members(reps: DataFrame, similarity: float, levels: int, bucket: int) -> DataFrame:
@@ -142,7 +142,7 @@ def bucket_members(reps: DataFrame, similarity: float, levels: int, bucket: int)
         if level == levels or sizes.where(F.col("n") > bucket).isEmpty():
             break
         large = members.where(F.col("n") > bucket).join(reps.select("r", "sketch"), "r")
-        nodes = spool(large.select("node", "r", "sketch").mapInArrow(split, "node long, r long"), "near-nodes")
+        nodes = spool(large.select("node", "r", "sketch").mapInArrow(giving_back(split), "node long, r long"), "near-nodes")
     return found
 
 
@@ -254,7 +254,7 @@ def similar_sets(reps: DataFrame, texts: DataFrame, similarity: float, words: in
             if use.any():
                 yield from g["table"].filter(pa.array(use)).combine_chunks().to_batches()
 
-    needed = spool(grouped.mapInArrow(promising, grouped.schema), "near-needed")
+    needed = spool(grouped.mapInArrow(giving_back(promising), grouped.schema), "near-needed")
     wanted = spool(needed.select("r").distinct(), "near-wanted").withColumnRenamed("r", "place")
     sets = shingled(
         maybe_in(texts, "place", key_bitmap(wanted, "place")).join(wanted, "place", "left_semi").select("place", "id", "text"), words
@@ -280,7 +280,7 @@ def similar_sets(reps: DataFrame, texts: DataFrame, similarity: float, words: in
                 [pa.array(g["r"][use]), pa.array(root[use]), pa.array(links[use].sum(axis=1).astype(np.int64))], ["r", "root", "links"]
             )
 
-    return spool(loaded.mapInArrow(verified, "r long, root long, links long"), "near-links")
+    return spool(loaded.mapInArrow(giving_back(verified), "r long, root long, links long"), "near-links")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from codeloom.llm.tokens import END_ID, REMEMBERED, encoder, tokenizer_path
+from codeloom.llm.common import give_back, giving_back
+from codeloom.llm.tokens import END_ID, REMEMBERED, encoder, forget, tokenizer_path
 
 LENGTH = 1024
 # A task packs its rows in blocks that end at this many documents or bytes of ids, so memory is bounded.
@@ -80,15 +79,6 @@ def piece_batches(block: list[tuple[object, np.ndarray]], table: list[tuple], ki
         yield pa.RecordBatch.from_arrays(columns, ["id", *NAMES, "ids"])
 
 
-def give_back() -> None:
-    """Return to the system what earlier tasks of this worker freed; a worker that is used again keeps it otherwise."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def pack_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -99,6 +89,7 @@ def pack_documents(
     linear: float = 1.0,
     quadratic: float = 1.0 / LENGTH,
     remembered: int = REMEMBERED,
+    keep: bool = True,
 ) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``.
 
@@ -110,7 +101,8 @@ def pack_documents(
     At most one sequence a block is not full.
 
     ``remembered`` bounds the words that a worker keeps the ids of (twice so many, some 400 bytes each): more
-    save time, fewer save memory.
+    save time, fewer save memory. Without ``keep`` it forgets them, and the tokenizer, at the end of each task: what
+    runs in the same workers afterwards has their memory.
 
     Defined cases: null text is empty, one piece with the end id alone; a text of any length is cut
     into pieces (its ids are held by one task); a null id is passed on; repeated rows are packed
@@ -122,7 +114,6 @@ def pack_documents(
     out = StructType([StructField("id", id_type), *(StructField(n, LongType()) for n in NAMES), StructField("ids", BinaryType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         encode = encoder(path, remembered).batch
         give_back()
         context = TaskContext.get()
@@ -161,5 +152,8 @@ def pack_documents(
                     block, held = [], 0
         if block:
             yield from packed()
+        if not keep:
+            del encode
+            forget(path, remembered)
 
-    return rows.mapInArrow(pack, out).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(giving_back(pack), out).withColumnRenamed("id", id_col)

@@ -17,6 +17,8 @@ END_ID = 0
 # Words in each of the two generations that a worker remembers: when the younger is full it takes the place of
 # the older, and words met again move back, so frequent words stay and the memory is bounded (some 400 bytes a word).
 REMEMBERED = 375_000
+# Texts of a batch that are looked at together, so that a batch is not held twice.
+SLICE = 512
 # Longer words are not remembered.
 LONG = 64
 # Where the tokenizer may join white space over a cut between words: two in a row, or a blank at the end.
@@ -113,17 +115,18 @@ class Encoder:
 
     def batch(self, texts: pa.Array) -> Iterator[array]:
         """Ids of each text in order, as an ``array``; null is empty text."""
-        texts = pc.fill_null(texts, "")
-        joined = pc.match_substring_regex(texts, DOUBLED).to_pylist() if self.by_word else [True] * len(texts)
-        for text, whole in zip(texts, joined):
-            text, out = text.as_py(), array(self.code)
-            if whole:
-                out.frombytes(self.words.whole(text))
-            else:
-                first, *words = text.replace("\n", " \n").split(" ")
-                out.frombytes(self.words.whole(first))
-                out.frombytes(b"".join(map(self.words.__getitem__, words)))
-            yield out
+        for at in range(0, len(texts), SLICE):
+            some = pc.fill_null(texts[at : at + SLICE], "")
+            joined = pc.match_substring_regex(some, DOUBLED).to_pylist() if self.by_word else [True] * len(some)
+            for text, whole in zip(some, joined):
+                text, out = text.as_py(), array(self.code)
+                if whole:
+                    out.frombytes(self.words.whole(text))
+                else:
+                    first, *words = text.replace("\n", " \n").split(" ")
+                    out.frombytes(self.words.whole(first))
+                    out.frombytes(b"".join(map(self.words.__getitem__, words)))
+                yield out
 
     def ids(self, text: str | None) -> array:
         return next(self.batch(pa.array([text], pa.string())))
@@ -134,3 +137,8 @@ def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     if (path, remembered) not in _ENCODERS:
         _ENCODERS[path, remembered] = Encoder(path, remembered)
     return _ENCODERS[path, remembered]
+
+
+def forget(path: str, remembered: int = REMEMBERED) -> None:
+    """The worker drops its encoder and the words it remembers."""
+    _ENCODERS.pop((path, remembered), None)

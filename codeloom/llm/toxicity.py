@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm.common import replaced, spool
+from codeloom.llm.common import give_back, giving_back, replaced, spool
 
 # The models are fitted on at most this many labelled rows, chosen by a hash of their id.
 MAX_TRAIN = 12_000
@@ -23,6 +23,8 @@ FEATURES = 192
 PREFIXES = (3, 4, 5, 6, 7)
 WORD = re.compile(r"[^\W_]+")
 DENSE = 3
+# Rows that are turned to double precision at a time.
+BLOCK = 2048
 
 
 def lexical(text: str) -> dict[str, int]:
@@ -104,11 +106,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int =
     penalty[0] = 1e-6
     for _ in range(rounds):
         p = predict(x, w)
-        curve = np.diag(penalty)
-        for at in range(0, len(x), 2048):
-            part, q = x[at : at + 2048].astype(float), p[at : at + 2048]
+        curve, slope = np.diag(penalty), -penalty * w
+        for at in range(0, len(x), BLOCK):
+            part, q = x[at : at + BLOCK].astype(float), p[at : at + BLOCK]
             curve += (part * (q * (1 - q))[:, None]).T @ part
-        step = np.linalg.solve(curve, (y - p) @ x - penalty * w)
+            slope += (y[at : at + BLOCK] - q) @ part
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-4:
             break
@@ -116,7 +119,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int =
 
 
 def predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    z = [np.zeros(0), *(x[at : at + BLOCK] @ w for at in range(0, len(x), BLOCK))]
+    return 1 / (1 + np.exp(-np.clip(np.concatenate(z), -30, 30)))
 
 
 def association(n: np.ndarray, t: np.ndarray, base: float) -> np.ndarray:
@@ -126,25 +130,27 @@ def association(n: np.ndarray, t: np.ndarray, base: float) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Training:
-    """Labelled rows: fold, labels, shape, and features as (row, column, value) entries; ``seen`` counts rows with a feature by fold, all and positive ones."""
+    """Labelled rows: fold, labels, shape, and features as (row, column, value) entries; ``chosen`` has the columns of each category's models, one without each fold, then the one on all rows."""
 
     folds: np.ndarray
     labels: list[np.ndarray]
     dense: np.ndarray
     entries: tuple[np.ndarray, np.ndarray, np.ndarray]
-    seen: np.ndarray
-    positive: list[np.ndarray]
+    width: int
+    chosen: list[list[np.ndarray]]
 
     def design(self, columns: np.ndarray, earlier: np.ndarray) -> np.ndarray:
         """Ones, shape, earlier probabilities and the chosen features, in single precision."""
-        place = np.full(self.seen.shape[0] + 1, -1)
+        place = np.full(self.width + 1, -1, np.int32)
         place[columns] = np.arange(len(columns))
         row, column, value = self.entries
         at = place[column]
+        use = np.flatnonzero(at >= 0)
         first = 1 + DENSE + earlier.shape[1]
         x = np.zeros((len(self.folds), first + len(columns)), np.float32)
         x[:, 0], x[:, 1 : 1 + DENSE], x[:, 1 + DENSE : first] = 1, self.dense, earlier
-        x[row[at >= 0], first + at[at >= 0]] = value[at >= 0]
+        for some in np.array_split(use, len(use) // 200_000 + 1):
+            x[row[some], first + at[some]] = value[some]
         return x
 
 
@@ -152,24 +158,22 @@ def fit_links(data: Training, categories: Sequence[str], names: Sequence[str]) -
     """The chain's models in order; each sees the out-of-fold probabilities of those before it."""
     earlier = np.zeros((len(data.folds), 0))
     links, accuracy = [], {}
-    for category, target, positive in zip(categories, data.labels, data.positive):
+    for category, target, chosen in zip(categories, data.labels, data.chosen):
 
-        def model(rows: np.ndarray, use: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            z = association(data.seen[:, use].sum(1), positive[:, use].sum(1), target[rows].mean())
-            columns = np.argsort(-z, kind="stable")[:FEATURES]
+        def model(rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             x = data.design(columns, earlier)
-            return columns, x, fit_logistic(x[rows], target[rows])
+            return x, fit_logistic(x[rows], target[rows])
 
         held_out = np.full(len(target), target.mean())
         for k in range(FOLDS):
             rows, out = data.folds != k, data.folds == k
             if rows.any() and out.any() and target[rows].min() < target[rows].max():
-                _, x, w = model(rows, [f for f in range(FOLDS) if f != k])
+                x, w = model(rows, chosen[k])
                 held_out[out] = predict(x[out], w)
         accuracy[category] = float(((held_out >= 0.5) == (target == 1)).mean())
-        columns, _, w = model(np.ones(len(target), bool), range(FOLDS))
+        _, w = model(np.ones(len(target), bool), chosen[FOLDS])
         cuts = np.split(w, np.cumsum([1, DENSE, earlier.shape[1]]))
-        weights = {names[c]: float(v) for c, v in zip(columns, cuts[3])}
+        weights = {names[c]: float(v) for c, v in zip(chosen[FOLDS], cuts[3])}
         links.append(Link(category, float(w[0]), tuple(cuts[1].tolist()), tuple(cuts[2].tolist()), weights))
         earlier = np.hstack([earlier, held_out[:, None]])
     return Chain(tuple(links), accuracy)
@@ -189,9 +193,10 @@ def fit_chain(
     probabilities of all earlier categories. For training those are out-of-fold: each comes from a
     model that has not seen the row, so that later models meet the kind of error they will meet.
 
-    At most ``max_train`` labelled ids are used, those with the smallest hash, with one row each; the one
-    task that fits the models holds these rows' features, and the driver only the labels, the 4,096
-    candidate features and the weights. Word counts of the sample are aggregated by Spark.
+    At most ``max_train`` labelled ids are used, those with the smallest hash, with one row each; the driver
+    holds the counts of the 4,096 candidate features and the weights, and chooses from the counts the features of
+    each model; the one task that fits the models holds these rows' values of the features that some model takes.
+    Word counts of the sample are aggregated by Spark.
     Labels that are null count as 0; a repeated id takes its largest label; of documents with one id the
     text with the smallest hash is used; ids without a document are left out. With no labelled document all
     probabilities are 0.
@@ -207,9 +212,11 @@ def fit_chain(
     named = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "key")
     one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
     rows = spool(named.groupBy("key", *labels_at).agg(one.alias("one")).select(fold.alias("fold"), *labels_at, F.col("one.text").alias("text")), "toxicity-sample")
-    shares = rows.agg(F.count("*").alias("n"), *(F.avg(y).alias(y) for y in labels_at)).first()
-    if not shares["n"]:
+    # Bounded: FOLDS rows.
+    sizes = rows.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in labels_at)).collect()
+    if not sizes:
         return Chain((), {})
+    held = {name: np.array([next((float(r[name]) for r in sizes if r["fold"] == k), 0.0) for k in range(FOLDS)]) for name in ("n", *labels_at)}
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
     counted = rows.select("fold", *labels_at, F.explode(words).alias("word")).groupBy("word", "fold", *labels_at).agg(F.count("*").alias("n"))
     stems = [F.when(F.length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in PREFIXES]
@@ -222,19 +229,28 @@ def fit_chain(
 
     def strength(y: str):
         t = sum((F.col(f"{y}_{k}") for k in range(1, FOLDS)), F.col(f"{y}_0"))
-        b = shares[y]
+        b = float(held[y].sum() / held["n"].sum())
         return F.abs(t - n_all * b) / F.sqrt(n_all * b * (1 - b) + 1)
 
     best = F.greatest(*(strength(y) for y in labels_at), F.lit(0.0))
     # Bounded: CANDIDATES rows.
     table = totals.where(n_all >= 4).withColumn("z", best).orderBy(F.desc("z"), "feature").limit(CANDIDATES).toArrow()
-    names = table.column("feature").to_pylist()
-    place = {f: i for i, f in enumerate(names)}
-
     def by_fold(y: str) -> np.ndarray:
         return np.stack([table.column(f"{y}_{k}").to_numpy().astype(float) for k in range(FOLDS)], axis=1)
 
-    seen, positive = by_fold("n"), [by_fold(y) for y in labels_at]
+    seen = by_fold("n")
+
+    def strongest(y: str, positive: np.ndarray, folds: Sequence[int]) -> np.ndarray:
+        base = held[y][folds].sum() / max(held["n"][folds].sum(), 1)
+        return np.argsort(-association(seen[:, folds].sum(1), positive[:, folds].sum(1), base), kind="stable")[:FEATURES]
+
+    without = [[f for f in range(FOLDS) if f != k] for k in range(FOLDS + 1)]
+    chosen = [[strongest(y, positive, folds) for folds in without] for y, positive in ((y, by_fold(y)) for y in labels_at)]
+    # What no model takes stays out of the rows.
+    used = np.unique(np.concatenate([c for one in chosen for c in one]))
+    names = table.column("feature").take(pa.array(used)).to_pylist()
+    place = {f: i for i, f in enumerate(names)}
+    chosen = [[np.searchsorted(used, c) for c in one] for one in chosen]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
@@ -250,20 +266,21 @@ def fit_chain(
             )
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        found = [b for b in batches if b.num_rows]
+        if not found:
             return
-        data = pa.Table.from_batches(held).combine_chunks()
+        data = pa.Table.from_batches(found)
+        found.clear()
         at, times, dense = (data.column(c).combine_chunks() for c in ("at", "times", "dense"))
-        entries = np.repeat(np.arange(data.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy(), np.log1p(times.flatten().to_numpy()).astype(np.float32)
+        entries = np.repeat(np.arange(data.num_rows, dtype=np.int32), at.value_lengths().to_numpy()), at.flatten().to_numpy(), np.log1p(times.flatten().to_numpy()).astype(np.float32)
         labelled = [data.column(y).to_numpy().astype(float) for y in labels_at]
-        training = Training(data.column("fold").to_numpy(), labelled, dense.flatten().to_numpy().reshape(-1, DENSE), entries, seen, positive)
+        training = Training(data.column("fold").to_numpy(), labelled, dense.flatten().to_numpy().reshape(-1, DENSE), entries, len(names), chosen)
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(asdict(fit_links(training, categories, names)))])], ["chain"])
 
     kinds = ", ".join(["fold int", *(f"{y} int" for y in labels_at), "at array<int>", "times array<int>", "dense array<double>"])
     # One task for all rows: max_train at most.
-    features = spool(rows.mapInArrow(project, kinds), "toxicity-features")
-    found = json.loads(features.coalesce(1).mapInArrow(fit, "chain string").first()["chain"])
+    features = spool(rows.mapInArrow(giving_back(project), kinds), "toxicity-features")
+    found = json.loads(features.coalesce(1).mapInArrow(giving_back(fit), "chain string").first()["chain"])
     links = (Link(k["category"], k["bias"], tuple(k["dense"]), tuple(k["earlier"]), k["weights"]) for k in found["links"])
     return Chain(tuple(links), found["accuracy"])
 
@@ -280,6 +297,7 @@ def score_chain(docs: DataFrame, chain: Chain, categories: Sequence[str], id_col
     def probabilities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array((chain.probabilities(t.as_py()) for t in texts), pa.list_(pa.float64()), size=len(texts))
+        give_back()
 
     packed = docs.select(F.struct("*").alias("row"), probabilities(F.col(text_col)).alias("p"))
     new = {f"p_{c}": F.get("p", F.lit(names.index(c))) if c in names else F.lit(0.0) for c in categories}

@@ -52,9 +52,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences, with the checksum of their ids (see ``pack_documents`` for the cases).
 
-    The workers still hold what the stages before took, so fewer words are remembered here.
+    The workers run all stages, here and in later runs of a session, so fewer words are remembered and none beyond a task.
     """
-    pieces = pack_documents(docs, remembered=100_000)
+    pieces = pack_documents(docs, remembered=100_000, keep=False)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

@@ -433,6 +433,51 @@ def test_chain_is_that_of_a_plain_loop(spark):
         earlier = np.hstack([earlier, held[:, None]])
 
 
+def test_the_fit_holds_only_what_its_models_take(spark, monkeypatch):
+    """Of the candidate features, those that no model takes do not reach the one task that fits."""
+    from codeloom.llm import toxicity as module
+
+    kept, spooled = module.spool, {}
+    monkeypatch.setattr(module, "spool", lambda df, name: spooled.setdefault(name, kept(df, name)))
+    monkeypatch.setattr(module, "FEATURES", 3)
+    rows, labels = planted(200)
+    chain = fit_chain(docs_of(spark, rows), label_columns(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), CATEGORIES)
+    assert [len(link.weights) for link in chain.links] == [3, 3]
+    seen = {f for r in spooled["toxicity-features"].collect() for f in r["at"]}
+    assert 3 <= len(seen) <= 3 * len(CATEGORIES) * (module.FOLDS + 1) < len({f for _, t in rows for f in lexical(t)})
+
+
+def test_the_fit_makes_no_double_copy_of_its_rows():
+    import tracemalloc
+
+    from codeloom.llm.toxicity import fit_logistic, predict
+
+    x = np.random.default_rng(1).random((60_000, 40), np.float32)
+    y = (x[:, 1] > 0.5).astype(float)
+    tracemalloc.start()
+    try:
+        w = fit_logistic(x, y, rounds=2)
+        p = predict(x, w)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < x.nbytes and np.allclose(p, 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
+
+
+def test_workers_give_back_what_a_task_freed(monkeypatch):
+    from codeloom.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append("back"))
+
+    def work(batches):
+        for b in batches:
+            calls.append(b)
+            yield b
+
+    assert list(common.giving_back(work)(iter([1, 2]))) == [1, 2] and calls == ["back", 1, 2, "back"]
+
+
 def test_names_that_differ_in_case_only(spark):
     rows, labels = planted(80)
     docs = docs_of(spark, rows).withColumn("P_TOXIC", F.lit("old")).withColumn("Is_Toxic", F.lit("old"))

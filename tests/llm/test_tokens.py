@@ -45,6 +45,31 @@ def test_encoder_is_the_tokenizer(tokenizer):
         assert list(encoder.ids(text)) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_a_batch_is_encoded_in_slices(tokenizer, monkeypatch):
+    from codeloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "SLICE", 3)
+    texts = [*(t for _, t in ROWS), "last one"]
+    got = [list(ids) for ids in Encoder(tokenizer_path()).batch(pa.array(texts))]
+    assert got == [ids_of(tokenizer, t)[:-1] for t in texts] and list(Encoder(tokenizer_path()).batch(pa.array([], pa.string()))) == []
+
+
+def test_words_are_forgotten_after_a_task(spark):
+    """Later work in the same Python workers does not have the packer's words and tokenizer beside it."""
+
+    def held(batches):
+        from codeloom.llm import tokens
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(tokens._ENCODERS)])], ["n"])
+
+    packed = [tuple(p) for p in pack_documents(table(spark).coalesce(1), remembered=99).collect()]
+    before = spark.range(64, numPartitions=32).mapInArrow(held, "n long").agg(F.max("n")).first()[0]
+    assert [tuple(p) for p in pack_documents(table(spark).coalesce(1), remembered=98, keep=False).collect()] == packed
+    assert spark.range(64, numPartitions=32).mapInArrow(held, "n long").agg(F.max("n")).first()[0] <= before
+
+
 def test_packing(spark, tokenizer):
     pieces = pack_documents(table(spark)).collect()
     assert pack_documents(table(spark, [])).count() == 0
