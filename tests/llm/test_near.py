@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.llm.ann import build_index, descend, first_graph, leaves_of, nearest_neighbours, scan, search
-from codeloom.llm import jaccard_join
+from codeloom.llm import ann, jaccard_join
 from codeloom.llm.jaccard_join import components, intersections, jaccard_classes, merged_buckets, near_dedup, runs_for
 from codeloom.llm.common import spool
 from codeloom.llm.toxicity import CATEGORIES, fit_chain, label_columns, lexical, score_chain, shape, toxicity
@@ -295,6 +295,45 @@ def test_rounds_compare_fresh_pairs_only(spark):
     assert 0 < descend(one, index.codes, 1, 10, 10, 16).where("fresh").count() < entered
 
 
+def plain_round(lists, unit, most):
+    """A round of NN-descent with all neighbours both ways: ``lists`` has {v: (sim, fresh)} by u."""
+    meet = defaultdict(dict)
+    for u, near in lists.items():
+        for v, (_, fresh) in near.items():
+            meet[u][v] = meet[u].get(v, False) or fresh
+            meet[v][u] = meet[v].get(u, False) or fresh
+    found = {u: dict.fromkeys(near, False) for u, near in lists.items()}
+    for near in meet.values():
+        for a, fresh in near.items():
+            for b, late in near.items():
+                if a != b and (fresh or late):
+                    found[a].setdefault(b, True)
+    return {u: {v: (unit[u] @ unit[v], near[v]) for v in sorted(near, key=lambda v: -(unit[u] @ unit[v]))[:most]} for u, near in found.items()}
+
+
+def test_rounds_against_plain_python(spark, monkeypatch):
+    """Two rounds give the lists that they should, and write a row a part, not one an entry."""
+    x = np.random.default_rng(21).normal(size=(700, 16))
+    index = build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), leaf_size=64)
+    unit = {r.node: np.frombuffer(r.code) / np.linalg.norm(np.frombuffer(r.code)) for r in index.codes.collect()}
+    written, real = [], ann.spool
+
+    def seen(df, name):
+        written.append((name, real(df, name)))
+        return written[-1][1]
+
+    monkeypatch.setattr(ann, "spool", seen)
+    graph = first_graph(leaves_of(index.codes, index.trees, 16), index.codes, 6, 64, 16)
+    for number in range(2):
+        lists = defaultdict(dict)
+        for r in graph.collect():
+            lists[r.u][r.v] = (r.sim, r.fresh)
+        want = plain_round(lists, unit, 6)
+        graph = descend(graph, index.codes, number, 6, 700, 16)
+        assert {(r.u, r.v, r.fresh) for r in graph.collect()} == {(u, v, fresh) for u, near in want.items() for v, (_, fresh) in near.items()}
+    assert all(df.count() <= 24 for name, df in written if name == "ann-graph") and graph.count() == 6 * 700
+
+
 def test_exact_search(spark):
     x = np.random.default_rng(14).normal(size=(600, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
